@@ -37,21 +37,11 @@ def valid_measures(df: DataFrame, measures: Sequence[str]) -> list[str]:
 
 
 def _grouped(df: DataFrame, dimensions: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    carried = [f"m{i}" for i in range(len(measures))]
     unpivoted = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(df.columns.index(d)).alias("dimension_ordinal"),
-                        F.lit(d).alias("dimension"),
-                        dimension_text(df, d).alias("value"),
-                    )
-                    for d in dimensions
-                ]
-            )
-        ),
-        *[measure(df, m).alias(f"m{i}") for i, m in enumerate(measures)],
-    )
+        *[dimension_text(df, d).alias(str(i)) for i, d in enumerate(dimensions)],
+        *[measure(df, m).alias(c) for m, c in zip(measures, carried)],
+    ).unpivot(carried, [str(i) for i in range(len(dimensions))], "slot", "value")
     aggregates = []
     for i in range(len(measures)):
         m = F.col(f"m{i}")
@@ -60,7 +50,13 @@ def _grouped(df: DataFrame, dimensions: Sequence[str], measures: Sequence[str])
             F.count(m).alias(f"count{i}"),
             F.var_samp(m).alias(f"var{i}"),
         ]
-    return unpivoted.groupBy("dimension_ordinal", "dimension", "value").agg(*aggregates)
+    slot = F.col("slot").cast("int")
+    return (
+        unpivoted.groupBy("slot", "value")
+        .agg(*aggregates)
+        .withColumn("dimension_ordinal", F.get(F.lit([df.columns.index(d) for d in dimensions]), slot))
+        .withColumn("dimension", F.get(F.lit(list(dimensions)), slot))
+    )
 
 
 def _metric_entries(df: DataFrame, measures: Sequence[str]) -> Column:

@@ -171,26 +171,19 @@ def top_values(df: DataFrame, names: Sequence[str], k: int = TOP_VALUES) -> Data
             [], "ordinal int, name string, value string, n bigint, rank int"
         )
     by_count = Window.partitionBy("ordinal", "name").orderBy(F.desc("n"), "value")
+    slots = [str(i) for i in range(len(names))]
+    slot = F.col("slot").cast("int")
     return (
-        df.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(df.columns.index(n)).alias("ordinal"),
-                            F.lit(n).alias("name"),
-                            col(n).cast("string").alias("value"),
-                        )
-                        for n in names
-                    ]
-                )
-            )
-        )
+        df.select(*[col(n).cast("string").alias(s) for n, s in zip(names, slots)])
+        .unpivot([], slots, "slot", "value")
         .where(F.col("value").isNotNull())
-        .groupBy("ordinal", "name", "value")
+        .groupBy("slot", "value")
         .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("ordinal", F.get(F.lit([df.columns.index(n) for n in names]), slot))
+        .withColumn("name", F.get(F.lit(list(names)), slot))
         .withColumn("rank", F.row_number().over(by_count))
         .where(F.col("rank") <= k)
+        .select("ordinal", "name", "value", "n", "rank")
     )
 
 

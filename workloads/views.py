@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factloom.sources.tables import spread_small_scan
+
 SALES_ORDER = [
     "order_id", "line_number", "customer_name", "ship_date", "quantity",
     "net_amount", "tax_rate", "discount", "brand",
@@ -16,9 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One denormalised row per order line, with gaps injected in two columns."""
-    line, orders, customer, nation, region, part = (
-        table(spark, sf_dir, n)
-        for n in ("lineitem", "orders", "customer", "nation", "region", "part")
+    line = spread_small_scan(table(spark, sf_dir, "lineitem"))
+    orders, customer, nation, region, part = (
+        table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region", "part")
     )
     return (
         line.join(orders, line.l_orderkey == orders.o_orderkey)
@@ -49,3 +51,34 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net_amount"),
         )
     )
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions asked of ``sales``: user turns of the conversations, and one question per
+    customer that names the customer, its nation, region or segment."""
+    turns = (
+        table(spark, sf_dir, "conversations")
+        .where(F.col("role") == "user")
+        .select(
+            F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("question_id"),
+            F.col("text").alias("query_text"),
+        )
+    )
+    kind = F.col("c_custkey") % 8
+    wording = (
+        F.when(kind == 0, F.concat(F.lit("What are the top regions by sales amount for "), "c_name", F.lit(" and why?")))
+        .when(kind == 1, F.concat(F.lit("Compare net-amount by segment versus last year in "), "n_name"))
+        .when(kind == 2, F.concat(F.lit("Show the distribution of discount by return flags for "), "c_mktsegment"))
+        .when(kind == 3, F.concat(F.lit("Lowest quantity for "), "r_name", F.lit(" by month")))
+        .when(kind == 4, F.concat(F.lit("Rank priorities by sales_amount in a week for "), F.lower("c_name")))
+        .when(kind == 5, F.concat(F.lit("How is it going today, "), "c_name", F.lit("?")))
+        .when(kind == 6, F.substring("c_name", 1, 2))
+        .otherwise(F.concat(F.lit("Prior quarter: tax rates by brand and nations for "), "n_name"))
+    )
+    per_customer = (
+        table(spark, sf_dir, "customer")
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(F.concat_ws("-", F.lit("customer"), "c_custkey").alias("question_id"), wording.alias("query_text"))
+    )
+    return turns.unionByName(per_customer)
