@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from factloom.functions.columns import col, is_finite, measure
 from factloom.operators.catalog import ColumnRole
-from factloom.operators.quantiles import exact_quantiles
+from factloom.operators.quantiles import bounds, exact_quantiles
 
 BINS = 10
 TOP_VALUES = 10
@@ -42,6 +42,24 @@ class Bins:
         return reached
 
 
+@dataclass(frozen=True)
+class Summary:
+    """Statistics of one numeric column.  There is one per column, so they are kept on the
+    driver and enter the next pass as constants."""
+
+    ordinal: int
+    name: str
+    value_count: int
+    mean: float | None
+    median: float | None
+    min_val: float | None
+    max_val: float | None
+    std_dev: float | None
+    q1: float | None
+    q3: float | None
+    bins: Bins | None
+
+
 _SUMMARY = (
     "ordinal int, name string, value_count bigint, mean double, median double, min_val double,"
     " max_val double, std_dev double, q1 double, q3 double"
@@ -49,64 +67,75 @@ _SUMMARY = (
 _COUNTS = "ordinal int, name string, outlier_count bigint, bin_counts array<bigint>"
 
 
-def numeric_summary(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Mean, median, extremes, sample deviation and quartiles, one row per column."""
+def summarise(df: DataFrame, names: Sequence[str]) -> list[Summary]:
+    """Mean, median, extremes, sample deviation, quartiles and bins of each column."""
     if not names:
-        return df.sparkSession.createDataFrame([], _SUMMARY)
-    quantiles = exact_quantiles(df, names, QUARTILES)
+        return []
     values = df.select(*[measure(df, n).alias(f"v{i}") for i, n in enumerate(names)])
-    entries = []
-    for i, n in enumerate(names):
-        v = F.col(f"v{i}")
-        q1, median, q3 = (F.lit(q).cast("double") for q in quantiles[n])
-        deviation = F.stddev_samp(v)
-        entries.append(
+    basics = values.agg(
+        *[
             F.struct(
-                F.lit(df.columns.index(n)).alias("ordinal"),
-                F.lit(n).alias("name"),
-                F.count(v).alias("value_count"),
                 F.avg(v).alias("mean"),
-                median.alias("median"),
-                F.min(v).alias("min_val"),
-                F.max(v).alias("max_val"),
-                F.when(is_finite(deviation), deviation).alias("std_dev"),
-                q1.alias("q1"),
-                q3.alias("q3"),
+                F.min(v).alias("min"),
+                F.max(v).alias("max"),
+                F.when(is_finite(F.stddev_samp(v)), F.stddev_samp(v)).alias("deviation"),
+                bounds(v).alias("bounds"),
             )
+            for v in (F.col(c) for c in values.columns)
+        ]
+    ).first()
+    quantiles = exact_quantiles(df, names, QUARTILES, [b["bounds"] for b in basics])
+    return [
+        Summary(
+            ordinal=df.columns.index(n),
+            name=n,
+            value_count=b["bounds"]["n"],
+            mean=b["mean"],
+            median=quantiles[n][1],
+            min_val=b["min"],
+            max_val=b["max"],
+            std_dev=b["deviation"],
+            q1=quantiles[n][0],
+            q3=quantiles[n][2],
+            bins=Bins.spanning(b["bounds"]["low"], b["bounds"]["high"])
+            if b["bounds"]["low"] is not None
+            else None,
         )
-    return values.agg(F.array(*entries).alias("rows")).select(F.inline("rows"))
+        for n, b in zip(names, basics)
+    ]
 
 
-def distribution_counts(df: DataFrame, summary: DataFrame) -> tuple[DataFrame, dict[str, Bins]]:
-    """Outliers and histogram counts of all numeric columns in one more pass.
+def _as_rows(df: DataFrame, summaries: list[Summary]) -> DataFrame:
+    fields = [f.split()[0] for f in _SUMMARY.split(", ")]
+    rows = [tuple(getattr(s, f) for f in fields) for s in summaries]
+    return df.sparkSession.createDataFrame(rows, _SUMMARY)
 
-    ``summary`` has one row per column; it is brought to the driver so that fences and
-    bin edges enter the pass as constants.
-    """
-    rows = summary.where("value_count > 0").collect()
-    if not rows:
-        return df.sparkSession.createDataFrame([], _COUNTS), {}
-    values = df.select(*[measure(df, r["name"]).alias(f"v{i}") for i, r in enumerate(rows)])
-    limits = _finite_limits(values, rows)
-    bins = {r["name"]: Bins.spanning(*lim) for r, lim in zip(rows, limits) if lim}
+
+def numeric_summary(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The summaries as rows, one per column."""
+    return _as_rows(df, summarise(df, names))
+
+
+def distribution_counts(df: DataFrame, summaries: list[Summary]) -> DataFrame:
+    """Outliers and histogram counts of all numeric columns in one more pass."""
+    filled = [s for s in summaries if s.value_count]
+    if not filled:
+        return df.sparkSession.createDataFrame([], _COUNTS)
+    values = df.select(*[measure(df, s.name).alias(f"v{i}") for i, s in enumerate(filled)])
     entries = []
-    for i, r in enumerate(rows):
+    for i, s in enumerate(filled):
         v = F.col(f"v{i}")
-        reach = FENCE * (r["q3"] - r["q1"])
+        reach = FENCE * (s.q3 - s.q1)
         entries.append(
             F.struct(
-                F.lit(r["ordinal"]).alias("ordinal"),
-                F.lit(r["name"]).alias("name"),
+                F.lit(s.ordinal).alias("ordinal"),
+                F.lit(s.name).alias("name"),
                 v.alias("v"),
-                ((v < r["q1"] - reach) | (v > r["q3"] + reach)).alias("is_outlier"),
-                (
-                    F.when(is_finite(v), bins[r["name"]].index(v))
-                    if r["name"] in bins
-                    else F.lit(None).cast("int")
-                ).alias("bin"),
+                ((v < s.q1 - reach) | (v > s.q3 + reach)).alias("is_outlier"),
+                (F.when(is_finite(v), s.bins.index(v)) if s.bins else F.lit(None).cast("int")).alias("bin"),
             )
         )
-    counts = (
+    return (
         values.select(F.inline(F.array(*entries)))
         .where(F.col("v").isNotNull())
         .groupBy("ordinal", "name")
@@ -115,51 +144,37 @@ def distribution_counts(df: DataFrame, summary: DataFrame) -> tuple[DataFrame, d
             F.array(*[F.count_if(F.col("bin") == b) for b in range(BINS)]).alias("bin_counts"),
         )
     )
-    return counts, bins
-
-
-def _finite_limits(values: DataFrame, rows) -> list[tuple[float, float] | None]:
-    """Smallest and largest finite value; only infinite extremes need another look."""
-    infinite = [
-        i for i, r in enumerate(rows) if float("inf") in (abs(r["min_val"]), abs(r["max_val"]))
-    ]
-    limits = [(r["min_val"], r["max_val"]) for r in rows]
-    if infinite:
-        found = values.agg(
-            *[
-                F.struct(
-                    F.min(F.when(is_finite(F.col(f"v{i}")), F.col(f"v{i}"))),
-                    F.max(F.when(is_finite(F.col(f"v{i}")), F.col(f"v{i}"))),
-                )
-                for i in infinite
-            ]
-        ).first()
-        for i, pair in zip(infinite, found):
-            limits[i] = None if pair[0] is None else (pair[0], pair[1])
-    return limits
 
 
 def iqr_outliers(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    summary = numeric_summary(df, names)
-    counts, _ = distribution_counts(df, summary)
-    return summary.join(counts.select("ordinal", "outlier_count"), "ordinal").select(
-        "name", "q1", "q3", "outlier_count"
+    """Values beyond 1.5 interquartile ranges from the quartiles, counted per column."""
+    summaries = summarise(df, names)
+    counts = distribution_counts(df, summaries).select("ordinal", "outlier_count")
+    return (
+        _as_rows(df, summaries)
+        .join(counts, "ordinal", "left")
+        .select("name", "q1", "q3", F.coalesce("outlier_count", F.lit(0)).alias("outlier_count"))
     )
 
 
 def histogram(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Ten equal-width bins per column, one row per bin, empty bins included."""
-    counts, bins = distribution_counts(df, numeric_summary(df, names))
+    summaries = summarise(df, names)
     return (
-        counts.join(_edges(df, bins), "name")
+        distribution_counts(df, summaries)
+        .join(_edges(df, summaries), "name")
         .select("name", F.posexplode(F.arrays_zip("lo", "hi", "label", "bin_counts")).alias("bin", "b"))
         .select("name", "bin", "b.lo", "b.hi", "b.label", F.col("b.bin_counts").alias("n"))
     )
 
 
-def _edges(df: DataFrame, bins: dict[str, Bins]) -> DataFrame:
+def _edges(df: DataFrame, summaries: list[Summary]) -> DataFrame:
     return df.sparkSession.createDataFrame(
-        [(n, list(b.edges[:-1]), list(b.edges[1:]), b.labels) for n, b in bins.items()],
+        [
+            (s.name, list(s.bins.edges[:-1]), list(s.bins.edges[1:]), s.bins.labels)
+            for s in summaries
+            if s.bins
+        ],
         "name string, lo array<double>, hi array<double>, label array<string>",
     )
 
@@ -200,9 +215,9 @@ def column_profile(df: DataFrame, roles: list[ColumnRole]) -> DataFrame:
         ],
         "ordinal int, name string, unique_count bigint, null_count bigint",
     )
-    summary = numeric_summary(df, numeric)
-    shape, bins = distribution_counts(df, summary)
-    bars = shape.join(_edges(df, bins), "name", "left").select(
+    summaries = summarise(df, numeric)
+    shape = distribution_counts(df, summaries)
+    bars = shape.join(_edges(df, summaries), "name", "left").select(
         "ordinal",
         "outlier_count",
         F.when(
@@ -221,7 +236,7 @@ def column_profile(df: DataFrame, roles: list[ColumnRole]) -> DataFrame:
         )
     )
     return (
-        counts.join(summary.drop("name"), "ordinal", "left")
+        counts.join(_as_rows(df, summaries).drop("name"), "ordinal", "left")
         .join(bars, "ordinal", "left")
         .join(ranked, "ordinal", "left")
         .select(

@@ -14,7 +14,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from factloom.functions.columns import is_finite, measure
 
@@ -42,32 +42,35 @@ class _Range:
         return value.between(self.low, self.high)
 
 
+def bounds(value: Column) -> Column:
+    """What the search starts from: counts, and the smallest and largest finite value."""
+    return F.struct(
+        F.count(value).alias("n"),
+        F.count_if(value == float("-inf")).alias("below"),
+        F.count_if(value == float("inf")).alias("above"),
+        F.min(F.when(is_finite(value), value)).alias("low"),
+        F.max(F.when(is_finite(value), value)).alias("high"),
+    )
+
+
 def exact_quantiles(
-    df: DataFrame, names: Sequence[str], probabilities: Sequence[float]
+    df: DataFrame, names: Sequence[str], probabilities: Sequence[float], known: Sequence[Row] | None = None
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column; None for a column without values."""
+    """Linearly interpolated quantiles per column; None for a column without values.
+
+    ``known`` gives the ``bounds`` of each column if they were computed already.
+    """
     if not names:
         return {}
     values = df.select(*[measure(df, n).alias(f"v{i}") for i, n in enumerate(names)])
-    bounds = values.agg(
-        *[
-            F.struct(
-                F.count(v).alias("n"),
-                F.count_if(v == float("-inf")).alias("below"),
-                F.count_if(v == float("inf")).alias("above"),
-                F.min(F.when(is_finite(v), v)).alias("low"),
-                F.max(F.when(is_finite(v), v)).alias("high"),
-            ).alias(f"b{i}")
-            for i, v in enumerate(F.col(c) for c in values.columns)
-        ]
-    ).first()
+    if known is None:
+        known = values.agg(*[bounds(F.col(c)).alias(c) for c in values.columns]).first()
 
     found: dict[tuple[int, int], float] = {}
     open_ranges: list[_Range] = []
-    for i in range(len(names)):
-        b = bounds[f"b{i}"]
+    for i, b in enumerate(known):
         start = _Range(i, b["low"], b["high"], b["below"])
-        for rank in {r for p in probabilities for r in _neighbours(b["n"], p)[:2]}:
+        for rank in {r for p in probabilities for r in _neighbours(b["n"], p)[:2]} if b["n"] else ():
             if rank < b["below"]:
                 found[i, rank] = float("-inf")
             elif rank >= b["n"] - b["above"]:
@@ -80,7 +83,7 @@ def exact_quantiles(
         open_ranges = _narrow(values, open_ranges, found)
 
     return {
-        n: [_interpolate(found, i, bounds[f"b{i}"]["n"], p) for p in probabilities]
+        n: [_interpolate(found, i, known[i]["n"], p) for p in probabilities]
         for i, n in enumerate(names)
     }
 
@@ -88,7 +91,7 @@ def exact_quantiles(
 def _neighbours(n: int, p: float) -> tuple[int, int, float]:
     position = (n - 1) * p
     lower = math.floor(position)
-    return (lower, min(lower + 1, n - 1), position - lower) if n else (0, 0, 0.0)
+    return lower, min(lower + 1, n - 1), position - lower
 
 
 def _interpolate(found, column: int, n: int, p: float) -> float | None:

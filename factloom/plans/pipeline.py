@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from factloom.operators import catalog, cube, profile, relationships
 from factloom.operators.derived import derived_columns
 from factloom.operators.retrieval import relationship_id
+from factloom.schemas import SCHEMAS
 from factloom.sources.store import KnowledgeStore
 
-log = logging.getLogger(__name__)
-
 
 def build_knowledge(
     store: KnowledgeStore,
@@ -40,15 +38,15 @@ def _build(store, dataset_id, df, order_by) -> None:
         "column_metadata",
         dataset_id,
         described.withColumn("python_type", F.col("technical_type"))
-        .select(*_fields(store, "column_metadata"))
-        .coalesce(1),
+        .select(*_fields("column_metadata"))
+        .repartition(1),
     )
     roles = stored_roles(store, dataset_id)
     row_count = max((r.row_count or 0 for r in roles), default=0)
     store.log_status(dataset_id, "processing", row_count=row_count, column_count=len(df.columns))
 
     stats = profile.column_profile(df, roles)
-    store.replace("column_stats", dataset_id, stats.coalesce(1))
+    store.replace("column_stats", dataset_id, stats.repartition(1))
 
     dimensions = catalog.dimension_names(roles)
     measures = catalog.measure_names(roles)
@@ -60,7 +58,7 @@ def _build(store, dataset_id, df, order_by) -> None:
     store.replace(
         "pairwise_evidence",
         dataset_id,
-        evidence.withColumn("relationship_id", relationship_id(dataset_id)).coalesce(1),
+        evidence.withColumn("relationship_id", relationship_id(dataset_id)).repartition(1),
     )
     usable = [r.name for r in roles if r.name in measures and r.non_null_count]
     null_text = any(r.has_null_text for r in roles if r.name in dimensions)
@@ -69,8 +67,8 @@ def _build(store, dataset_id, df, order_by) -> None:
     store.log_status(dataset_id, "processed")
 
 
-def _fields(store: KnowledgeStore, table: str) -> list[str]:
-    return [c for c in store.read(table).columns if c != "dataset_id"]
+def _fields(table: str) -> list[str]:
+    return [c for c in T.StructType.fromDDL(SCHEMAS[table]).names if c != "dataset_id"]
 
 
 def stored_roles(store: KnowledgeStore, dataset_id: str) -> list[catalog.ColumnRole]:

@@ -6,11 +6,15 @@ inbox folder; the data themselves stay where they are and are read in parallel.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom.plans.workspace import Workspace
 
+log = logging.getLogger(__name__)
+
 ANNOUNCEMENT = "dataset_id string, path string, format string, name string"
 
 
@@ -36,8 +40,8 @@ def watch_inbox(
             )
             try:
                 workspace.process(dataset_id)
-            except Exception as error:  # the status is already stored
-                print(f"dataset {dataset_id} failed: {error}")
+            except Exception:  # the status is already stored
+                log.exception("dataset %s could not be processed", dataset_id)
 
     writer = (
         workspace.spark.readStream.schema(ANNOUNCEMENT)

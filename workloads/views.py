@@ -57,7 +57,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions asked of ``sales``: user turns of the conversations, and one question per
     customer that names the customer, its nation, region or segment."""
     turns = (
-        table(spark, sf_dir, "conversations")
+        spread_small_scan(table(spark, sf_dir, "conversations"))
         .where(F.col("role") == "user")
         .select(
             F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("question_id"),
@@ -76,7 +76,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Prior quarter: tax rates by brand and nations for "), "n_name"))
     )
     per_customer = (
-        table(spark, sf_dir, "customer")
+        spread_small_scan(table(spark, sf_dir, "customer"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.concat_ws("-", F.lit("customer"), "c_custkey").alias("question_id"), wording.alias("query_text"))
