@@ -6,10 +6,15 @@ They run on result tables with one row per pair of columns, never on data rows.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+# The functions travel inside the UDF, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
 
 

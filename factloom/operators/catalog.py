@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from factloom.functions.columns import (
     NULL_TEXT,
     col,
-    contains_any,
     is_numeric,
     is_profiled,
     is_temporal,
@@ -173,79 +172,60 @@ def column_catalog(df: DataFrame) -> DataFrame:
     )
 
 
-def _rule() -> Column:
-    name = F.lower("name")
-    tokens = F.split(F.replace(name, F.lit("-"), F.lit("_")), "_")
-    numeric = F.col("kind") == "numeric"
-    unique = (F.col("unique_count") == F.col("non_null_count")) & (F.col("unique_count") > 0)
-    few = (F.col("unique_count") < CATEGORY_MAX_VALUES) | (
-        F.col("cardinality_ratio") < CATEGORY_MAX_RATIO
-    )
-    return (
-        F.when(F.col("kind") == "complex", F.lit(None).cast("string"))
-        .when(
-            F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in IDENTIFIER_TOKENS])),
-            "identifier_name",
-        )
-        .when(unique, "identifier_unique")
-        .when((F.col("kind") == "temporal") | contains_any(name, TIME_WORDS), "time")
-        .when(numeric & contains_any(name, CURRENCY_WORDS), "currency")
-        .when(
-            numeric & (contains_any(name, RATE_WORDS) | F.coalesce(F.col("max_number") <= 1, F.lit(False))),
-            "rate",
-        )
-        .when(numeric, "measure")
-        .when(few & contains_any(name, ENTITY_WORDS), "entity")
-        .when(few, "category")
-        .otherwise("text")
-    )
-
+def _name_has(words: list[str]) -> str:
+    return "(" + " or ".join(f"contains(lower(name), '{w}')" for w in words) + ")"
 
-def _by_rule(**outcomes: str) -> Column:
-    picked = F.lit(None).cast("string")
-    for rule, outcome in outcomes.items():
-        picked = F.when(F.col("rule") == rule, outcome).otherwise(picked)
-    return picked
 
+_FEW_VALUES = f"(unique_count < {CATEGORY_MAX_VALUES} or cardinality_ratio < {CATEGORY_MAX_RATIO}D)"
 
-def _legal_aggregations() -> Column:
-    def names(*values: str) -> Column:
-        return F.array(*[F.lit(v) for v in values])
+# The rules in the order in which they are tried.
+_RULE = f"""
+case when kind = 'complex' then null
+     when arrays_overlap(
+            split(replace(lower(name), '-', '_'), '_'),
+            array({", ".join(f"'{t}'" for t in IDENTIFIER_TOKENS)})) then 'identifier_name'
+     when unique_count = non_null_count and unique_count > 0 then 'identifier_unique'
+     when kind = 'temporal' or {_name_has(TIME_WORDS)} then 'time'
+     when kind = 'numeric' and {_name_has(CURRENCY_WORDS)} then 'currency'
+     when kind = 'numeric' and ({_name_has(RATE_WORDS)} or coalesce(max_number <= 1, false)) then 'rate'
+     when kind = 'numeric' then 'measure'
+     when {_FEW_VALUES} and {_name_has(ENTITY_WORDS)} then 'entity'
+     when {_FEW_VALUES} then 'category'
+     else 'text' end
+"""
 
-    return (
-        F.when(F.col("rule") == "currency", names("sum", "mean", "median"))
-        .when(F.col("rule") == "rate", names("mean"))
-        .when(F.col("rule") == "measure", names("sum", "mean"))
-        .when(F.col("rule").isNotNull(), names("count"))
-    )
+# Per rule: business type, business role, unit, legal aggregations.
+_OUTCOMES = """
+map('identifier_name',   named_struct('type', 'TEXT', 'role', 'IDENTIFIER', 'unit', null, 'aggs', array('count')),
+    'identifier_unique', named_struct('type', 'TEXT', 'role', 'IDENTIFIER', 'unit', null, 'aggs', array('count')),
+    'time',     named_struct('type', 'DATETIME', 'role', 'TIME_DIMENSION', 'unit', null, 'aggs', array('count')),
+    'currency', named_struct('type', 'NUMERIC', 'role', 'MEASURE', 'unit', 'currency', 'aggs', array('sum', 'mean', 'median')),
+    'rate',     named_struct('type', 'NUMERIC', 'role', 'RATE', 'unit', 'percentage', 'aggs', array('mean')),
+    'measure',  named_struct('type', 'NUMERIC', 'role', 'MEASURE', 'unit', null, 'aggs', array('sum', 'mean')),
+    'entity',   named_struct('type', 'CATEGORICAL', 'role', 'ENTITY', 'unit', null, 'aggs', array('count')),
+    'category', named_struct('type', 'CATEGORICAL', 'role', 'DIMENSION', 'unit', null, 'aggs', array('count')),
+    'text',     named_struct('type', 'TEXT', 'role', 'DIMENSION', 'unit', null, 'aggs', array('count')))
+"""
 
 
 def semantic_roles(catalog: DataFrame, derived: list[str] | None = None) -> DataFrame:
     """Add rule, business type, role, unit, legal aggregations and derived flags."""
     is_derived = F.col("name").isin(derived) if derived else F.lit(False)
     return (
-        catalog.withColumn("rule", _rule())
-        .withColumn(
-            "business_type",
-            _by_rule(
-                identifier_name="TEXT", identifier_unique="TEXT", time="DATETIME",
-                currency="NUMERIC", rate="NUMERIC", measure="NUMERIC",
-                entity="CATEGORICAL", category="CATEGORICAL", text="TEXT",
-            ),
-        )
-        .withColumn(
-            "business_role",
-            _by_rule(
-                identifier_name="IDENTIFIER", identifier_unique="IDENTIFIER",
-                time="TIME_DIMENSION", currency="MEASURE", rate="RATE", measure="MEASURE",
-                entity="ENTITY", category="DIMENSION", text="DIMENSION",
-            ),
+        catalog.withColumn("rule", F.expr(_RULE))
+        .withColumn("outcome", F.expr(f"try_element_at({_OUTCOMES}, rule)"))
+        .withColumns(
+            {
+                "business_type": F.col("outcome.type"),
+                "business_role": F.col("outcome.role"),
+                "unit": F.col("outcome.unit"),
+                "aggregation": F.col("outcome.aggs"),
+                "data_type": F.lower("outcome.type"),
+                "is_derived": is_derived,
+                "is_redundant": is_derived,
+            }
         )
-        .withColumn("unit", _by_rule(currency="currency", rate="percentage"))
-        .withColumn("aggregation", _legal_aggregations())
-        .withColumn("data_type", F.lower("business_type"))
-        .withColumn("is_derived", is_derived)
-        .withColumn("is_redundant", is_derived)
+        .drop("outcome")
     )
 
 

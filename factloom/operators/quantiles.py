@@ -115,16 +115,14 @@ def _settle(candidate: _Range, found, open_ranges: list[_Range]) -> None:
 
 
 def _narrow(values: DataFrame, ranges: list[_Range], found) -> list[_Range]:
-    entries = []
-    for c in sorted({r.column for r in ranges}):
-        v = F.col(f"v{c}")
-        range_id = F.lit(None).cast("int")
-        bucket = F.lit(None).cast("int")
-        for i, r in enumerate(ranges):
-            if r.column == c:
-                range_id = F.when(r.holds(v), i).otherwise(range_id)
-                bucket = F.when(r.holds(v), r.bucket(v)).otherwise(bucket)
-        entries.append(F.struct(range_id.alias("range_id"), bucket.alias("bucket"), v.alias("v")))
+    # One row per searched value; ranges of a column do not overlap.
+    columns = sorted({r.column for r in ranges})
+    v = F.col("v")
+    range_id = bucket = F.lit(None).cast("int")
+    for i, r in enumerate(ranges):
+        inside = (F.col("slot") == str(r.column)) & r.holds(v)
+        range_id = F.when(inside, i).otherwise(range_id)
+        bucket = F.when(inside, r.bucket(v)).otherwise(bucket)
 
     in_order = Window.partitionBy("range_id").orderBy("bucket")
     wanted = F.lit(False)
@@ -135,7 +133,9 @@ def _narrow(values: DataFrame, ranges: list[_Range], found) -> list[_Range]:
             hit = hit | ((F.col("before") <= local) & (F.col("before") + F.col("n") > local))
         wanted = wanted | ((F.col("range_id") == i) & hit)
     buckets = (
-        values.select(F.inline(F.array(*entries)))
+        values.select(*[F.col(f"v{c}").alias(str(c)) for c in columns])
+        .unpivot([], [str(c) for c in columns], "slot", "v")
+        .select(range_id.alias("range_id"), bucket.alias("bucket"), "v")
         .where(F.col("range_id").isNotNull())
         .groupBy("range_id", "bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))

@@ -16,19 +16,12 @@ INFLUENCERS = 3
 OBSERVATIONS = 10
 PAIR = ["dimension", "metric"]
 
-OBSERVATION_FIELDS = [
-    "position", "fact_id", "relationship_id", "factor", "dimension", "dimension_value", "metric",
-    "metric_value", "metric_mean", "row_count", "relationship_strength", "contribution_score",
-    "relevance_score", "type",
-]
-
-
 def relationship_id(dataset_id: str) -> Column:
     return F.xxhash64(F.lit(dataset_id), "column_a", "column_b", "rel_type")
 
 
-def influencers(structured: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Up to three strongest dimensions per question, among the ones asked for if any.
+def with_influencers(structured: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Add ``picks``: up to three strongest dimensions, among the ones asked for if any.
 
     The ranked list per metric has one entry per dimension of the dataset, and there are
     as many lists as measures, which bounds the side that is broadcast.
@@ -50,41 +43,36 @@ def influencers(structured: DataFrame, evidence: DataFrame) -> DataFrame:
         )
     )
     asked = F.col("dimensions")
-    chosen = F.slice(
-        F.filter(
-            "ranked",
-            lambda r: (F.size(asked) == 0) | F.array_contains(asked, r["dimension"]),
-        ),
-        1,
-        INFLUENCERS,
+    chosen = F.filter(
+        "ranked", lambda r: (F.size(asked) == 0) | F.array_contains(asked, r["dimension"])
     )
+    return structured.join(F.broadcast(ranked), "target_metric", "left").withColumn(
+        "picks", F.slice(chosen, 1, INFLUENCERS)
+    )
+
+
+def influencers(structured: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The picks as rows, with the value the question names for the dimension, if any."""
     return (
-        structured.join(F.broadcast(ranked), "target_metric")
+        with_influencers(structured, evidence)
         .select(
             "question_id",
             "filters",
             F.col("target_metric").alias("metric"),
-            F.posexplode(chosen).alias("place", "influencer"),
+            F.posexplode("picks").alias("place", "pick"),
         )
         .select(
             "question_id",
             (F.col("place") + 1).alias("place"),
-            F.col("influencer.dimension").alias("dimension"),
+            F.col("pick.dimension").alias("dimension"),
             "metric",
-            F.col("influencer.strength").alias("strength"),
-            F.col("influencer.relationship_id").alias("relationship_id"),
-            F.try_element_at("filters", F.col("influencer.dimension")).alias("named_value"),
+            F.col("pick.strength").alias("strength"),
+            F.col("pick.relationship_id").alias("relationship_id"),
+            F.try_element_at("filters", F.col("pick.dimension")).alias("named_value"),
         )
     )
 
 
-def _scored(rows: DataFrame, total: str) -> DataFrame:
-    contribution = F.coalesce(F.try_divide(F.abs("sum"), total), F.lit(0.0))
-    return rows.withColumn("contribution", contribution).withColumn(
-        "relevance", F.col("strength") * F.col("contribution")
-    )
-
-
 _FACT = ["fact_id", "dimension_value", "is_null", "sum", "mean", "count"]
 
 
@@ -101,16 +89,23 @@ def best_facts(stored: DataFrame, evidence: DataFrame) -> DataFrame:
     totals = stored.groupBy(*PAIR).agg(F.sum(F.abs("sum")).alias("total"))
     per_pair = strengths.join(totals, PAIR)
     order = Window.partitionBy(*PAIR).orderBy(F.desc("relevance"), "is_null", "dimension_value")
+    share = F.coalesce(F.try_divide(F.abs("sum"), "total"), F.lit(0.0))
     return (
-        _scored(stored.join(F.broadcast(per_pair), PAIR), "total")
+        stored.join(F.broadcast(per_pair), PAIR)
+        .withColumn("contribution", share)
+        .withColumn("relevance", F.col("strength") * share)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= OBSERVATIONS)
-        .select(*PAIR, *_FACT, "contribution", "relevance")
+        .select(*PAIR, *_FACT, "contribution")
     )
 
 
-def observations(structured: DataFrame, stored: DataFrame, evidence: DataFrame) -> DataFrame:
-    """The ten most relevant observations per question."""
+def ranked_observations(structured: DataFrame, stored: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The ten most relevant observations per question as an array, best first.
+
+    A question brings together at most three short lists of ten, or the facts whose value
+    equals the one it names up to letter case; all of it meets in one shuffle by question.
+    """
     chosen = influencers(structured, evidence)
     general = (
         chosen.where(F.col("named_value").isNull())
@@ -123,56 +118,73 @@ def observations(structured: DataFrame, stored: DataFrame, evidence: DataFrame)
         .drop("named_value")
         .join(stored.select(*PAIR, *_FACT, F.lower("dimension_value").alias("folded")), [*PAIR, "folded"])
         .drop("folded")
+        .withColumn("contribution", F.lit(None).cast("double"))
     )
-    within = Window.partitionBy("question_id", "place")
-    named = _scored(named.withColumn("total", F.sum(F.abs("sum")).over(within)), "total").drop("total")
-    order = Window.partitionBy("question_id").orderBy(
-        F.desc("relevance"), "place", "is_null", "dimension_value"
+    candidate = F.struct("place", *PAIR, "strength", "relationship_id", *_FACT, "contribution")
+
+    def finished(c: Column, all_candidates: Column) -> Column:
+        total = F.aggregate(
+            F.filter(all_candidates, lambda o: o["place"] == c["place"]),
+            F.lit(0.0),
+            lambda acc, o: acc + F.abs(o["sum"]),
+        )
+        share = F.coalesce(c["contribution"], F.try_divide(F.abs(c["sum"]), total), F.lit(0.0))
+        return F.struct(
+            (-c["strength"] * share).alias("order"),
+            c["place"].alias("place"),
+            c["is_null"].alias("is_null"),
+            c["dimension_value"].alias("dimension_value"),
+            share.alias("share"),
+            c.alias("fact"),
+        )
+
+    def observation(o: Column, index: Column) -> Column:
+        fact = o["fact"]
+        return F.struct(
+            (index + 1).alias("position"),
+            fact["fact_id"].alias("fact_id"),
+            fact["relationship_id"].alias("relationship_id"),
+            F.concat(fact["dimension"], F.lit(": "), fact["dimension_value"]).alias("factor"),
+            fact["dimension"].alias("dimension"),
+            fact["dimension_value"].alias("dimension_value"),
+            fact["metric"].alias("metric"),
+            fact["sum"].alias("metric_value"),
+            fact["mean"].alias("metric_mean"),
+            fact["count"].alias("row_count"),
+            fact["strength"].alias("relationship_strength"),
+            o["share"].alias("contribution_score"),
+            (fact["strength"] * o["share"]).alias("relevance_score"),
+            F.lit("statistical_evidence").alias("type"),
+        )
+
+    candidates = F.col("candidates")
+    best = F.slice(
+        F.sort_array(F.transform(candidates, lambda c: finished(c, candidates))), 1, OBSERVATIONS
     )
     return (
         general.unionByName(named)
-        .withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= OBSERVATIONS)
-        .select(
-            "question_id",
-            "position",
-            "fact_id",
-            "relationship_id",
-            F.concat("dimension", F.lit(": "), "dimension_value").alias("factor"),
-            "dimension",
-            "dimension_value",
-            "metric",
-            F.col("sum").alias("metric_value"),
-            F.col("mean").alias("metric_mean"),
-            F.col("count").alias("row_count"),
-            F.col("strength").alias("relationship_strength"),
-            F.col("contribution").alias("contribution_score"),
-            F.col("relevance").alias("relevance_score"),
-            F.lit("statistical_evidence").alias("type"),
-        )
+        .groupBy("question_id")
+        .agg(F.collect_list(candidate).alias("candidates"))
+        .select("question_id", F.transform(best, observation).alias("observations"))
     )
 
 
+def observations(structured: DataFrame, stored: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The most relevant observations, one row each."""
+    ranked = ranked_observations(structured, stored, evidence)
+    return ranked.select("question_id", F.inline("observations"))
+
+
 def evidence_packages(structured: DataFrame, stored: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row per question: its structure and its evidence package."""
-    considered = (
-        influencers(structured, evidence)
-        .groupBy("question_id")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "dimension")))["dimension"].alias("considered"))
-    )
-    seen = (
-        observations(structured, stored, evidence)
-        .groupBy("question_id")
-        # At most OBSERVATIONS entries.
-        .agg(F.sort_array(F.collect_list(F.struct(*OBSERVATION_FIELDS))).alias("seen"))
-    )
     structure = [
         "intent", "target_metric", "dimensions", "filters", "time_period", "comparison_period",
         "granularity",
     ]
+    none = F.array().cast(f"array<{OBSERVATION}>")
     return (
-        structured.join(considered, "question_id", "left")
-        .join(seen, "question_id", "left")
+        with_influencers(structured, evidence)
+        .join(ranked_observations(structured, stored, evidence), "question_id", "left")
         .select(
             "question_id",
             "query_text",
@@ -181,12 +193,12 @@ def evidence_packages(structured: DataFrame, stored: DataFrame, evidence: DataFr
                 F.col("target_metric").alias("main_metric"),
                 "intent",
                 F.col("filters").alias("filters_applied"),
-                F.coalesce("considered", F.array().cast("array<string>")).alias("influencers_considered"),
-                F.coalesce(
-                    F.col("seen").cast(f"array<{OBSERVATION}>"),
-                    F.array().cast(f"array<{OBSERVATION}>"),
-                ).alias("observations"),
+                F.coalesce("picks.dimension", F.array().cast("array<string>")).alias(
+                    "influencers_considered"
+                ),
+                F.coalesce(F.col("observations").cast(f"array<{OBSERVATION}>"), none).alias(
+                    "observations"
+                ),
             ).alias("evidence_package"),
         )
     )
-

@@ -16,7 +16,7 @@ OBSERVATION = (
 SCHEMAS = {
     "datasets": (
         "name string, source_path string, format string, size_bytes bigint, row_count bigint,"
-        " column_count int, status string, created_at timestamp, updated_at timestamp,"
+        " column_count int, status string, updated_at timestamp,"
         " dataset_id string, event string"
     ),
     "column_metadata": (

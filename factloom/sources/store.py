@@ -11,11 +11,17 @@ import re
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from factloom.schemas import SCHEMAS
 
 
+_REGISTRY_LINE = (
+    "name string, source_path string, format string, size_bytes bigint, row_count bigint,"
+    " column_count int, status string"
+)
+
+
 class DatasetNotFound(LookupError):
     """No dataset with this id is registered."""
 
@@ -63,36 +69,25 @@ class KnowledgeStore:
     # -- dataset registry -------------------------------------------------------------
 
     def log_status(self, dataset_id: str, status: str, **known) -> None:
-        """Append one line to the history of a dataset; unknown fields carry over."""
-        last = self._current(dataset_id)
-        before = last.asDict() if last else {}
-
-        def field(name: str, default=None):
-            return known.get(name, before.get(name, default))
-
-        row = (
-            field("name", dataset_id), field("source_path"), field("format"), field("size_bytes"),
-            field("row_count", 0), field("column_count", 0), status, before.get("created_at"),
-        )
-        line = (
-            self.spark.createDataFrame(
-                [row],
-                "name string, source_path string, format string, size_bytes bigint,"
-                " row_count bigint, column_count int, status string, created_at timestamp",
-            )
-            .withColumn("updated_at", F.current_timestamp())
-            .withColumn("created_at", F.coalesce("created_at", "updated_at"))
+        """Append one line to the history of a dataset; fields left out keep their value."""
+        fields = T.StructType.fromDDL(_REGISTRY_LINE)
+        row = tuple({**known, "status": status}.get(f) for f in fields.names)
+        line = self.spark.createDataFrame([row], fields).withColumn(
+            "updated_at", F.current_timestamp()
         )
         self.append("datasets", dataset_id, line.coalesce(1), "event", uuid.uuid4().hex)
 
     def datasets(self) -> DataFrame:
-        """Latest line of every dataset."""
+        """Every dataset with the last known value of each field."""
         history = self.read("datasets")
-        fields = [c for c in history.columns if c not in ("dataset_id", "event")]
-        return (
-            history.groupBy("dataset_id")
-            .agg(F.max_by(F.struct(*fields), F.struct("updated_at", "event")).alias("last"))
-            .select("dataset_id", "last.*")
+        moment = F.struct("updated_at", "event")
+        return history.groupBy("dataset_id").agg(
+            *[
+                F.max_by(c, F.when(F.col(c).isNotNull(), moment)).alias(c)
+                for c in T.StructType.fromDDL(_REGISTRY_LINE).names
+            ],
+            F.min("updated_at").alias("created_at"),
+            F.max("updated_at").alias("updated_at"),
         )
 
     def _current(self, dataset_id: str):

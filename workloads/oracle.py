@@ -432,6 +432,11 @@ TIME = f"""CASE WHEN contains(text, 'quarter') THEN 'last_quarter' WHEN contains
     WHEN contains(text, 'quarter') THEN 'quarter' WHEN contains(text, 'year') THEN 'year' ELSE 'month' END AS granularity"""
 
 
+def _marked(text: str) -> str:
+    """Text with every word put between marks, so that containment respects word ends."""
+    return f"regexp_replace({text}, '([\\p{{L}}\\p{{N}}_]+)', chr(1) || '\\1' || chr(1), 'g')"
+
+
 def _mentions() -> list[str]:
     named = [("metric", c) for c in MEASURES_AND_RATES] + [
         ("dimension", c) for c in [*DIMENSIONS, "ship_date", "order_date"]
@@ -445,12 +450,17 @@ def _mentions() -> list[str]:
         f"""terms AS (SELECT *, regexp_replace(regexp_replace(lower(coalesce(value, name)), '[_-]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS base
   FROM (SELECT * FROM (VALUES {names}) t(kind, ordinal, name, value, is_null)
         UNION ALL SELECT 'value', dimension_ordinal, dimension, dimension_value, is_null FROM facts WHERE metric = 'quantity'))""",
-        """forms AS MATERIALIZED (SELECT kind, ordinal, name, value, is_null, unnest([base,
+        f"""forms AS MATERIALIZED (SELECT *, {_marked('form')} AS marked,
+    regexp_matches(form, '^[\\p{{L}}\\p{{N}}_](.*[\\p{{L}}\\p{{N}}_])?$', 's') AS word_edges
+  FROM (SELECT kind, ordinal, name, value, is_null, unnest([base,
     CASE WHEN NOT suffix(base, 's') THEN base || 's' END,
-    CASE WHEN suffix(base, 'y') THEN base[:-2] || 'ies' END]) AS form FROM terms)""",
+    CASE WHEN suffix(base, 'y') THEN base[:-2] || 'ies' END]) AS form FROM terms) WHERE form IS NOT NULL)""",
+        f"""hits AS MATERIALIZED (SELECT * FROM (SELECT *, {_marked('text')} AS marked_text FROM asked)
+  JOIN forms ON contains(text, form))""",
         f"""mentions AS MATERIALIZED (
-  SELECT DISTINCT question_id, kind, ordinal, name, value, is_null FROM asked JOIN forms
-  ON CASE WHEN contains(text, form) THEN regexp_matches(text, '(^|{word})' || regexp_escape(form) || '($|{word})') ELSE false END)""",
+  SELECT DISTINCT question_id, kind, ordinal, name, value, is_null FROM hits WHERE CASE WHEN word_edges
+    THEN contains(marked_text, marked)
+    ELSE regexp_matches(text, '(^|{word})' || regexp_escape(form) || '($|{word})') END)""",
     ]
 
 
