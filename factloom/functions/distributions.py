@@ -26,10 +26,10 @@ def _stirling_rest(z: float) -> float:
     return inv * (1 / 12 - inv2 * (1 / 360 - inv2 * (1 / 1260 - inv2 * (1 / 1680 - inv2 / 1188))))
 
 
-def _log1p_minus(u: float) -> float:
-    """log(1 + u) - u without cancellation near zero."""
+def _log_minus(ratio: float, u: float) -> float:
+    """log(ratio) - u for ratio = 1 + u, exact both near ratio 1 and near ratio 0."""
     if abs(u) > 0.05:
-        return math.log1p(u) - u
+        return math.log(ratio) - u
     total, power = 0.0, u
     for k in range(2, 40):
         power *= -u
@@ -54,8 +54,8 @@ def beta_tail(x: float, y: float, a: float, b: float) -> float:
         return 1.0 - beta_tail(y, x, b, a)
     gap = x * b - y * a
     log_power = (
-        a * _log1p_minus(gap / a)
-        + b * _log1p_minus(-gap / b)
+        a * _log_minus(x * ((a + b) / a), gap / a)
+        + b * _log_minus(y * ((a + b) / b), -gap / b)
         + 0.5 * (math.log(a) - math.log(a + b) + math.log(b))
         - _HALF_LOG_2PI
         + _stirling_rest(a + b)

@@ -99,7 +99,7 @@ def _interpolate(found, column: int, n: int, p: float) -> float | None:
         return None
     lower, upper, share = _neighbours(n, p)
     a, b = found[column, lower], found[column, upper]
-    if a == b:
+    if a == b or share == 0:
         return a
     # Taken from the nearer end, as numpy does, so that fences agree to the last bit.
     return a + (b - a) * share if share < 0.5 else b - (b - a) * (1 - share)

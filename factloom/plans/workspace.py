@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from factloom.operators import cube, impact, questions, relationships, retrieval
 from factloom.plans.pipeline import build_knowledge, stored_roles
 from factloom.sources.store import KnowledgeStore
-from factloom.sources.tables import read_table
+from factloom.sources.tables import materialise, read_table
 
 
 class Workspace:
@@ -116,8 +116,9 @@ class Workspace:
 
     def answer(self, dataset_id: str, asked: DataFrame) -> DataFrame:
         """Structure and evidence package of many questions."""
+        # The structures are used three times below.
         return retrieval.evidence_packages(
-            self.structure(dataset_id, asked),
+            materialise(self.structure(dataset_id, asked), "structures"),
             self._facts(dataset_id),
             self.store.read("pairwise_evidence", dataset_id),
         )

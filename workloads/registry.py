@@ -16,7 +16,7 @@ from factloom.operators import (
 from factloom.operators.derived import derived_columns
 from factloom.plans.pipeline import build_knowledge
 from factloom.sources.csv import scan_csv
-from factloom.sources.tables import scratch_dir
+from factloom.sources.tables import materialise, scratch_dir
 from factloom.streaming.arrivals import watch_inbox
 from workloads import views
 from workloads.prepared import SALES_ID, Prepared, prepared
@@ -547,8 +547,9 @@ def influencers_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prepared(spark, sf_dir)
+    structured = materialise(_structured(spark, sf_dir), "structures")
     return retrieval.observations(
-        _structured(spark, sf_dir), p.stored("fact_combinations"), p.stored("pairwise_evidence")
+        structured, p.stored("fact_combinations"), p.stored("pairwise_evidence")
     ).select(
         "question_id",
         "position",
