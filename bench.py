@@ -48,7 +48,7 @@ def timed(action) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     wanted = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     spark = session(cpus)
     shared = prepared(spark, sf_dir)

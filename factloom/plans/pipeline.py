@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -45,26 +46,45 @@ def _build(store, dataset_id, df, order_by) -> None:
     row_count = max((r.row_count or 0 for r in roles), default=0)
     store.log_status(dataset_id, "processing", row_count=row_count, column_count=len(df.columns))
 
+    # Profile and cube need nothing from each other, nor do evidence and facts; their jobs
+    # share the cluster.
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        profiled = pool.submit(_store_profile, store, dataset_id, df, roles)
+        grouped = _store_groups(store, dataset_id, df, roles)
+        related = pool.submit(_store_evidence, store, dataset_id, df, grouped, roles)
+        _store_facts(store, dataset_id, grouped, roles)
+        related.result()
+        profiled.result()
+    store.log_status(dataset_id, "processed")
+
+
+def _store_profile(store, dataset_id, df, roles) -> None:
     stats = profile.column_profile(df, roles)
     store.replace("column_stats", dataset_id, stats.repartition(1))
 
-    dimensions = catalog.dimension_names(roles)
-    measures = catalog.measure_names(roles)
-    with_rates = catalog.measure_names(roles, with_rates=True)
-    store.replace("group_statistics", dataset_id, cube.cube(df, dimensions, with_rates))
-    grouped = store.read("group_statistics", dataset_id)
 
-    evidence = relationships.relationships(df, grouped, with_rates)
-    store.replace(
-        "pairwise_evidence",
-        dataset_id,
-        evidence.withColumn("relationship_id", relationship_id(dataset_id)).repartition(1),
+def _store_groups(store, dataset_id, df, roles) -> DataFrame:
+    """Write the cube; evidence and facts go on from the written table."""
+    cubed = cube.cube(
+        df, catalog.dimension_names(roles), catalog.measure_names(roles, with_rates=True)
     )
-    usable = [r.name for r in roles if r.name in measures and r.non_null_count]
+    store.replace("group_statistics", dataset_id, cubed)
+    return store.read("group_statistics", dataset_id)
+
+
+def _store_evidence(store, dataset_id, df, grouped, roles) -> None:
+    evidence = relationships.relationships(
+        df, grouped, catalog.measure_names(roles, with_rates=True)
+    ).withColumn("relationship_id", relationship_id(dataset_id))
+    store.replace("pairwise_evidence", dataset_id, evidence.repartition(1))
+
+
+def _store_facts(store, dataset_id, grouped, roles) -> None:
+    dimensions = set(catalog.dimension_names(roles))
+    usable = [r.name for r in roles if r.business_role == "MEASURE" and r.non_null_count]
     null_text = any(r.has_null_text for r in roles if r.name in dimensions)
     facts = cube.with_fact_hash(cube.facts_from_cube(grouped, usable, merge_null_text=null_text))
     store.replace("fact_combinations", dataset_id, facts, split_by="dimension")
-    store.log_status(dataset_id, "processed")
 
 
 def _fields(table: str) -> list[str]:

@@ -680,7 +680,7 @@ WHERE (purpose = 'fact_dimension' AND business_role IN ('DIMENSION', 'ENTITY') A
         f"SELECT '{t}' AS dataset_id, '{t}' AS name, 'parquet' AS format, "
         + (
             f"'processed' AS status, count(*) AS row_count, {len(_columns(t))}::BIGINT AS column_count FROM {t}"
-            if t in ("customer", "events")
+            if t == "customer"
             else "'processing' AS status, 0::BIGINT AS row_count, 0::BIGINT AS column_count"
         )
         for t in TABLE_COLUMNS
@@ -700,7 +700,7 @@ WHERE (purpose = 'fact_dimension' AND business_role IN ('DIMENSION', 'ENTITY') A
         [
             f"SELECT '{t}' AS dataset_id, 'processed' AS status, count(*) AS row_count,"
             f" {len(_columns(t))}::BIGINT AS column_count FROM {t}"
-            for t in ("customer", "supplier", "labels")
+            for t in ("supplier", "labels")
         ]
         + ["SELECT 'missing_table', 'error', 0, 0"]
     )
