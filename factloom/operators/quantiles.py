@@ -31,15 +31,25 @@ class _Range:
     below: int
     ranks: set[int] = field(default_factory=set)
 
-    def bucket(self, value: Column) -> Column:
+    def bucket(self) -> str:
+        """SQL text of the bucket of a value in this range."""
         # Halving first keeps the width finite for values near the double limits.
         half = 0.5 if max(abs(self.low), abs(self.high)) > 1e300 else 1.0
-        width = self.high * half - self.low * half
-        position = (value * half - self.low * half) / F.lit(width) * BUCKETS
-        return F.least(F.floor(position).cast("int"), F.lit(BUCKETS - 1))
+        start, width = self.low * half, self.high * half - self.low * half
+        position = f"(v{self.column} * {half}D - {_number(start)}) / {_number(width)} * {BUCKETS}D"
+        return f"least(cast(floor({position}) as int), {BUCKETS - 1})"
 
-    def holds(self, value: Column) -> Column:
-        return value.between(self.low, self.high)
+    def holds(self) -> str:
+        return f"v{self.column} between {_number(self.low)} and {_number(self.high)}"
+
+    def holds_rank(self) -> str:
+        """SQL text: one of the wanted ranks falls into the bucket of the row."""
+        local = sorted(r - self.below for r in self.ranks)
+        return " or ".join(f"(before <= {k} and before + n > {k})" for k in local)
+
+
+def _number(value: float) -> str:
+    return f"({value!r}D)"
 
 
 def bounds(value: Column) -> Column:
@@ -116,26 +126,18 @@ def _settle(candidate: _Range, found, open_ranges: list[_Range]) -> None:
 
 def _narrow(values: DataFrame, ranges: list[_Range], found) -> list[_Range]:
     # One row per searched value; ranges of a column do not overlap.
-    columns = sorted({r.column for r in ranges})
-    v = F.col("v")
-    range_id = bucket = F.lit(None).cast("int")
-    for i, r in enumerate(ranges):
-        inside = (F.col("slot") == str(r.column)) & r.holds(v)
-        range_id = F.when(inside, i).otherwise(range_id)
-        bucket = F.when(inside, r.bucket(v)).otherwise(bucket)
-
+    entries = []
+    for c in sorted({r.column for r in ranges}):
+        here = [(i, r) for i, r in enumerate(ranges) if r.column == c]
+        range_id = " ".join(f"when {r.holds()} then {i}" for i, r in here)
+        bucket = " ".join(f"when {r.holds()} then {r.bucket()}" for _, r in here)
+        entries.append(
+            f"struct(case {range_id} end as range_id, case {bucket} end as bucket, v{c} as v)"
+        )
+    wanted = " or ".join(f"(range_id = {i} and ({r.holds_rank()}))" for i, r in enumerate(ranges))
     in_order = Window.partitionBy("range_id").orderBy("bucket")
-    wanted = F.lit(False)
-    for i, r in enumerate(ranges):
-        hit = F.lit(False)
-        for rank in r.ranks:
-            local = rank - r.below
-            hit = hit | ((F.col("before") <= local) & (F.col("before") + F.col("n") > local))
-        wanted = wanted | ((F.col("range_id") == i) & hit)
     buckets = (
-        values.select(*[F.col(f"v{c}").alias(str(c)) for c in columns])
-        .unpivot([], [str(c) for c in columns], "slot", "v")
-        .select(range_id.alias("range_id"), bucket.alias("bucket"), "v")
+        values.selectExpr(f"inline(array({', '.join(entries)}))")
         .where(F.col("range_id").isNotNull())
         .groupBy("range_id", "bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
