@@ -168,13 +168,20 @@ def facts_as_maps(stored: DataFrame) -> DataFrame:
 
 
 def list_facts(stored: DataFrame, dimension: str | None = None, limit: int = 100) -> DataFrame:
-    """Facts in store order (column order, then value, missing last), at most ``limit``."""
+    """Facts in store order (column order, then value, missing last), at most ``limit``.
+
+    Every fact has a row for each metric of the dataset, so the first rows hold the first
+    facts and nothing else has to be put together.
+    """
     if not 1 <= limit <= 1000:
         raise ValueError("limit must be between 1 and 1000")
     chosen = stored if dimension is None else stored.where(F.col("dimension") == dimension)
+    metrics = chosen.select("metric").distinct().count()
+    order = ["dimension_ordinal", "is_null", "dimension_value"]
+    first_rows = chosen.orderBy(*order, "metric_ordinal").limit(limit * max(metrics, 1))
     return (
-        facts_as_maps(chosen)
-        .orderBy("dimension_ordinal", "is_null", "dimension_value")
+        facts_as_maps(first_rows)
+        .orderBy(*order)
         .limit(limit)
         .select("fact_id", "dimensions", "metrics")
     )

@@ -12,6 +12,7 @@ from factloom.operators.derived import derived_columns
 from factloom.operators.retrieval import relationship_id
 from factloom.schemas import SCHEMAS
 from factloom.sources.store import KnowledgeStore
+from factloom.sources.tables import spread_small_scan
 
 
 def build_knowledge(
@@ -23,7 +24,9 @@ def build_knowledge(
     """Catalog, profile, relationships and facts of a dataset, replaced as a whole.
 
     ``df`` is scanned several times with only the columns each step needs, so it should
-    be a plain scan of stored files.  A failure leaves the status ``error`` and is raised.
+    be a plain scan of stored files.  ``order_by`` is a total order that defines the first
+    rows for the detection of derived columns; without it the scan order does.  A failure
+    leaves the status ``error`` and is raised.
     """
     try:
         _build(store, dataset_id, df, order_by)
@@ -34,6 +37,7 @@ def build_knowledge(
 
 def _build(store, dataset_id, df, order_by) -> None:
     derived = derived_columns(df, order_by)
+    df = spread_small_scan(df)
     described = catalog.semantic_roles(catalog.column_catalog(df), derived)
     store.replace(
         "column_metadata",

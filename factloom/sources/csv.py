@@ -56,19 +56,19 @@ def scan_csv(
 
 
 def _header(spark: SparkSession, path: str, separator: str, parsed: list[str]) -> list[str]:
-    """Header as written: Spark's reader adds positions to names that occur twice."""
-    first = spark.read.option("lineSep", "\n").text(path).first()
-    if first is None:
+    """Header as written: Spark's reader adds positions to names that occur twice.
+
+    A field without a name is called ``Unnamed: <position>``.
+    """
+    first = spark.read.text(path).first()
+    if first is None or first[0].count('"') % 2:
+        # A name with a line break in it is left to Spark's reader.
         return parsed
-    line = spark.createDataFrame([(first[0].rstrip("\r"),)], "line string")
     schema = ", ".join(f"c{i} string" for i in range(len(parsed)))
-    fields = line.select(
-        F.from_csv("line", schema, {"sep": separator, "quote": '"', "escape": '"'}).alias("h")
-    ).first()["h"]
-    written = [v for v in fields]
-    if any(v is None for v in written) or len(written) != len(parsed):
-        return parsed
-    return written
+    options = {"sep": separator, "quote": '"', "escape": '"'}
+    line = spark.createDataFrame([(first[0],)], "line string")
+    names = line.select(F.from_csv("line", schema, options).alias("h")).first()["h"]
+    return [name or f"Unnamed: {i}" for i, name in enumerate(names)]
 
 
 def unique_names(names: list[str]) -> list[str]:

@@ -7,14 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.sources.csv import scan_csv
+
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """Read one flat dataset; CSV goes through type inference (see ``sources.csv``)."""
+    """Read one flat dataset in stored row order; CSV goes through type inference."""
     if fmt == "csv":
-        from factloom.sources.csv import scan_csv
-
         return scan_csv(spark, path, **options)
-    return spread_small_scan(spark.read.format(fmt).options(**options).load(path))
+    return spark.read.format(fmt).options(**options).load(path)
 
 
 def spread_small_scan(scan: DataFrame) -> DataFrame:

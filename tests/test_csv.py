@@ -54,3 +54,21 @@ def test_unique_names(names, expected):
 
 def test_other_separator(spark, tmp_path):
     assert tuple(read(spark, tmp_path, "a;b\n1;x,y\n", separator=";").first()) == (1, "x,y")
+
+
+def test_header_without_a_name(spark, tmp_path):
+    assert read(spark, tmp_path, ',b\n1,2\n').columns == ["Unnamed: 0", "b"]
+
+
+def test_scan_order_defines_the_first_rows(spark, tmp_path):
+    """Without an order the first 20 rows of the file decide about derived columns."""
+    from factloom import Workspace
+
+    good = "".join(f"{a},{b},{a}-{b}\n" for a, b in zip("ab" * 10, "xy" * 10))
+    bad = "".join("a,x,zz\n" for _ in range(40))
+    for name, body, expected in (("early", good + bad, True), ("late", bad + good, False)):
+        (tmp_path / f"{name}.csv").write_text("first,second,joined\n" + body)
+        space = Workspace(spark, str(tmp_path / "space"))
+        space.process(space.register(str(tmp_path / f"{name}.csv"), "csv", dataset_id=name))
+        flags = {r["name"]: r["is_derived"] for r in space.schema(name).collect()}
+        assert flags == {"first": False, "second": False, "joined": expected}

@@ -1,6 +1,5 @@
 """The shape of the physical plans that matter at scale."""
 
-from pyspark.sql import functions as F
 
 from factloom.operators import catalog, cube, impact, profile, relationships as rel, retrieval
 from workloads import views

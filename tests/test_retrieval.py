@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from factloom.operators import cube, relationships as rel, retrieval
 

@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from factloom import DatasetNotFound, DatasetNotReady, Workspace
 from factloom.streaming.arrivals import watch_inbox

@@ -668,7 +668,7 @@ WHERE (purpose = 'fact_dimension' AND business_role IN ('DIMENSION', 'ENTITY') A
         f" {r('relevance', 9, 'relevance_score')} FROM seen"
     )
     sql["evidence_package"] = _answers() + _PACKAGE
-    sql["answers_log"] = _answers() + _PACKAGE + " WHERE starts_with(q.question_id, 'customer')"
+    sql["answers_log"] = sql["evidence_package"]
 
     sql["scan_csv_infer"] = """SELECT o_orderkey,
   CASE WHEN o_orderkey % 7 IN (0, 1) THEN NULL ELSE o_custkey::DOUBLE END AS o_custkey,
@@ -689,7 +689,7 @@ WHERE (purpose = 'fact_dimension' AND business_role IN ('DIMENSION', 'ENTITY') A
         "SELECT CASE dimension WHEN 'segment' THEN 'first' ELSE 'second' END AS dataset_id, dimension,"
         f" dimension_value, {r('s', 4, 'sum')}, n AS count FROM facts"
     )
-    sql["pipeline_summary"] = _recursive(*_evidence(), *_facts()) + (
+    sql["knowledge_build"] = _recursive(*_evidence(), *_facts()) + (
         f"SELECT 'column_metadata' AS table_name, {len(SALES_COLUMNS)}::BIGINT AS row_count"
         f" UNION ALL SELECT 'column_stats', {len(SALES_COLUMNS)}"
         " UNION ALL SELECT 'group_statistics', count(*) FROM groups"

@@ -587,10 +587,10 @@ def evidence_package(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def answers_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of the customer questions, written and read back."""
+    """Answers of all questions, written and read back."""
     workspace = prepared(spark, sf_dir).workspace
-    asked = views.questions(spark, sf_dir).where(F.col("question_id").startswith("customer"))
-    return _package_columns(workspace.ask(SALES_ID, asked, batch="customers"))
+    asked = views.questions(spark, sf_dir)
+    return _package_columns(workspace.ask(SALES_ID, asked, batch="all"))
 
 
 # -- sources, store, pipeline -----------------------------------------------------------
@@ -642,10 +642,10 @@ def store_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def pipeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def knowledge_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole knowledge build; rows per knowledge table."""
     p = prepared(spark, sf_dir)
-    workspace = Workspace(spark, scratch_dir(spark, "pipeline"))
+    workspace = Workspace(spark, scratch_dir(spark, "build"))
     build_knowledge(workspace.store, "sales", p.sales, views.SALES_ORDER)
     return _stack(
         [
