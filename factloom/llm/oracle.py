@@ -3,6 +3,68 @@
 from __future__ import annotations
 
 STATEMENTS = {
+    "op2_redirect_equivalence": r"""
+WITH RECURSIVE rules(verdict, rule, rule_host, rule_path) AS (
+  VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+         ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')
+), found AS (
+  SELECT url AS source,
+         replace(regexp_extract(regexp_extract(html,
+           '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'),
+           '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'), '&amp;', '&') AS target FROM pages
+  UNION ALL
+  SELECT url, replace(regexp_extract(regexp_extract(html,
+           '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'),
+           '\burl\s*=\s*["'']?([^"''\s>;]+)', 1, 'is'), '&amp;', '&') FROM pages
+), links AS (
+  SELECT source, CASE
+    WHEN contains(target, '://') THEN target
+    WHEN starts_with(target, '//') THEN 'http:' || target
+    WHEN starts_with(target, '/') THEN regexp_extract(source, '^.*?://[^/?#]*', 0) || target
+    ELSE source END AS target
+  FROM found WHERE target <> ''
+), urls AS (
+  SELECT url FROM pages UNION SELECT target FROM links
+), parts AS (
+  SELECT url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM urls
+), addresses AS (
+  SELECT url, translate(regexp_extract(rest, '^[^/?#]*', 0),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(rest, '^[^?#]*([?][^#]*)?', 1) AS query
+  FROM parts
+), nodes AS (
+  SELECT url, coalesce(host, '') AS host, coalesce(path, '') AS path,
+         CASE WHEN host <> '' THEN host || path || coalesce(query, '') END AS node
+  FROM addresses
+), edges AS (
+  SELECT a.node AS a, b.node AS b FROM links JOIN nodes a ON a.url = source JOIN nodes b ON b.url = target
+), both_ways AS (
+  SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), reach(a, b) AS (
+  SELECT DISTINCT node, node FROM nodes WHERE node IS NOT NULL
+  UNION
+  SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+), component AS (
+  SELECT a AS node, min(b) AS alias_of FROM reach GROUP BY a
+), ruled AS (
+  SELECT DISTINCT node, first_value(rule) OVER w AS rule, first_value(verdict) OVER w AS verdict
+  FROM nodes JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host))
+                       AND starts_with(path, rule_path)
+  WHERE node IS NOT NULL
+  WINDOW w AS (PARTITION BY node ORDER BY length(rule) DESC, verdict, rule DESC)
+), carried AS (
+  SELECT alias_of FROM component JOIN ruled USING (node) GROUP BY alias_of
+  HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow')
+)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(ruled.verdict, CASE WHEN carried.alias_of IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       component.alias_of AS alias_of
+FROM pages LEFT JOIN nodes ON nodes.url IS NOT DISTINCT FROM pages.url
+LEFT JOIN ruled USING (node) LEFT JOIN component USING (node)
+LEFT JOIN carried ON carried.alias_of = component.alias_of
+""",
     "op9_exact_dedup": r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,

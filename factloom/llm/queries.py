@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factloom.llm.backoff import scores
 from factloom.llm.exact_dup import exact_duplicates
+from factloom.llm.near_dup import near_duplicates
+from factloom.llm.nearest import nearest
 from factloom.llm.packing import pack
+from factloom.llm.site_quality import site_quality
+from factloom.llm.url_rules import judged, rule_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,20 +27,55 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Verdict and host/path of the rules that the query applies.
+URL_RULES = [
+    ("block", "net/"),
+    ("allow", "example.net/en/"),
+    ("block", "example.com/de/"),
+    ("allow", "org/fr/"),
+]
+
+
+def op2_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(_table(spark, sf_dir, "documents"))
+
+
+def op8_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            op2_redirect_equivalence,
             op4_best_fit_packing,
+            op6_site_quality,
+            op7_backoff_automaton,
+            op8_one_permutation_minhash,
             op9_exact_dedup,
+            op10_adaptive_scan,
         )
     }
 
