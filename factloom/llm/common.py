@@ -120,3 +120,15 @@ def word_hashes(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.zeros(len(encoded), np.int64)
     owner = np.searchsorted(ends, np.concatenate(places), side="right")
     return np.concatenate(hashes), np.bincount(owner, minlength=len(encoded))
+
+
+def slices(texts: list[str], at_most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about `at_most` code points, to bound memory; at least one text."""
+    first = held = 0
+    for i, text in enumerate(texts):
+        if i > first and held + len(text) > at_most:
+            yield first, i
+            first, held = i, 0
+        held += len(text)
+    if texts:
+        yield first, len(texts)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import chained, id_and_text, word_hashes, written
+from factloom.llm.common import chained, id_and_text, slices, word_hashes, written
 from factloom.llm.components import connected_components
 
 BINS = 128
@@ -61,9 +61,10 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
-    words, counts = word_hashes(texts)
-    for own in np.split(words, np.cumsum(counts)[:-1]):
-        yield shingles(own, size)
+    for a, b in slices(texts):
+        words, counts = word_hashes(texts[a:b])
+        for own in np.split(words, np.cumsum(counts)[:-1]):
+            yield shingles(own, size)
 
 
 def _signatures(size: int):

@@ -510,20 +510,29 @@ def encode(
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, chunk, text, and the other columns of `encode` but the ids."""
+    """The rows of `encode` with the text that the ids spell, the ids' CRC-32 and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(vocabulary)
         for batch in batches:
-            texts = [
-                lattice.decoded(ids, chunk == 0)
-                for ids, chunk in zip(batch.column("ids").to_pylist(), batch.column("chunk").to_pylist())
-            ]
-            keep = [batch.column(c) for c in ("doc_id", "chunk", "score", "text_crc32")]
+            ids = batch.column("ids").to_pylist()
+            texts = [lattice.decoded(own, n == 0) for own, n in zip(ids, batch.column("chunk").to_pylist())]
+            crc = [zlib.crc32(np.array(own, "<u4").tobytes()) for own in ids]
             yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(texts)], ["doc_id", "chunk", "score", "text_crc32", "text"]
+                [*(batch.column(c) for c in ("doc_id", "chunk", "score", "text_crc32")),
+                 pa.array([len(own) for own in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(texts)],
+                ["doc_id", "chunk", "score", "text_crc32", "n_tokens", "ids_crc32", "text"],
             )
 
     return encoded.mapInArrow(
-        run, "doc_id long, chunk int, score double, text_crc32 long, text string"
+        run,
+        "doc_id long, chunk int, score double, text_crc32 long, n_tokens long, ids_crc32 long, text string",
+    )
+
+
+def with_round_trip(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, chunk, n_tokens, ids_crc32, score, text_crc32, round_trip."""
+    return decode(encoded, vocabulary).select(
+        "doc_id", "chunk", "n_tokens", "ids_crc32", "score", "text_crc32",
+        (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("round_trip"),
     )

@@ -11,6 +11,9 @@ from factloom.llm.exact_dup import exact_duplicates
 from factloom.llm.near_dup import near_duplicates
 from factloom.llm.nearest import nearest
 from factloom.llm.packing import pack
+from factloom.llm.pieces import encode, with_round_trip
+from factloom.llm.pii import personal_data, span_digest
+from factloom.llm.secrets import secret_findings
 from factloom.llm.site_quality import site_quality
 from factloom.llm.url_rules import judged, rule_table
 
@@ -36,14 +39,33 @@ URL_RULES = [
 ]
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with the forest's verdict; values as digests."""
+    found = secret_findings(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret"
+    )
+
+
 def op2_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
 
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_max_plus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each chunk's ids, and whether decoding them gives its text back."""
+    pieces = vocabulary("piece_bpe_32k.model")
+    encoded = encode(_table(spark, sf_dir, "documents"), pieces)
+    return with_round_trip(encoded, pieces)
+
+
 def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -69,8 +91,11 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            op1_secret_forest,
             op2_redirect_equivalence,
+            op3_skip_chain_pii,
             op4_best_fit_packing,
+            op5_max_plus_pieces,
             op6_site_quality,
             op7_backoff_automaton,
             op8_one_permutation_minhash,

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factloom.llm.common import word_hashes, written
+from factloom.llm.common import slices, word_hashes, written
 
 #: Labelled documents that the classifier is fitted on, in the order of a hash of the id.
 FIT_ROWS = 20_000
@@ -60,10 +60,11 @@ def features(texts: list[str]) -> np.ndarray:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = features(batch.column("text").to_pylist())
+        texts = batch.column("text").to_pylist()
+        values = [row for a, b in slices(texts) for row in features(texts[a:b])]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("host"), batch.column("path"),
-             pa.array(list(values), pa.list_(pa.float64()))],
+             pa.array(values, pa.list_(pa.float64()))],
             ["doc_id", "host", "path", "features"],
         )
 
