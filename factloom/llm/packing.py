@@ -8,7 +8,9 @@ a score over all residual capacities prefers, among the bins in which every cons
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,46 +19,87 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import SPACES, id_and_text, written
+from factloom.llm.common import id_and_text, slices, written
 
 #: Pieces that one task packs; more pieces mean more tasks.
 PIECES_PER_TASK = 8192
 #: Words whose ids a task remembers before it forgets them all.
-REMEMBERED_WORDS = 1 << 20
+REMEMBERED_WORDS = 1 << 19
 
 
-class WordTokens(dict):
-    """Ids of a white-space-free word as little-endian 32-bit bytes, remembered.
+#: Marks that end a word without joining it: their run is tokenized on its own.
+_MARKS = b".,;:!?*%$#&|"
 
-    The vocabulary's pre-tokenizer never joins characters across white space, so the ids of
-    a text are those of its words in order.
+
+class WordTokens:
+    """Ids of white-space-free words as little-endian 32-bit bytes, remembered.
+
+    The vocabulary's pre-tokenizer never joins characters across white space, nor a letter or
+    digit with marks after it, and lower-cases; so the ids of a text are those of its words in
+    order, and only the stem of a new word needs the tokenizer.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+
+    @staticmethod
+    def _split(word: bytes) -> tuple[bytes, bytes]:
+        stem = word.rstrip(_MARKS)
+        if not stem:
+            return word, b""
+        last = stem[-1:] if stem[-1] < 128 else stem.decode("utf-8")[-1]
+        if len(stem) < len(word) and not last.isalnum():
+            stem = word
+        # A special token is written with <, and only in lower case.
+        same = stem.lower() if stem.isascii() and b"<" not in stem else stem
+        return same, word[len(stem) :]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for a, b in slices(texts):
+            yield from self._encoded(texts[a:b])
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        split = [t.encode("utf-8").split() for t in texts]
+        if len(self.words) >= REMEMBERED_WORDS:
+            self.words.clear()
+            self.parts = {b"": b""}
+        new = {w: self._split(w) for w in set().union(*split).difference(self.words)}
+        parts = list({p for pair in new.values() for p in pair}.difference(self.parts))
+        found = self.tokenizer.encode_batch(
+            [p.decode("utf-8") for p in parts], add_special_tokens=False
+        )
+        self.parts.update((p, array("I", e.ids).tobytes()) for p, e in zip(parts, found))
+        self.words.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in new.items())
+        words = self.words
+        for own in split:
+            yield b"".join([words[w] for w in own])
+
+
+_remembered: dict[str, WordTokens] = {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        self[word] = value = np.array(ids, "<u4").tobytes()
-        return value
 
-    def encode(self, text: str) -> bytes:
-        return b"".join([self[w] for w in text.encode("utf-8").split()])
+def words_of(path: str) -> WordTokens:
+    """One memory per Python worker, which serves many tasks."""
+    if path not in _remembered:
+        _remembered[path] = WordTokens(path)
+    return _remembered[path]
 
 
 def _pieces(tokenizer_path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer_path)
+        words = words_of(tokenizer_path)
         end = np.array([0], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
             ids = []
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                data, doc_id = words.encode(text.as_py()) + end, doc_id.as_py()
+            texts = batch.column("text").to_pylist()
+            for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), words.encode(texts)):
+                data = tokens + end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     out["doc_id"].append(doc_id)
