@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from workloads.session import ready  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,5 +22,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ready(session)
     yield session
     session.stop()
