@@ -4,7 +4,7 @@ One hash per shingle fills all bins of a signature; an empty bin borrows from th
 filled bin in an order fixed for that bin, so any number of shingles gives bins that agree
 with the probability of the similarity.  Bins are banded into buckets.  A bucket never emits
 all its pairs: its members are compared with one of them, a star, and only where members
-stay in different components are further members taken as centres, four times as many each
+stay in different components are further members taken as centres, more of them each
 round.  Every candidate is confirmed on the full shingle sets.
 """
 
@@ -23,6 +23,8 @@ from factloom.llm.components import connected_components
 BINS = 128
 #: Four bins a band: two sets of similarity 0.8 share none of 32 bands with probability 5e-8.
 BAND_WIDTH = 4
+#: Centres that a bucket gets in its second round, and by how many times more in each after it.
+CENTRES = 256
 _ORDERS = np.stack([np.random.default_rng(j).permutation(BINS) for j in range(BINS)])
 
 
@@ -134,7 +136,7 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: in
     links = None
     step = 0
     while True:
-        by = ["bucket"] if step == 0 else ["bucket", F.pmod(F.xxhash64("set_id"), F.lit(4**step))]
+        by = ["bucket"] if step == 0 else ["bucket", F.pmod(F.xxhash64("set_id"), F.lit(CENTRES**step))]
         centres = alive.groupBy(*by).agg(
             F.min("set_id").alias("centre"),
             F.min_by("n", "set_id").alias("centre_n"),
@@ -160,8 +162,9 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: in
             .distinct()
         )
         found = _links(rows, pairs, size, percent)
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = connected_components(links)
         # Buckets whose members all ended in one component need no further comparison.
         rest = rest.select("bucket", "set_id", "n").join(
             labels.select(F.col("node").alias("set_id"), F.col("component").alias("label")),
