@@ -10,6 +10,9 @@ NULL_TEXT = "(null)"
 # underscore in any script).
 WORD_CLASS = r"[\p{L}\p{N}_]"
 
+# Fixed value: the texts that count as a number.
+FLOATING = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
+
 _FLOATING = (T.FloatType, T.DoubleType)
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -42,7 +45,8 @@ def lenient_double(column: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BooleanType):
         return column.cast("int").cast("double")
     if is_text(dtype):
-        return F.nanvl(column.try_cast("double"), F.lit(None).cast("double"))
+        # The cast alone would also take Java's suffixes (1d, 5F) and hexadecimal numbers.
+        return F.when(column.rlike(FLOATING), column.try_cast("double"))
     if isinstance(dtype, _FLOATING):
         return F.nanvl(column.cast("double"), F.lit(None).cast("double"))
     return column.cast("double")

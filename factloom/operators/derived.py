@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.functions.columns import col, is_text
@@ -18,10 +21,28 @@ SAMPLE_ROWS = 20
 PREFIX_ROWS = 1000
 
 
-def derived_columns(df: DataFrame, order_by: Sequence[str | Column] | None = None) -> list[str]:
+def stored_order(df: DataFrame) -> list[Column]:
+    """Files by path, and rows as they stand in them.
+
+    The position within the scan alone would put larger files first.
+    """
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
+    try:
+        df.select(*place)
+    except AnalysisException:  # not a scan of files
+        place = []
+    return [*place, F.monotonically_increasing_id()]
+
+
+def derived_columns(
+    df: DataFrame,
+    order_by: Sequence[str | Column] | None = None,
+    whole_table: bool = False,
+) -> list[str]:
     """Names of derived columns, in column order.
 
-    ``order_by`` should be a total order; without it the scan order of the rows is used.
+    ``order_by`` should be a total order; without it the stored order of the rows is used.
+    With ``whole_table`` all complete rows decide instead of the first 20.
     The first thousand rows in that order rule out nearly all triples of columns and
     decide most of the others.  Only triples that have fewer than 20 complete rows there
     are looked at again over the whole table.
@@ -29,11 +50,20 @@ def derived_columns(df: DataFrame, order_by: Sequence[str | Column] | None = Non
     names = [f.name for f in df.schema.fields if is_text(f.dataType)]
     if len(names) < 3:
         return []
-    keys = [col(k) if isinstance(k, str) else k for k in order_by or [F.monotonically_increasing_id()]]
+    keys = [col(k) if isinstance(k, str) else k for k in order_by or stored_order(df)]
     text = df.select(
         F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("position"),
         F.array(*[col(n) for n in names]).alias("texts"),
     )
+    if whole_table:
+        every = [
+            (t, a, b)
+            for t in range(len(names))
+            for a, b in combinations([i for i in range(len(names)) if i != t], 2)
+        ]
+        judged = _judge(text, every, sample=False)
+        derived = {t for (t, _, _), (_, both) in judged.items() if both}
+        return [n for i, n in enumerate(names) if i in derived]
     prefix = text.orderBy("position").limit(PREFIX_ROWS).persist()
     try:
         triples = _possible_triples(prefix, len(names))
@@ -92,22 +122,30 @@ def _possible_triples(prefix: DataFrame, width: int) -> list[tuple[int, int, int
 
 
 def _judge(
-    rows: DataFrame, triples: list[tuple[int, int, int]]
+    rows: DataFrame, triples: list[tuple[int, int, int]], sample: bool = True
 ) -> dict[tuple[int, int, int], tuple[int, bool]]:
-    """Complete rows (at most 20) and verdict per triple; one result row per triple."""
+    """Complete rows (of a sample at most 20) and verdict per triple; one result row per triple.
+
+    A row is multiplied only by the triples that are complete in it.
+    """
     if not triples:
         return {}
-    first_rows = Window.partitionBy("t", "a", "b").orderBy("position")
-    verdicts = (
-        rows.select("position", "texts", F.inline(_indices(triples, ["t", "a", "b"])))
-        .where(_text("t").isNotNull() & _text("a").isNotNull() & _text("b").isNotNull())
-        .select(
-            "t", "a", "b", "position",
-            (F.contains(_text("t"), _text("a")) & F.contains(_text("t"), _text("b"))).alias("both"),
+    fields = ["t", "a", "b"]
+    complete = F.filter(
+        _indices(triples, fields),
+        lambda x: reduce(and_, (F.get("texts", x[f]).isNotNull() for f in fields)),
+    )
+    found = rows.select("position", "texts", F.inline(complete)).select(
+        *fields, "position",
+        (F.contains(_text("t"), _text("a")) & F.contains(_text("t"), _text("b"))).alias("both"),
+    )
+    if sample:
+        first_rows = Window.partitionBy(*fields).orderBy("position")
+        found = found.withColumn("place", F.row_number().over(first_rows)).where(
+            F.col("place") <= SAMPLE_ROWS
         )
-        .withColumn("place", F.row_number().over(first_rows))
-        .where(F.col("place") <= SAMPLE_ROWS)
-        .groupBy("t", "a", "b")
+    verdicts = (
+        found.groupBy(*fields)
         .agg(F.count(F.lit(1)).alias("n"), F.bool_and("both").alias("contains_both"))
         .collect()
     )

@@ -7,7 +7,6 @@ pairs.  Measure/measure evidence needs one more pass for all pairs together.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -122,43 +121,77 @@ def category_evidence(cubed: DataFrame) -> DataFrame:
     )
 
 
+_PAIR_SUMS = (
+    "a int, b int, n bigint, sx double, sy double, sxx double, syy double, sxy double,"
+    " min_x double, max_x double, min_y double, max_y double"
+)
+
+
+def _pair_sums(shifts: list[float]):
+    """Sums of all pairs of columns over the rows complete for the pair, one row per pair and task.
+
+    Matrix products over Arrow batches; values are taken relative to ``shifts`` so that large
+    means lose no digits.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        width = len(shifts)
+        a, b = np.triu_indices(width, 1)
+        sums, least = np.zeros((6, width, width)), np.full((width, width), np.inf)
+        most = -least
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = ~np.isnan(x)
+            x = np.where(there, x - shifts, 0.0)
+            m = there.astype(float)
+            with np.errstate(invalid="ignore"):
+                # Entry [i, j]: over the rows where i and j are present.
+                sums += [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x]
+            for j in range(width):
+                both = there & there[:, j : j + 1]
+                least[:, j] = np.minimum(least[:, j], np.where(both, x, np.inf).min(axis=0, initial=np.inf))
+                most[:, j] = np.maximum(most[:, j], np.where(both, x, -np.inf).max(axis=0, initial=-np.inf))
+        n, sx, sy, sxx, syy, sxy = (s[a, b] for s in sums)
+        columns = [a, b, n.astype(np.int64), sx, sy, sxx, syy, sxy, least[a, b], most[a, b], least[b, a], most[b, a]]
+        names = ["a", "b", "n", "sx", "sy", "sxx", "syy", "sxy", "min_x", "max_x", "min_y", "max_y"]
+        types = [pa.int32()] * 2 + [pa.int64()] + [pa.float64()] * 9
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    return run
+
+
 def correlations(df: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of measures over the rows complete for the pair.
 
     Pairs with fewer than two rows or a constant side are left out.
     """
-    pairs = list(combinations(range(len(measures)), 2))
-    if not pairs:
+    if len(measures) < 2:
         return df.sparkSession.createDataFrame(
             [], "column_a string, column_b string, n bigint, correlation double"
         )
     values = df.select(*[measure(df, m).alias(f"v{i}") for i, m in enumerate(measures)])
-    names = df.sparkSession.createDataFrame(
-        [(p, measures[a], measures[b]) for p, (a, b) in enumerate(pairs)],
-        "pair int, column_a string, column_b string",
-    )
-    entries = [
-        F.struct(F.lit(p).alias("pair"), F.col(f"v{a}").alias("x"), F.col(f"v{b}").alias("y"))
-        for p, (a, b) in enumerate(pairs)
-    ]
-    r = F.try_divide("covariance", F.col("sd_x") * F.col("sd_y"))
+    finite = [F.avg(F.when(is_finite(F.col(c)), F.col(c))).alias(c) for c in values.columns]
+    shifts = [m or 0.0 for m in values.agg(*finite).first()]
+    names = F.lit(list(measures))
+    covariance = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    spread_x = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
+    spread_y = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    r = F.try_divide(covariance, F.sqrt(spread_x) * F.sqrt(spread_y))
     return (
-        values.select(F.inline(F.array(*entries)))
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("pair")
+        values.mapInArrow(_pair_sums(shifts), _PAIR_SUMS)
+        .groupBy("a", "b")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.covar_samp("x", "y").alias("covariance"),
-            F.stddev_samp("x").alias("sd_x"),
-            F.stddev_samp("y").alias("sd_y"),
-            (F.min("x") < F.max("x")).alias("x_varies"),
-            (F.min("y") < F.max("y")).alias("y_varies"),
+            *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")],
+            *[F.min(c).alias(c) for c in ("min_x", "min_y")],
+            *[F.max(c).alias(c) for c in ("max_x", "max_y")],
         )
-        .where("n >= 2 and x_varies and y_varies")
-        .join(names, "pair")
+        .where("n >= 2 and min_x < max_x and min_y < max_y")
         .select(
-            "column_a",
-            "column_b",
+            F.get(names, F.col("a")).alias("column_a"),
+            F.get(names, F.col("b")).alias("column_b"),
             "n",
             # Rounding may push a perfect correlation past 1.
             F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("correlation"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -12,7 +13,9 @@ from factloom.operators.derived import derived_columns
 from factloom.operators.retrieval import relationship_id
 from factloom.schemas import SCHEMAS
 from factloom.sources.store import KnowledgeStore
-from factloom.sources.tables import spread_small_scan
+from factloom.sources.tables import remove
+
+TABLES = ["column_metadata", "column_stats", "group_statistics", "pairwise_evidence", "fact_combinations"]
 
 
 def build_knowledge(
@@ -20,24 +23,34 @@ def build_knowledge(
     dataset_id: str,
     df: DataFrame,
     order_by: Sequence[str | Column] | None = None,
+    hidden: Sequence[str] = (),
 ) -> None:
     """Catalog, profile, relationships and facts of a dataset, replaced as a whole.
 
+    Everything is built aside and takes the place of the earlier knowledge at the end, so a
+    build that fails leaves that as it was.  ``hidden`` columns only serve ``order_by``.
+
     ``df`` is scanned several times with only the columns each step needs, so it should
     be a plain scan of stored files.  ``order_by`` is a total order that defines the first
-    rows for the detection of derived columns; without it the scan order does.  A failure
+    rows for the detection of derived columns; without it the stored order does.  A failure
     leaves the status ``error`` and is raised.
     """
+    aside = KnowledgeStore(store.spark, f"{store.root}/building/{uuid.uuid4().hex}")
     try:
-        _build(store, dataset_id, df, order_by)
+        row_count, column_count = _build(aside, dataset_id, df, order_by, hidden)
+        for table in TABLES:
+            store.adopt(aside, table, dataset_id)
     except Exception:
         store.log_status(dataset_id, "error")
         raise
+    finally:
+        remove(store.spark, aside.root)
+    store.log_status(dataset_id, "processed", row_count=row_count, column_count=column_count)
 
 
-def _build(store, dataset_id, df, order_by) -> None:
+def _build(store, dataset_id, df, order_by, hidden) -> tuple[int, int]:
     derived = derived_columns(df, order_by)
-    df = spread_small_scan(df)
+    df = df.drop(*hidden)
     described = catalog.semantic_roles(catalog.column_catalog(df), derived)
     store.replace(
         "column_metadata",
@@ -48,7 +61,6 @@ def _build(store, dataset_id, df, order_by) -> None:
     )
     roles = stored_roles(store, dataset_id)
     row_count = max((r.row_count or 0 for r in roles), default=0)
-    store.log_status(dataset_id, "processing", row_count=row_count, column_count=len(df.columns))
 
     # Profile and cube need nothing from each other, nor do evidence and facts; their jobs
     # share the cluster.
@@ -59,7 +71,7 @@ def _build(store, dataset_id, df, order_by) -> None:
         _store_facts(store, dataset_id, grouped, roles)
         related.result()
         profiled.result()
-    store.log_status(dataset_id, "processed")
+    return row_count, len(df.columns)
 
 
 def _store_profile(store, dataset_id, df, roles) -> None:

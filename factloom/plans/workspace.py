@@ -8,9 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factloom.operators import cube, impact, questions, relationships, retrieval
+from factloom.operators.derived import stored_order
 from factloom.plans.pipeline import build_knowledge, stored_roles
 from factloom.sources.store import KnowledgeStore
-from factloom.sources.tables import materialise, read_table
+from factloom.sources.tables import materialise, read_table, remove
+
+#: Column of stored copies that holds where a row stood in its source.
+PLACE = "__place"
 
 
 class Workspace:
@@ -31,19 +35,27 @@ class Workspace:
         size_bytes: int | None = None,
     ) -> str:
         """Enter a stored dataset with status ``processing`` and return its id."""
-        dataset_id = dataset_id or str(uuid.uuid4())
-        stem = source_path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        self.store.log_status(
-            dataset_id,
-            "processing",
-            name=name or stem,
-            source_path=source_path,
-            format=fmt,
-            size_bytes=size_bytes,
-            row_count=0,
-            column_count=0,
-        )
-        return dataset_id
+        return self.register_all([(source_path, fmt, name, dataset_id, size_bytes)])[0]
+
+    def register_all(self, sources: Sequence[tuple]) -> list[str]:
+        """Enter many datasets, given as (path, format, name, id, size), in one write."""
+        lines = []
+        for source_path, fmt, name, dataset_id, size_bytes in sources:
+            stem = source_path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+            lines.append(
+                {
+                    "dataset_id": dataset_id or str(uuid.uuid4()),
+                    "status": "processing",
+                    "name": name or stem,
+                    "source_path": source_path,
+                    "format": fmt,
+                    "size_bytes": size_bytes,
+                    "row_count": 0,
+                    "column_count": 0,
+                }
+            )
+        self.store.log_many(lines)
+        return [line["dataset_id"] for line in lines]
 
     def add(self, df: DataFrame, name: str, dataset_id: str | None = None) -> str:
         """Write a DataFrame below the workspace and register it.
@@ -52,22 +64,42 @@ class Workspace:
         expensive plan from being run again and survives lost executors.
         """
         dataset_id = dataset_id or str(uuid.uuid4())
-        path = f"{self.store.root}/sources/{dataset_id}"
+        path = self._copy(dataset_id)
         df.write.mode("overwrite").parquet(path)
         return self.register(path, "parquet", name, dataset_id)
 
     def process(self, dataset_id: str, order_by: Sequence[str | Column] | None = None) -> None:
         """Build all knowledge of a registered dataset."""
+        entry = self.store.require(dataset_id, processed=False)
         try:
-            df = self.rows(dataset_id)
+            if entry["format"] != "parquet":
+                self._store_once(dataset_id, entry)
+                df, order_by = self.spark.read.parquet(self._copy(dataset_id)), order_by or [PLACE]
+            else:
+                df = self.rows(dataset_id)
         except Exception:
             self.store.log_status(dataset_id, "error")
             raise
-        build_knowledge(self.store, dataset_id, df, order_by)
+        build_knowledge(self.store, dataset_id, df, order_by, hidden=[PLACE])
+
+    def _copy(self, dataset_id: str) -> str:
+        return f"{self.store.root}/sources/{dataset_id}"
+
+    def _store_once(self, dataset_id: str, entry) -> None:
+        """Parse a text file once; everything after reads the columns it needs from Parquet.
+
+        The place of each row is kept next to it, because it decides about derived columns.
+        """
+        df = read_table(self.spark, entry["source_path"], entry["format"])
+        place = F.struct(*[c.alias(f"p{i}") for i, c in enumerate(stored_order(df))])
+        df.withColumn(PLACE, place).write.mode("overwrite").parquet(self._copy(dataset_id))
 
     def rows(self, dataset_id: str) -> DataFrame:
+        """The dataset as the knowledge build reads it."""
         entry = self.store.require(dataset_id, processed=False)
-        return read_table(self.spark, entry["source_path"], entry["format"])
+        if entry["format"] == "parquet":
+            return read_table(self.spark, entry["source_path"])
+        return self.spark.read.parquet(self._copy(dataset_id)).drop(PLACE)
 
     def datasets(self) -> DataFrame:
         return self.store.datasets()
@@ -95,10 +127,16 @@ class Workspace:
             (F.col("dimension") == dimension) & (F.col("metric") == metric)
         ).select("dimension", "metric", "value", "mean")
 
+    def all_group_means(self, dataset_id: str) -> DataFrame:
+        """Mean per group behind every relationship of a dimension and a measure, as rows."""
+        self.store.require(dataset_id, processed=False)
+        groups = relationships.group_stats(self.store.read("group_statistics", dataset_id))
+        return groups.select("dimension", "metric", "value", "mean", "count")
+
     def evidence(self, dataset_id: str, metric: str, dimension: str, limit: int = 20) -> DataFrame:
         self.store.require(dataset_id)
         return impact.ranked_evidence(
-            self.rows(dataset_id),
+            lambda: self.rows(dataset_id),
             stored_roles(self.store, dataset_id),
             self._facts(dataset_id),
             metric,
@@ -114,11 +152,21 @@ class Workspace:
         roles = stored_roles(self.store, dataset_id)
         return questions.structure_questions(asked, roles, self._facts(dataset_id))
 
+    def rejected(self, asked: DataFrame) -> DataFrame:
+        """Questions that `structure`, `answer` and `ask` leave out: without text, too short, too long."""
+        return questions.rejected(asked)
+
     def answer(self, dataset_id: str, asked: DataFrame) -> DataFrame:
-        """Structure and evidence package of many questions."""
-        # The structures are used three times below.
+        """Structure and evidence package of many questions.
+
+        The structures are used three times and therefore written below the workspace; they
+        stay there for as long as the result may be read.
+        """
+        return self._answer(dataset_id, asked, f"{self.store.root}/scratch")
+
+    def _answer(self, dataset_id: str, asked: DataFrame, scratch: str) -> DataFrame:
         return retrieval.evidence_packages(
-            materialise(self.structure(dataset_id, asked), "structures"),
+            materialise(self.structure(dataset_id, asked), "structures", scratch),
             self._facts(dataset_id),
             self.store.read("pairwise_evidence", dataset_id),
         )
@@ -126,10 +174,16 @@ class Workspace:
     def ask(self, dataset_id: str, asked: DataFrame, batch: str | None = None) -> DataFrame:
         """Answer questions, keep the answers, and return them as stored.
 
-        Repeating a batch replaces its answers.
+        Repeating a batch replaces its answers.  Questions that are not answered are kept in
+        the table ``rejected_questions`` of the same batch.
         """
         batch = batch or uuid.uuid4().hex
-        answers = self.answer(dataset_id, asked).select(
+        scratch = f"{self.store.root}/scratch/{uuid.uuid4().hex}"
+        refused = self.rejected(asked).select(
+            F.col("question_id").cast("string"), "query_text", F.current_timestamp().alias("created_at")
+        )
+        self.store.append("rejected_questions", dataset_id, refused, "batch", batch)
+        answers = self._answer(dataset_id, asked, scratch).select(
             F.col("question_id").cast("string"),
             "query_text",
             "structure",
@@ -137,6 +191,7 @@ class Workspace:
             F.current_timestamp().alias("created_at"),
         )
         self.store.append("analyst_queries", dataset_id, answers, "batch", batch)
+        remove(self.spark, scratch)
         return self.store.read("analyst_queries", dataset_id).where(F.col("batch") == batch)
 
     def _facts(self, dataset_id: str) -> DataFrame:

@@ -42,6 +42,9 @@ SCHEMAS = {
         " relationship_id bigint, dataset_id string"
     ),
     "fact_combinations": _FACT_COLUMNS + ", dataset_id string, dimension string",
+    "rejected_questions": (
+        "question_id string, query_text string, created_at timestamp, dataset_id string, batch string"
+    ),
     "analyst_queries": (
         "question_id string, query_text string,"
         " structure struct<intent:string, target_metric:string, dimensions:array<string>,"

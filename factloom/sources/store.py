@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -56,15 +57,30 @@ class KnowledgeStore:
         """Add rows under their own part; writing the same part again replaces it."""
         rows.write.mode("overwrite").parquet(f"{self._folder(table, dataset_id)}/{part}={part_id}")
 
+    def adopt(self, other: KnowledgeStore, table: str, dataset_id: str) -> None:
+        """Move the dataset's rows of a table here from another store, in place of its own."""
+        target, source = (
+            self.spark._jvm.org.apache.hadoop.fs.Path(s._folder(table, dataset_id)) for s in (self, other)
+        )
+        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(target.getParent())
+        files.delete(target, True)
+        if files.exists(source) and not files.rename(source, target):
+            raise OSError(f"could not move {source} to {target}")
+
     def read(self, table: str, dataset_id: str | None = None) -> DataFrame:
-        """Rows of a table, or of one dataset in it (pruned to its folder)."""
+        """Rows of a table, or of one dataset in it, whose folder alone is then listed."""
+        top = f"{self.root}/{table}"
         try:
-            rows = self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}")
+            return (
+                self.spark.read.schema(SCHEMAS[table])
+                .option("basePath", top)
+                .parquet(top if dataset_id is None else self._folder(table, dataset_id))
+            )
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            rows = self.spark.createDataFrame([], SCHEMAS[table])
-        return rows if dataset_id is None else rows.where(F.col("dataset_id") == dataset_id)
+            return self.spark.createDataFrame([], SCHEMAS[table])
 
     # -- dataset registry -------------------------------------------------------------
 
@@ -77,9 +93,28 @@ class KnowledgeStore:
         )
         self.append("datasets", dataset_id, line.coalesce(1), "event", uuid.uuid4().hex)
 
+    def log_many(self, lines: Sequence[dict]) -> None:
+        """Append a line each to the histories of many datasets, in one write."""
+        fields = T.StructType.fromDDL(_REGISTRY_LINE + ", dataset_id string, event string")
+        event = uuid.uuid4().hex
+        rows = [tuple({**line, "event": event}.get(f) for f in fields.names) for line in lines]
+        for line in lines:
+            self._folder("datasets", line["dataset_id"])
+        (
+            self.spark.createDataFrame(rows, fields)
+            .withColumn("updated_at", F.current_timestamp())
+            .coalesce(1)
+            .write.mode("append")
+            .partitionBy("dataset_id", "event")
+            .parquet(f"{self.root}/datasets")
+        )
+
     def datasets(self) -> DataFrame:
         """Every dataset with the last known value of each field."""
-        history = self.read("datasets")
+        return self._latest(self.read("datasets"))
+
+    @staticmethod
+    def _latest(history: DataFrame) -> DataFrame:
         moment = F.struct("updated_at", "event")
         return history.groupBy("dataset_id").agg(
             *[
@@ -91,7 +126,7 @@ class KnowledgeStore:
         )
 
     def _current(self, dataset_id: str):
-        return self.datasets().where(F.col("dataset_id") == dataset_id).first()
+        return self._latest(self.read("datasets", dataset_id)).first()
 
     def require(self, dataset_id: str, processed: bool = True):
         """The registry row of a dataset, which must exist and (by default) be ready."""

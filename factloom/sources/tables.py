@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,34 +16,25 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options)
     return spark.read.format(fmt).options(**options).load(path)
 
 
-def spread_small_scan(scan: DataFrame) -> DataFrame:
-    """Spread a plain scan that has fewer splits than the cluster has cores.
-
-    A file with a single row group is read by one task, and every narrow step after it
-    would stay in that task.  Large inputs have more splits than cores and are returned
-    as they are, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() < cores:
-        return scan.repartition(cores)
-    return scan
-
-
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared checkpoint directory named by the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def scratch_dir(spark: SparkSession, purpose: str, base: str | None = None) -> str:
+    """A fresh folder below a shared one: ``base``, or what the session calls spark.checkpoint.dir."""
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        # Only where no shared folder is configured, as on a single test machine.
-        base = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("no shared scratch folder: set spark.checkpoint.dir")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, purpose: str) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark can write to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialise(df: DataFrame, purpose: str, base: str | None = None) -> DataFrame:
     """Write the rows once to the shared scratch folder and go on from the written table.
 
     For results that several later steps use and that are costly to compute again.
     """
-    path = scratch_dir(df.sparkSession, purpose)
+    path = scratch_dir(df.sparkSession, purpose, base)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

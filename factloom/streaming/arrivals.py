@@ -7,8 +7,10 @@ inbox folder; the data themselves stay where they are and are read in parallel.
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom.plans.workspace import Workspace
@@ -16,6 +18,8 @@ from factloom.plans.workspace import Workspace
 log = logging.getLogger(__name__)
 
 ANNOUNCEMENT = "dataset_id string, path string, format string, name string"
+#: What is wrong with a dataset itself: a missing path, columns or rows that cannot be used.
+DATASET_FAULTS = (AnalysisException, ValueError)
 
 
 def watch_inbox(
@@ -24,29 +28,47 @@ def watch_inbox(
     checkpoint: str,
     available_now: bool = True,
     files_per_batch: int = 16,
+    builds_at_once: int = 4,
 ) -> StreamingQuery:
-    """Register and process every announced dataset, each in its own build.
+    """Register and process every announced dataset, several builds at a time.
 
-    A batch that is repeated after a failure rebuilds the same datasets; every build
-    replaces what it wrote before.  A dataset that cannot be processed gets the status
-    ``error`` and does not stop the stream.
+    Of several lines for one dataset in a batch the last one counts: by time of the file, its
+    path, and place in it.  A dataset that cannot be processed gets the status ``error`` and
+    does not stop the stream; any other failure is raised, so that the batch is repeated after
+    a restart.  A repeated batch rebuilds the same datasets; every build replaces what it
+    wrote before.
     """
 
+    def build(dataset_id: str) -> None:
+        try:
+            workspace.process(dataset_id)
+        except DATASET_FAULTS:  # the status is already stored
+            log.exception("dataset %s could not be processed", dataset_id)
+
     def process(batch: DataFrame, _batch_id: int) -> None:
+        lines = batch.withColumn("place", F.monotonically_increasing_id())
+        last = lines.groupBy("dataset_id").agg(
+            F.max_by(
+                F.struct("path", "format", "name"), F.struct("modified", "file", "place")
+            ).alias("line")
+        )
         # A bounded number of announcement files, a line per dataset.
-        for line in batch.dropDuplicates(["dataset_id"]).collect():
-            dataset_id = workspace.register(
-                line["path"], line["format"] or "parquet", line["name"], line["dataset_id"]
-            )
-            try:
-                workspace.process(dataset_id)
-            except Exception:  # the status is already stored
-                log.exception("dataset %s could not be processed", dataset_id)
+        lines = [(r["dataset_id"], r["line"]) for r in last.collect()]
+        workspace.register_all(
+            [(line["path"], line["format"] or "parquet", line["name"], i, None) for i, line in lines]
+        )
+        with ThreadPoolExecutor(max_workers=builds_at_once) as pool:
+            list(pool.map(build, [i for i, _ in lines]))
 
     writer = (
         workspace.spark.readStream.schema(ANNOUNCEMENT)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(inbox)
+        .select(
+            "*",
+            F.col("_metadata.file_modification_time").alias("modified"),
+            F.col("_metadata.file_path").alias("file"),
+        )
         .writeStream.foreachBatch(process)
         .option("checkpointLocation", checkpoint)
     )

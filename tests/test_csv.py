@@ -1,6 +1,6 @@
 import pytest
 
-from factloom.sources.csv import scan_csv, unique_names
+from factloom.sources.csv import SurplusFields, _has_open_quote, scan_csv, unique_names
 
 
 def read(spark, tmp_path, text, **options):
@@ -29,8 +29,35 @@ def test_types_and_missing_values(spark, tmp_path):
     assert [r["e"] for r in rows] == [None, None, None]
 
 
-def test_numbers_beyond_bigint_become_double(spark, tmp_path):
-    assert dict(read(spark, tmp_path, "x\n1\n99999999999999999999\n").dtypes) == {"x": "double"}
+def test_numbers_beyond_bigint(spark, tmp_path):
+    df = read(
+        spark, tmp_path,
+        "long,unsigned,mixed,gap\n99999999999999999999,18446744073709551615,-1,18446744073709551615\n"
+        "99999999999999999998,1,18446744073709551615,\n",
+    )
+    assert dict(df.dtypes) == {"long": "string", "unsigned": "decimal(20,0)", "mixed": "string", "gap": "string"}
+    assert {r["long"] for r in df.collect()} == {"99999999999999999999", "99999999999999999998"}
+
+
+def test_booleans_with_gaps_are_one_text_each(spark, tmp_path):
+    rows = read(spark, tmp_path, "k,b\n1,true\n2,TRUE\n3,NA\n4,False\n5,false\n").orderBy("k").collect()
+    assert [r["b"] for r in rows] == ["True", "True", None, "False", "False"]
+
+
+def test_rows_with_more_fields_than_the_header_fail(spark, tmp_path):
+    with pytest.raises(SurplusFields, match="2 rows"):
+        read(spark, tmp_path, 'a,b\n1,2\n3,4,5\n6,7,\n')
+    short = read(spark, tmp_path, 'a,b\n1,"x,y"\n3\n')
+    assert [tuple(r) for r in short.orderBy("a").collect()] == [(1, "x,y"), (3, None)]
+
+
+def test_inch_marks_do_not_stop_the_split(spark, tmp_path):
+    path = tmp_path / "inch.csv"
+    path.write_text('a,b\n5" pipe,1\n"a ""b"" c",2\n')
+    assert not _has_open_quote(spark, str(path), ",")
+    assert [r["a"] for r in scan_csv(spark, str(path)).orderBy("b").collect()] == ['5" pipe', 'a "b" c']
+    path.write_text('a,b\nx,"two\nlines"\n')
+    assert _has_open_quote(spark, str(path), ",")
 
 
 def test_quotes_and_line_breaks_inside_fields(spark, tmp_path):

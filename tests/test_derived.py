@@ -37,3 +37,34 @@ def test_equal_to_brute_force(spark, seed, size, gap):
 def test_rows_without_complete_sample_never_match(spark):
     df = spark.createDataFrame([(1, "a", None, "ab"), (2, None, "b", "ab")], "pos int, x string, y string, z string")
     assert derived_columns(df, ["pos"]) == []
+
+
+def test_whole_table_mode_looks_beyond_the_sample(spark):
+    rows = [(i, "a", "b", "ab" if i < 25 else "zz") for i in range(60)]
+    df = spark.createDataFrame(rows, "pos int, x string, y string, z string")
+    assert derived_columns(df, ["pos"]) == ["z"]
+    assert derived_columns(df, ["pos"], whole_table=True) == []
+    assert derived_columns(df.where("pos < 25"), ["pos"], whole_table=True) == ["z"]
+
+
+def test_files_are_taken_by_path(spark, tmp_path):
+    """The larger second file is scanned first; the rows of the first file decide."""
+    names = "pos int, x string, y string, z string"
+    first = [(i, "a", "b", "ab") for i in range(20)]
+    second = [(i, "a", "b", "zz") for i in range(20, 400)]
+    for name, rows in (("a", first), ("b", second)):
+        spark.createDataFrame(rows, names).coalesce(1).write.csv(str(tmp_path / name))
+    df = spark.read.schema(names).csv([str(tmp_path / "a"), str(tmp_path / "b")])
+    assert derived_columns(df) == ["z"]
+
+
+def test_wide_sparse_table(spark):
+    """Rows are multiplied by the triples they hold only: three of forty columns here."""
+    rows = []
+    for i in range(300):
+        row = [None] * 40
+        for k in range(3):
+            row[(i * 3 + k) % 39] = "ab" if k == 2 else "ab"[k]
+        rows.append((i, *row))
+    df = spark.createDataFrame(rows, "pos int, " + ", ".join(f"c{i} string" for i in range(40)))
+    assert derived_columns(df, ["pos"]) == [f"c{i}" for i in range(2, 39, 3)]

@@ -12,6 +12,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 from workloads import oracle, registry
+from workloads.session import ready
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -65,6 +66,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ready(spark)
     con = connect(sf_dir)
     for name in names:
         try:

@@ -519,10 +519,12 @@ def statements() -> dict[str, str]:
         "SELECT ordinal, name, technical_type, row_count, non_null_count, unique_count, null_count,"
         f" null_count > 0 AS is_nullable, {r('ratio', 9, 'cardinality_ratio')} FROM roles"
     )
-    sql["lenient_cast"] = f"""SELECT l_returnflag, count(written) AS written, count(try_cast(written AS DOUBLE)) AS parsed,
-  {r('sum(try_cast(written AS DOUBLE))', 2, 'total')}
-FROM (SELECT l_returnflag, CASE l_linenumber % 3 WHEN 0 THEN l_returnflag WHEN 1 THEN l_extendedprice::VARCHAR
-        ELSE l_quantity::INT::VARCHAR || 'e1' END AS written FROM lineitem) GROUP BY l_returnflag"""
+    sql["lenient_cast"] = f"""SELECT l_returnflag, count(written) AS written, count(number) AS parsed,
+  {r('sum(number)', 2, 'total')}
+FROM (SELECT *, CASE WHEN regexp_full_match(written, '[+-]?[0-9.]+(e[0-9]+)?') THEN try_cast(written AS DOUBLE) END AS number
+  FROM (SELECT l_returnflag, CASE l_linenumber WHEN 4 THEN l_quantity::INT::VARCHAR || 'd' WHEN 5 THEN l_quantity::INT::VARCHAR || 'F'
+        WHEN 6 THEN '0x1p3' ELSE CASE l_linenumber % 3 WHEN 0 THEN l_returnflag WHEN 1 THEN l_extendedprice::VARCHAR
+        ELSE l_quantity::INT::VARCHAR || 'e1' END END AS written FROM lineitem)) GROUP BY l_returnflag"""
     sql["semantic_roles"] = _with(*_sales_roles()) + (
         f"SELECT {role_columns}, aggregation, is_derived, is_redundant FROM roles"
     )
@@ -674,7 +676,9 @@ WHERE (purpose = 'fact_dimension' AND business_role IN ('DIMENSION', 'ENTITY') A
   CASE WHEN o_orderkey % 7 IN (0, 1) THEN NULL ELSE o_custkey::DOUBLE END AS o_custkey,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
   o_orderkey % 2 = 0 AS is_even,
-  CASE o_orderkey % 11 WHEN 0 THEN 'true' WHEN 1 THEN NULL ELSE 'false' END AS maybe,
+  CASE o_orderkey % 11 WHEN 0 THEN 'True' WHEN 1 THEN NULL ELSE 'False' END AS maybe,
+  '9999999999999999' || (10000 + o_orderkey % 7) AS account,
+  CASE o_orderkey % 3 WHEN 0 THEN 18446744073709551615 ELSE o_orderkey END::DECIMAL(20, 0) AS unsigned_key,
   'say "' || o_orderpriority || '", please' AS priority FROM orders"""
     sql["dataset_registry"] = "\nUNION ALL ".join(
         f"SELECT '{t}' AS dataset_id, '{t}' AS name, 'parquet' AS format, "

@@ -80,10 +80,18 @@ def column_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lenient_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = views.table(spark, sf_dir, "lineitem")
     kind = F.col("l_linenumber") % 3
+    whole = F.col("l_quantity").cast("int").cast("string")
     text = (
         F.when(kind == 0, F.col("l_returnflag"))
         .when(kind == 1, F.col("l_extendedprice").cast("string"))
-        .otherwise(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("e1")))
+        .otherwise(F.concat(whole, F.lit("e1")))
+    )
+    # Numbers to Java only.
+    text = (
+        F.when(F.col("l_linenumber") == 4, F.concat(whole, F.lit("d")))
+        .when(F.col("l_linenumber") == 5, F.concat(whole, F.lit("F")))
+        .when(F.col("l_linenumber") == 6, "0x1p3")
+        .otherwise(text)
     )
     number = lenient_double(F.col("written"), line.schema["l_returnflag"].dataType)
     return (
@@ -606,7 +614,11 @@ def scan_csv_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 7 == 0, "N/A").when(key % 7 == 1, "nan").otherwise(F.col("o_custkey").cast("string")).alias("o_custkey"),
         F.when(key % 5 == 0, "NULL").otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
         F.when(key % 2 == 0, "True").otherwise("False").alias("is_even"),
-        F.when(key % 11 == 0, "true").when(key % 11 == 1, None).otherwise("false").alias("maybe"),
+        F.when(key % 11 == 0, F.when(key % 2 == 0, "true").otherwise("TRUE"))
+        .when(key % 11 == 1, None).otherwise("false").alias("maybe"),
+        # Beyond 64 bits, and beyond 63.
+        F.concat(F.lit("9999999999999999"), (10000 + key % 7).cast("string")).alias("account"),
+        F.when(key % 3 == 0, "18446744073709551615").otherwise(key.cast("string")).alias("unsigned_key"),
         F.concat(F.lit('say "'), "o_orderpriority", F.lit('", please')).alias("priority"),
     )
     path = scratch_dir(spark, "csv")

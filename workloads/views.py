@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.sources.tables import spread_small_scan
-
 SALES_ORDER = [
     "order_id", "line_number", "customer_name", "ship_date", "quantity",
     "net_amount", "tax_rate", "discount", "brand",
@@ -18,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One denormalised row per order line, with gaps injected in two columns."""
-    line = spread_small_scan(table(spark, sf_dir, "lineitem"))
+    line = table(spark, sf_dir, "lineitem")
     orders, customer, nation, region, part = (
         table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region", "part")
     )
@@ -57,7 +55,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions asked of ``sales``: user turns of the conversations, and one question per
     customer that names the customer, its nation, region or segment."""
     turns = (
-        spread_small_scan(table(spark, sf_dir, "conversations"))
+        table(spark, sf_dir, "conversations")
         .where(F.col("role") == "user")
         .select(
             F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("question_id"),
@@ -76,7 +74,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Prior quarter: tax rates by brand and nations for "), "n_name"))
     )
     per_customer = (
-        spread_small_scan(table(spark, sf_dir, "customer"))
+        table(spark, sf_dir, "customer")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.concat_ws("-", F.lit("customer"), "c_custkey").alias("question_id"), wording.alias("query_text"))
