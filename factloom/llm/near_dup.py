@@ -4,8 +4,8 @@ One hash per shingle fills all bins of a signature; an empty bin borrows from th
 filled bin in an order fixed for that bin, so any number of shingles gives bins that agree
 with the probability of the similarity.  Bins are banded into buckets.  A bucket never emits
 all its pairs: its members are compared with one of them, a star, and only where members
-stay in different components are further members taken as centres, more of them each
-round.  Every candidate is confirmed on the full shingle sets.
+stay in different components are further members taken as centres: a few of a large bucket,
+four times as many each round.  Every candidate is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -15,16 +15,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.llm.common import chained, id_and_text, slices, word_hashes, written
 from factloom.llm.components import connected_components
 
-BINS = 128
-#: Four bins a band: two sets of similarity 0.8 share none of 32 bands with probability 5e-8.
-BAND_WIDTH = 4
-#: Centres that a bucket gets in its second round, and by how many times more in each after it.
-CENTRES = 256
+BINS = 512
+#: Eight bins a band: two sets of similarity 0.8 share none of 64 bands with probability 8e-6,
+#: two of similarity 0.4 share one with probability 0.04.
+BAND_WIDTH = 8
+#: A bucket of at most SMALL members gets them all as centres in its second round; a larger one
+#: gets CENTRES, and so many times more in each round after.
+SMALL, CENTRES = 16, 4
+#: Bits of the filter that tells which texts may be candidates; full or not, it loses none.
+FILTER_BITS = 1 << 24
 _ORDERS = np.stack([np.random.default_rng(j).permutation(BINS) for j in range(BINS)])
 
 
@@ -46,10 +50,15 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     values, filled = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
     values[bins[first]], filled[bins[first]] = hashes[first], True
     empty = np.flatnonzero(~filled)
-    if len(empty):
-        orders = _ORDERS[empty]
-        donors = orders[np.arange(len(empty)), filled[orders].argmax(axis=1)]
-        values[empty] = values[donors]
+    if len(first):
+        tried = 32
+        while len(empty):
+            orders = _ORDERS[empty, :tried]
+            hits = filled[orders]
+            at = hits.argmax(axis=1)
+            found = hits[np.arange(len(empty)), at]
+            values[empty[found]] = values[orders[found, at[found]]]
+            empty, tried = empty[~found], BINS
     return values
 
 
@@ -86,9 +95,25 @@ def _signatures(size: int):
     return run
 
 
-def _shingle_sets(size: int):
+def _bits(ids: DataFrame) -> bytes:
+    """A filter of FILTER_BITS bits with one set for each id: two megabytes however many ids."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = (
+        ids.select(slot.alias("slot"))
+        .groupBy((F.col("slot") / 64).cast("int").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    )
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.collect():  # FILTER_BITS / 64 rows at most
+        table[r["word"]] = r["bits"]
+    return table.tobytes()
+
+
+def _shingle_sets(size: int, packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(maybe[batch.column("slot").to_numpy()]))
             found = shingle_sets(batch.column("text").to_pylist(), size)
             sets = [s.view(np.int64) for s in found]
             yield pa.RecordBatch.from_arrays(
@@ -98,6 +123,15 @@ def _shingle_sets(size: int):
     return run
 
 
+def _candidate_sets(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, hashes) of the documents in `ids`; the texts themselves are not moved."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot")
+    sets = rows.where("doc_id IS NOT NULL").select("doc_id", "text", slot).mapInArrow(
+        _shingle_sets(size, _bits(ids)), "id long, hashes array<long>"
+    )
+    return written(sets.join(ids, F.col("id") == F.col("doc_id"), "left_semi"), "near-sets")
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,73 +147,85 @@ def _confirmed(percent: int):
     return run
 
 
-def _links(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    pairs = written(pairs, "near-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = texts.mapInArrow(_shingle_sets(size), "id long, hashes array<long>")
     both = (
         pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b")
         .join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a")
         .select("a", "b", "left", "right")
     )
-    return written(both.mapInArrow(_confirmed(percent), "a long, b long"), "near-links")
+    return written(both.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "near-links")
+
+
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their components, of the buckets that still hold several components."""
+    labelled = members.join(
+        labels.select(F.col("node").alias("set_id"), F.col("component").alias("label")),
+        "set_id", "left",
+    ).select("bucket", "set_id", "n", F.coalesce("label", "set_id").alias("component"))
+    several = (
+        labelled.groupBy("bucket")
+        .agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.count(F.lit(1)).alias("size"),
+        )
+        .where("low < high")
+        .select("bucket", "size")
+    )
+    return written(labelled.join(several, "bucket"), "near-open")
+
+
+def _centres(alive: DataFrame, *by: str | Column) -> DataFrame:
+    """The smallest set of each group, with its size, component and the group's members."""
+    return alive.groupBy("bucket", *by).agg(
+        F.min("set_id").alias("centre"),
+        F.min_by("n", "set_id").alias("centre_n"),
+        F.min_by("component", "set_id").alias("centre_component"),
+        F.count(F.lit(1)).alias("members"),
+    )
 
 
 def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) of all shingle sets that are linked with another one."""
     similar = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
+    apart = F.col("component") != F.col("centre_component")
+
+    def pairs_of(met: DataFrame) -> DataFrame:
+        return met.where(apart & similar).select(
+            F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")
+        ).distinct()
+
     alive = sets.select(
         F.explode("keys").alias("bucket"), "set_id", "n", F.col("set_id").alias("component")
     )
-    links = None
+    # First round: a star in each bucket around its smallest set.
+    stars = alive.join(_centres(alive).where("members > 1").drop("members"), "bucket")
+    stars = written(stars.where("set_id <> centre"), "near-stars")
+    ids = stars.select(F.col("set_id").alias("doc_id")).union(stars.select("centre")).distinct()
+    hashes = _candidate_sets(rows, ids, size)
+    links = _links(hashes, pairs_of(stars), percent)
+    labels = connected_components(links)
+    alive = _open_buckets(stars, labels)
     step = 0
-    while True:
-        by = ["bucket"] if step == 0 else ["bucket", F.pmod(F.xxhash64("set_id"), F.lit(CENTRES**step))]
-        centres = alive.groupBy(*by).agg(
-            F.min("set_id").alias("centre"),
-            F.min_by("n", "set_id").alias("centre_n"),
-            F.min_by("component", "set_id").alias("centre_component"),
-            F.count(F.lit(1)).alias("members"),
-        )
-        if step == 0:
-            centres = centres.where("members > 1")
-        else:
-            centres = written(centres, "near-centres")
-        met = alive.join(centres.drop("members"), "bucket").where("set_id <> centre")
-        if step == 0:
-            met = written(met, "near-stars")
-            rest = met
-        else:
-            rest = alive.join(
-                centres.select("bucket", F.col("centre").alias("set_id")),
-                ["bucket", "set_id"], "left_anti",
-            )
-        pairs = (
-            met.where((F.col("component") != F.col("centre_component")) & similar)
-            .select(F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b"))
-            .distinct()
-        )
-        found = _links(rows, pairs, size, percent)
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
+    while not alive.isEmpty():
+        # A share of each bucket's members, picked by a hash so that buckets agree.
+        wanted = F.when(F.col("size") <= SMALL, 256).otherwise(CENTRES ** (step + 1))
+        share = F.pmod(F.xxhash64("set_id"), wanted).alias("share")
+        centres = written(_centres(alive, share), "near-centres")
+        met = alive.join(
+            centres.select("bucket", "centre", "centre_n", "centre_component"), "bucket"
+        ).where("set_id <> centre")
+        found = _links(hashes, pairs_of(met), percent)
+        if not found.isEmpty():
+            links = links.unionByName(found)
             labels = connected_components(links)
-        # Buckets whose members all ended in one component need no further comparison.
-        rest = rest.select("bucket", "set_id", "n").join(
-            labels.select(F.col("node").alias("set_id"), F.col("component").alias("label")),
-            "set_id", "left",
-        ).select("bucket", "set_id", "n", F.coalesce("label", "set_id").alias("component"))
-        open_buckets = (
-            rest.groupBy("bucket")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low < high")
-            .select("bucket")
+        rest = alive.join(
+            centres.select("bucket", F.col("centre").alias("set_id")), ["bucket", "set_id"], "left_anti"
         )
-        alive = written(rest.join(open_buckets, "bucket"), "near-open")
-        if alive.isEmpty():
-            return labels
+        alive = _open_buckets(rest, labels)
         step += 1
+    return labels
 
 
 def near_duplicates(

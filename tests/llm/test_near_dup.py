@@ -50,5 +50,5 @@ def test_bins_agree_like_sets():
             similarity = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
             agree.append((signature(a) == signature(b)).mean() - similarity)
         assert abs(np.mean(agree)) < 0.05
-    assert len(band_keys(signature(np.array([7], np.uint64)))) == 32
+    assert len(band_keys(signature(np.array([7], np.uint64)))) == 64
     assert len(shingles(np.array([3, 4], np.uint64), 5)) == 1
