@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -105,25 +106,28 @@ class Lattice:
     def expanded(self, codes: list[int]) -> list[int]:
         """Ids, with the bytes of characters that no piece spells (negative code points)."""
         out: list[int] = []
-        for code in codes:
-            if code >= 0:
-                out.append(code)
-            elif self.byte_ids:
-                out.extend(self.byte_ids[b] for b in chr(-code).encode("utf-8", "surrogatepass"))
+        last = 0
+        for at in np.flatnonzero(np.array(codes, np.int64) < 0).tolist():
+            out += codes[last:at]
+            if self.byte_ids:
+                out += [self.byte_ids[b] for b in chr(-codes[at]).encode("utf-8", "surrogatepass")]
             else:
                 out.append(self.unknown_id)
-        return out
+            last = at + 1
+        return out + codes[last:]
+
+    @cached_property
+    def spelling(self) -> list[bytes]:
+        """What each id stands for in a text."""
+        plain = [p.replace(SPACE, " ").encode("utf-8") for p in self.pieces]
+        for b, i in self.byte_ids.items():
+            plain[i] = bytes([b])
+        return plain
 
     def decoded(self, ids: list[int], first: bool) -> str:
         """Text of consecutive ids; the space put before a text is taken off again."""
-        data = bytearray()
-        as_byte = {i: b for b, i in self.byte_ids.items()}
-        for i in ids:
-            if i in as_byte:
-                data.append(as_byte[i])
-            else:
-                data += self.pieces[i].encode("utf-8")
-        text = bytes(data).decode("utf-8", "surrogatepass").replace(SPACE, " ")
+        spelling = self.spelling
+        text = b"".join([spelling[i] for i in ids]).decode("utf-8", "surrogatepass")
         return text[1:] if first else text
 
 
