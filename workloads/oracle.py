@@ -565,6 +565,13 @@ WHERE (purpose = 'fact_dimension' AND business_role IN ('DIMENSION', 'ENTITY') A
     sql["group_stats"] = _with(*category[:3]) + (
         f"SELECT dimension, metric, value, {r('mean')}, n AS count, {r('sqrt(variance)', 4, 'std')} FROM present"
     )
+    sql["group_means_all"] = _with(*category[:3]) + (
+        f"SELECT dimension, metric, value, {r('mean')}, n AS count FROM present"
+    )
+    sql["refused_pairs"] = _with(*_sales_roles()) + (
+        "SELECT m.name AS metric, d.name AS dimension FROM roles m, roles d"
+        " WHERE m.business_role <> 'MEASURE' OR d.business_role NOT IN ('DIMENSION', 'ENTITY')"
+    )
     sql["cat_num_strength"] = _with(*category[:4]) + (
         f"SELECT dimension, metric, group_count, {r('global_mean')}, {r('strength_score', 9)} FROM varied"
     )

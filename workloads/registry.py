@@ -254,6 +254,14 @@ def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def group_means_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means behind every stored relationship of a dimension and a measure."""
+    return prepared(spark, sf_dir).workspace.all_group_means(SALES_ID).select(
+        "dimension", "metric", "value", rounded("mean"), "count"
+    )
+
+
 @query
 def cat_num_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = rel.group_stats(_sales_cube(prepared(spark, sf_dir)))
@@ -587,6 +595,22 @@ def _package_columns(rows: DataFrame) -> DataFrame:
     )
 
 
+@query
+def refused_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of columns that evidence is refused for, because of their roles."""
+    roles = prepared(spark, sf_dir).roles
+
+    def refused(metric: str, dimension: str) -> bool:
+        try:
+            impact.check_roles(roles, metric, dimension)
+        except ValueError:
+            return True
+        return False
+
+    pairs = [(m.name, d.name) for m in roles for d in roles if refused(m.name, d.name)]
+    return spark.createDataFrame(pairs, "metric string, dimension string")
+
+
 @query
 def evidence_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = views.questions(spark, sf_dir)
