@@ -194,7 +194,7 @@ case when kind = 'complex' then null
      else 'text' end
 """
 
-# Per rule: business type, business role, unit, legal aggregations.
+# Fixed values per rule: business type, business role, unit, legal aggregations.
 _OUTCOMES = """
 map('identifier_name',   named_struct('type', 'TEXT', 'role', 'IDENTIFIER', 'unit', null, 'aggs', array('count')),
     'identifier_unique', named_struct('type', 'TEXT', 'role', 'IDENTIFIER', 'unit', null, 'aggs', array('count')),

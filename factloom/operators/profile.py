@@ -32,6 +32,7 @@ class Bins:
 
     @property
     def labels(self) -> list[str]:
+        # Fixed value: how a bin is labelled.
         return [f"{a:.1f}-{b:.1f}" for a, b in zip(self.edges, self.edges[1:])]
 
     def index(self, value):

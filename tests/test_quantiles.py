@@ -44,3 +44,19 @@ def test_single_and_no_value(spark):
 def test_infinite_values_keep_their_rank(spark):
     df = spark.createDataFrame([(float("inf"),), (1.0,), (2.0,), (float("-inf"),), (3.0,)], "v double")
     assert exact_quantiles(df, ["v"], [0.0, 0.5, 1.0])["v"] == [float("-inf"), 2.0, float("inf")]
+
+
+def test_values_of_all_magnitudes_take_six_passes(spark, monkeypatch):
+    from factloom.operators import quantiles
+
+    rng = random.Random(9)
+    values = [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(3000)]
+    values += [0.0, 5e-324, -5e-324, 1.7e308, -1.7e308] + [1.0 + i * 2.0**-52 for i in range(200)]
+    passes = []
+    narrow = quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *a: passes.append(1) or narrow(*a))
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    probabilities = [0.1, 0.5, 0.9]
+    got = exact_quantiles(df, ["v"], probabilities)["v"]
+    assert got == [float(q) for q in np.quantile(values, probabilities)]
+    assert len(passes) <= 6

@@ -111,3 +111,20 @@ def test_far_tails_do_not_break():
         for d1, d2 in ((1, 3), (1, 2), (4, 60), (1499, 58000)):
             assert 0.0 <= f_upper_tail(f, d1, d2) < 0.05
             assert 0.95 < f_upper_tail(1 / f, d2, d1) <= 1.0
+
+
+def test_forty_measures_with_gaps_and_large_means(spark):
+    """All pairs from one pass, each over its own complete rows."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((400, 40)) + 1e9
+    x[:, 1] = x[:, 0] * 2 + rng.standard_normal(400)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 39] = 5.0
+    names = [f"m{i}" for i in range(40)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{n} double" for n in names))
+    found = {(r["column_a"], r["column_b"]): (r["n"], r["correlation"]) for r in rel.correlations(df.repartition(5), names).collect()}
+    assert len(found) == 39 * 38 // 2
+    for (a, b), (n, r) in found.items():
+        i, j = names.index(a), names.index(b)
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert n == both.sum() and abs(r - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-6
