@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import _power_table, id_and_text, mixed, written
+from factloom.llm.common import _power_table, id_and_text, mixed, slices, written
 
 #: Texts with more code points are encoded in chunks.
 CHUNK = 16_384
@@ -242,8 +242,6 @@ class Chunk:
         """(start, weight, code) of pieces that end at `end`, longest first, bytes last."""
         known = False
         for start in range(max(low, end - self.states), end):
-            if any(start < c < end for c in range(start + 1, end) if c in self.cuts):
-                continue
             hit = self.lattice.weight.get(self.text[start:end])
             if hit:
                 known |= end - start == 1
@@ -261,9 +259,12 @@ class Chunk:
         best[: len(entry)] = entry[: high - low + 1]
         took = np.full((high - low + 1, columns), -1)
         codes = np.zeros((high - low + 1, columns), np.int64)
+        floor = low  # no piece reaches over a cut
         for end in range(low + 1, high + 1):
+            if end - 1 in self.cuts:
+                floor = end - 1
             row = best[end - low]
-            for start, weight, code in self._edges(end, low):
+            for start, weight, code in self._edges(end, floor):
                 if start >= limit:
                     continue
                 source = best[start - low]
@@ -290,14 +291,18 @@ class Chunk:
     def _high(self) -> int:
         return min(len(self.text), self.size + self.states - 1)
 
-    def matrix(self) -> np.ndarray:
-        """[entry state, exit state] of best weights."""
+    @property
+    def middle(self) -> str:
+        """What lies between the first and the last cut; encoded for many chunks together."""
+        return "" if self.head is None else self.text[self.head : self.tail]
+
+    def matrix(self, middle: int) -> np.ndarray:
+        """[entry state, exit state] of best weights, given the weight of the middle."""
         if self.head is None:
             best, _, _ = self._run(0, self._high(), self._entries(self._high()), self.size)
             return self._exit(best, 0).T
         best, _, _ = self._run(0, self.head, self._entries(self.head), self.head)
         into = best[self.head]
-        middle = encode_marked(self.lattice, [self.text[self.head : self.tail]])[0][0]
         zero = np.zeros((1, 1), np.int64)
         best, _, _ = self._run(self.tail, self._high(), zero, self.size)
         out = self._exit(best, self.tail)[:, 0]
@@ -313,8 +318,8 @@ class Chunk:
             at = int(took[at - low, column])
         return found[::-1]
 
-    def trace(self, entry: int, leave: int) -> list[int]:
-        """Ids of the best path from cut `entry` to cut size + `leave`."""
+    def trace(self, entry: int, leave: int, middle: list[int]) -> list[int]:
+        """Ids of the best path from cut `entry` to cut size + `leave`, given those of the middle."""
         end = self.size + leave
         if self.head is None:
             _, took, codes = self._run(0, self._high(), self._entries(self._high()), self.size)
@@ -322,7 +327,7 @@ class Chunk:
         else:
             _, took, codes = self._run(0, self.head, self._entries(self.head), self.head)
             found = self._traced(took, codes, 0, self.head, entry, entry)
-            found += encode_marked(self.lattice, [self.text[self.head : self.tail]])[0][1]
+            found = self.lattice.expanded(found) + middle
             _, took, codes = self._run(self.tail, self._high(), np.zeros((1, 1), np.int64), self.size)
             found += self._traced(took, codes, self.tail, end, 0, self.tail)
         return self.lattice.expanded(found)
@@ -399,23 +404,31 @@ def _text_crc(text: str) -> int:
 
 def _cut(path: str, chunk: int):
     """Chunk rows with the matrix of each."""
+    names = ["key", "doc_id", "chunk", "size", "part", "matrix"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
+
+    def with_matrices(lattice: Lattice, rows: list[tuple]) -> pa.RecordBatch:
+        chunks = [Chunk(lattice, part, size) for *_, size, part in rows]
+        middles = encode_marked(lattice, [c.middle for c in chunks])
+        data = [c.matrix(w).astype("<i8").tobytes() for c, (w, _) in zip(chunks, middles)]
+        columns = [*zip(*rows), data]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(path)
         ahead = lattice.longest - 1
+        rows: list[tuple] = []
         for batch in batches:
             for key, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text"))):
                 whole = marked(text)
                 for n, at in enumerate(range(0, len(whole), chunk)):
                     size = min(chunk, len(whole) - at)
-                    part = whole[at : at + size + ahead]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([v], t) for v, t in (
-                            (key, pa.int64()), (doc_id, pa.int64()), (n, pa.int32()), (size, pa.int32()),
-                            (part, pa.string()),
-                            (Chunk(lattice, part, size).matrix().astype("<i8").tobytes(), pa.binary()))],
-                        ["key", "doc_id", "chunk", "size", "part", "matrix"],
-                    )
+                    rows.append((key, doc_id, n, size, whole[at : at + size + ahead]))
+                    if len(rows) * chunk >= AT_ONCE:
+                        yield with_matrices(lattice, rows)
+                        rows = []
+        if rows:
+            yield with_matrices(lattice, rows)
 
     return run
 
@@ -464,17 +477,21 @@ def _border_states(matrices: DataFrame, n_chunks: int) -> DataFrame:
 def _traced_rows(path: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = lattice_of(path)
-        for f in frames:
-            out = []
-            for r in f.itertuples():
-                ids = Chunk(lattice, r.part, r.size).trace(r.entry, r.leave)
-                weight = int(_square(r.matrix)[r.entry, r.leave])
-                text = r.part[r.entry : r.size + r.leave].replace(SPACE, " ")
-                text = text[1:] if r.chunk == 0 else text
-                out.append((r.doc_id, r.chunk, ids, _score(lattice, weight), _text_crc(text)))
-            yield pd.DataFrame(out, columns=["doc_id", "chunk", "ids", "score", "text_crc32"]).astype(
-                {"doc_id": "Int64"}
-            )
+        for frame in frames:
+            for a, b in slices(frame["part"].tolist(), AT_ONCE):
+                rows = list(frame.iloc[a:b].itertuples())
+                chunks = [Chunk(lattice, r.part, r.size) for r in rows]
+                middles = encode_marked(lattice, [c.middle for c in chunks])
+                out = []
+                for r, c, (_, middle) in zip(rows, chunks, middles):
+                    text = r.part[r.entry : r.size + r.leave].replace(SPACE, " ")
+                    text = text[1:] if r.chunk == 0 else text
+                    weight = int(_square(r.matrix)[r.entry, r.leave])
+                    ids = c.trace(r.entry, r.leave, middle)
+                    out.append((r.doc_id, r.chunk, ids, _score(lattice, weight), _text_crc(text)))
+                yield pd.DataFrame(
+                    out, columns=["doc_id", "chunk", "ids", "score", "text_crc32"]
+                ).astype({"doc_id": "Int64"})
 
     return run
 
