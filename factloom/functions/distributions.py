@@ -40,7 +40,7 @@ def _log_minus(ratio: float, u: float) -> float:
     return total
 
 
-def beta_tail(x: float, y: float, a: float, b: float) -> float:
+def beta_tail(x: float, y: float, a: float, b: float) -> float | None:
     """Regularised incomplete beta I_x(a, b); the caller gives y = 1 - x exactly.
 
     The power term is written through the distance from the mode, which keeps full
@@ -51,7 +51,8 @@ def beta_tail(x: float, y: float, a: float, b: float) -> float:
     if y <= 0.0:
         return 1.0
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_tail(y, x, b, a)
+        rest = beta_tail(y, x, b, a)
+        return None if rest is None else 1.0 - rest
     gap = x * b - y * a
     log_power = (
         a * _log_minus(x * ((a + b) / a), gap / a)
@@ -79,6 +80,8 @@ def beta_tail(x: float, y: float, a: float, b: float) -> float:
             value *= c * d
         if abs(c * d - 1.0) < 1e-15:
             break
+    else:
+        return None  # not settled: no value is better than a rough one
     return math.exp(log_power) * value / a
 
 
