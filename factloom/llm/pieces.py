@@ -103,18 +103,16 @@ class Lattice:
         cut[1:] |= lone[:-1]
         return np.flatnonzero(cut)
 
-    def expanded(self, codes: list[int]) -> list[int]:
+    def expanded(self, codes: np.ndarray) -> np.ndarray:
         """Ids, with the bytes of characters that no piece spells (negative code points)."""
-        out: list[int] = []
-        last = 0
-        for at in np.flatnonzero(np.array(codes, np.int64) < 0).tolist():
-            out += codes[last:at]
-            if self.byte_ids:
-                out += [self.byte_ids[b] for b in chr(-codes[at]).encode("utf-8", "surrogatepass")]
-            else:
-                out.append(self.unknown_id)
+        parts, last = [], 0
+        for at in np.flatnonzero(codes < 0).tolist():
+            parts.append(codes[last:at])
+            data = chr(-int(codes[at])).encode("utf-8", "surrogatepass")
+            parts.append([self.byte_ids[b] for b in data] if self.byte_ids else [self.unknown_id])
             last = at + 1
-        return out + codes[last:]
+        parts.append(codes[last:])
+        return np.concatenate(parts).astype(np.int32)
 
     @cached_property
     def spelling(self) -> list[bytes]:
@@ -124,10 +122,10 @@ class Lattice:
             plain[i] = bytes([b])
         return plain
 
-    def decoded(self, ids: list[int], first: bool) -> str:
+    def decoded(self, ids: np.ndarray, first: bool) -> str:
         """Text of consecutive ids; the space put before a text is taken off again."""
         spelling = self.spelling
-        text = b"".join([spelling[i] for i in ids]).decode("utf-8", "surrogatepass")
+        text = b"".join([spelling[i] for i in ids.tolist()]).decode("utf-8", "surrogatepass")
         return text[1:] if first else text
 
 
@@ -197,8 +195,8 @@ def best_units(
     return weights, counts, codes[in_order]
 
 
-def encode_marked(lattice: Lattice, texts: list[str]) -> list[tuple[int, list[int]]]:
-    """(weight, codes) of each text; equal units of the texts are segmented once."""
+def encode_marked(lattice: Lattice, texts: list[str]) -> list[tuple[int, np.ndarray]]:
+    """(weight, ids) of each text; equal units of the texts are segmented once."""
     lengths = np.array([len(t) for t in texts])
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     text_starts = np.cumsum(lengths) - lengths
@@ -218,9 +216,7 @@ def encode_marked(lattice: Lattice, texts: list[str]) -> list[tuple[int, list[in
     out = []
     for i in range(len(texts)):
         a, b = bounds[i], bounds[i + 1]
-        part = all_codes[token_ends[a] : token_ends[b]].tolist()
-        if part and min(part) < 0:
-            part = lattice.expanded(part)
+        part = lattice.expanded(all_codes[token_ends[a] : token_ends[b]])
         out.append((int(unit_weights[b] - unit_weights[a]), part))
     return out
 
@@ -318,19 +314,18 @@ class Chunk:
             at = int(took[at - low, column])
         return found[::-1]
 
-    def trace(self, entry: int, leave: int, middle: list[int]) -> list[int]:
+    def trace(self, entry: int, leave: int, middle: np.ndarray) -> np.ndarray:
         """Ids of the best path from cut `entry` to cut size + `leave`, given those of the middle."""
         end = self.size + leave
+        spelled = lambda codes: self.lattice.expanded(np.array(codes, np.int64))
         if self.head is None:
             _, took, codes = self._run(0, self._high(), self._entries(self._high()), self.size)
-            found = self._traced(took, codes, 0, end, entry, entry)
-        else:
-            _, took, codes = self._run(0, self.head, self._entries(self.head), self.head)
-            found = self._traced(took, codes, 0, self.head, entry, entry)
-            found = self.lattice.expanded(found) + middle
-            _, took, codes = self._run(self.tail, self._high(), np.zeros((1, 1), np.int64), self.size)
-            found += self._traced(took, codes, self.tail, end, 0, self.tail)
-        return self.lattice.expanded(found)
+            return spelled(self._traced(took, codes, 0, end, entry, entry))
+        _, took, codes = self._run(0, self.head, self._entries(self.head), self.head)
+        into = self._traced(took, codes, 0, self.head, entry, entry)
+        _, took, codes = self._run(self.tail, self._high(), np.zeros((1, 1), np.int64), self.size)
+        out = self._traced(took, codes, self.tail, end, 0, self.tail)
+        return np.concatenate([spelled(into), middle, spelled(out)])
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -536,9 +531,9 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(vocabulary)
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
+            ids = [own.values.to_numpy() for own in batch.column("ids")]
             texts = [lattice.decoded(own, n == 0) for own, n in zip(ids, batch.column("chunk").to_pylist())]
-            crc = [zlib.crc32(np.array(own, "<u4").tobytes()) for own in ids]
+            crc = [zlib.crc32(own.astype("<u4").tobytes()) for own in ids]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc_id", "chunk", "score", "text_crc32")),
                  pa.array([len(own) for own in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(texts)],
