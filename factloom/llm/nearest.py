@@ -1,6 +1,8 @@
 """Nearest neighbours by largest inner product with an adaptive dimension scan.
 
-Vectors are assigned to lists around centroids.  Inside a probed list vectors lie rotated in
+Vectors are assigned to lists around centroids.  A query probes every list that may hold one
+of its k largest products, by the list's radius and norms against the k-th product of a sample.
+Inside a probed list vectors lie rotated in
 blocks of columns; after each block a hypothesis test on the partial distance abandons the
 candidates that are unlikely to reach the query's current k-th distance.  Survivors are
 ranked by the exact inner product of the original vectors.
@@ -24,6 +26,8 @@ FIT_ROWS = 20_000
 MAX_LISTS = 1024
 #: Vectors and queries of a list that one group holds; larger lists are split.
 SEGMENT, QUERY_SEGMENT = 4096, 1024
+#: Queries multiplied by the sample at a time.
+BOUND_QUERIES = 256
 COLUMN_BLOCK = 16
 #: Width of the test: the larger, the fewer true neighbours are abandoned.
 TEST_WIDTH = 2.1
@@ -37,7 +41,13 @@ class Index:
     largest_norm: float
     rotation: np.ndarray
     centroids: np.ndarray
-    probes: list[np.ndarray]
+    #: Rows of the table that bound each query's k-th product from below.
+    sample_ids: np.ndarray
+    sample: np.ndarray
+
+    def flat_centroids(self) -> np.ndarray:
+        """The centroids without rotation and the added coordinate."""
+        return (self.centroids @ self.rotation.T)[:, :-1]
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         """Rotated vectors with one more coordinate, so that the nearest is the largest product."""
@@ -78,7 +88,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def _fitted(rows: DataFrame, n_lists: int | None) -> tuple[Index, int] | None:
-    """Index without probes, and the number of vectors, of the most frequent dimension."""
+    """Index, and the number of vectors, of the most frequent dimension."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") ** 2))
     sizes = (
         rows.groupBy(F.size("embedding").alias("d"))
@@ -96,7 +106,9 @@ def _fitted(rows: DataFrame, n_lists: int | None) -> tuple[Index, int] | None:
         .toPandas()
     )
     q, r = np.linalg.qr(np.random.default_rng(1).standard_normal((d + 1, d + 1)))
-    index = Index(d, sizes["norm"], q * np.sign(np.diag(r)), np.empty((0, d + 1)), [])
+    once = sample.drop_duplicates("vec_id")
+    ids, known = once["vec_id"].to_numpy(), _matrix(once["embedding"])
+    index = Index(d, sizes["norm"], q * np.sign(np.diag(r)), np.empty((0, d + 1)), ids, known)
     x = index.lifted(_matrix(sample["embedding"]))
     wanted = n_lists or round(math.sqrt(n) / 2)
     index.centroids = _centroids(x, max(1, min(wanted, MAX_LISTS, len(x))))
@@ -104,27 +116,53 @@ def _fitted(rows: DataFrame, n_lists: int | None) -> tuple[Index, int] | None:
 
 
 def _assigned(index: Index):
+    flat = index.flat_centroids()
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                x = index.lifted(_matrix(f["embedding"]))
-                f["list_id"] = np.argmin(index.distances(x), axis=1)
+                original = _matrix(f["embedding"])
+                nearest = np.argmin(index.distances(index.lifted(original)), axis=1)
+                f["list_id"] = nearest
+                f["away"] = np.sqrt(((original - flat[nearest]) ** 2).sum(axis=1))
+                f["norm"] = np.sqrt((original**2).sum(axis=1))
                 yield f
 
     return run
 
 
-def _probed(index: Index, sizes: np.ndarray, n_probe: int, at_least: int):
-    """Nearest lists of a query: at least n_probe of them, and `at_least` vectors in them."""
+def least_products(index: Index, ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest product of each query over the sample: the table's is no smaller."""
+    others = len(index.sample_ids) - np.isin(ids, index.sample_ids)
+    out = np.full(len(q), -np.inf)
+    for at in range(0, len(q), BOUND_QUERIES):
+        part = slice(at, at + BOUND_QUERIES)
+        product = q[part] @ index.sample.T
+        product[ids[part, None] == index.sample_ids] = -np.inf
+        if product.shape[1] >= k:
+            out[part] = np.partition(product, -k, axis=1)[:, -k]
+    return np.where(others >= k, out, -np.inf)
+
+
+def _probed(index: Index, sizes: np.ndarray, radii: np.ndarray, norms: np.ndarray, k: int):
+    """Every list of a query that may hold one of its k largest products.
+
+    No product in a list exceeds that with its centroid by more than the query's norm times
+    the list's radius, nor the product of the norms.
+    """
+    flat = index.flat_centroids()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if not len(f):
                 continue
-            order = np.argsort(index.distances(index.lifted_query(_matrix(f["embedding"]))), axis=1)
-            enough = (np.cumsum(sizes[order], axis=1) < at_least).sum(axis=1) + 1
-            f["list_id"] = [o[: max(n_probe, e)] for o, e in zip(order, enough)]
-            yield f.explode("list_id").astype({"list_id": "int32"})
+            q = _matrix(f["embedding"])
+            length = np.sqrt((q**2).sum(axis=1))[:, None]
+            most = np.minimum(q @ flat.T + length * radii, length * norms)
+            least = least_products(index, f["vec_id"].to_numpy(), q, k)[:, None]
+            slack = 1e-9 * length * index.largest_norm
+            f["list_id"] = [np.flatnonzero(p) for p in (most >= least - slack) & (sizes > 0)]
+            yield f.explode("list_id").dropna(subset="list_id").astype({"list_id": "int32"})
 
     return run
 
@@ -183,7 +221,6 @@ def nearest(
     queries: DataFrame,
     k: int = 20,
     n_lists: int | None = None,
-    probe_share: float = 0.35,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -195,6 +232,7 @@ def nearest(
     vector and count once.  Ties go to the smaller id.  Fewer than k candidates are all
     returned; empty input gives no rows; other columns are ignored.
 
+    No list is left out that may hold one of the k; only the hypothesis test may lose one.
     The centroids are fitted on FIT_ROWS rows; every row is indexed.  A list larger than
     SEGMENT is split over groups, as are its queries, so a list that holds a third of all
     rows is scanned by many tasks.
@@ -211,15 +249,21 @@ def nearest(
     index, _ = fitted
     same = F.size("embedding") == index.dimension
     listed = written(
-        rows.where(same).mapInPandas(_assigned(index), schema + ", list_id int"), "vector-lists"
+        rows.where(same).mapInPandas(
+            _assigned(index), schema + ", list_id int, away double, norm double"
+        ),
+        "vector-lists",
     )
     n = len(index.centroids)
-    sizes = np.zeros(n, np.int64)
-    for r in listed.groupBy("list_id").count().collect():  # at most MAX_LISTS rows
-        sizes[r["list_id"]] = r["count"]
-    probes = max(1, math.ceil(n * probe_share))
+    sizes, radii, norms = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    extent = listed.groupBy("list_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("away").alias("away"), F.max("norm").alias("norm")
+    )
+    for r in extent.collect():  # at most MAX_LISTS rows
+        sizes[r["list_id"]], radii[r["list_id"]], norms[r["list_id"]] = r["n"], r["away"], r["norm"]
+    listed = listed.drop("away", "norm")
     probed = asked.where(same).mapInPandas(
-        _probed(index, sizes, probes, 50 * k), schema + ", list_id int"
+        _probed(index, sizes, radii, norms, k), schema + ", list_id int"
     )
     parts = F.lit(np.maximum(1, -(-sizes // SEGMENT)).tolist())
     blocks = F.lit(np.maximum(1, -(-sizes // (QUERY_SEGMENT * 8))).tolist())

@@ -1,7 +1,8 @@
 import numpy as np
+import pandas as pd
 import pytest
 
-from factloom.llm.nearest import adaptive_scan, nearest
+from factloom.llm.nearest import Index, _probed, adaptive_scan, nearest
 from tests.llm.common import MEDIUM, rows
 
 
@@ -58,6 +59,34 @@ def test_recall_with_a_hot_list_and_uneven_norms(spark):
     assert recall(spark, data.tolist(), ids, list(range(0, 3000, 150))) >= 0.9
 
 
+def test_recall_on_a_larger_table(spark):
+    data = rows("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id")
+    ids = [i for i, _ in data]
+    assert recall(spark, [v for _, v in data], ids, [i for i in ids if i % 20 == 0]) >= 0.9
+
+
+def test_recall_without_clusters(spark):
+    data = np.random.default_rng(4).standard_normal((6000, 64)).astype(np.float32)
+    assert recall(spark, data.tolist(), list(range(6000)), list(range(0, 6000, 200))) >= 0.9
+
+
+def test_lists_that_hold_nothing_are_not_probed():
+    rng = np.random.default_rng(6)
+    centre = 40 * rng.standard_normal((8, 16))
+    x = np.repeat(centre, 100, axis=0) + 0.1 * rng.standard_normal((800, 16))
+    index = Index(16, float(np.sqrt((x**2).sum(axis=1)).max()), np.eye(17), np.empty((0, 17)), np.arange(800), x)
+    index.centroids = np.array([index.lifted(x[i : i + 100]).mean(axis=0) for i in range(0, 800, 100)])
+    away = np.sqrt(((x - index.flat_centroids().repeat(100, axis=0)) ** 2).sum(axis=1)).reshape(8, 100).max(axis=1)
+    norms = np.sqrt((x**2).sum(axis=1)).reshape(8, 100).max(axis=1)
+    asked = pd.DataFrame({"vec_id": range(0, 800, 50), "embedding": list(x[::50])})
+    [probed] = _probed(index, np.full(8, 100), away, norms, 20)(iter([asked]))
+    pairs = set(zip(probed["vec_id"], probed["list_id"]))
+    for i in range(0, 800, 50):
+        best = np.argsort(-(x @ x[i]), kind="stable")[:21]
+        assert {(i, b // 100) for b in best if b != i} <= pairs
+    assert len(pairs) < 8 * 16
+
+
 def test_edge_cases(spark):
     data = [[1, 0], [0, 1], None, [0, 0], [1, None], [float("nan"), 1], [float("inf"), 1], [1, 2, 3], [], [1, 0], [1, 0]]
     ids = [0, 20, 1, 2, 3, 4, 5, 6, 7, 8, None]
