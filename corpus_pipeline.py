@@ -1,8 +1,8 @@
 """A training corpus from raw documents: filter, deduplicate, redact, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents.  Decisions are keyed by doc_id: rows that repeat a doc_id share them, and
-rows without a doc_id are never dropped.  Null texts count as empty, columns besides doc_id,
+columns of documents.  Decisions are made row by row: of a group of copies exactly one row stays,
+also where rows repeat a doc_id, have none, or one doc_id stands for several texts.  Null texts count as empty, columns besides doc_id,
 text, lang, source and n_chars are passed on, and an empty table stays empty.
 """
 
@@ -23,28 +23,49 @@ from workloads.session import ready
 ORACLE_SQL = None
 
 
-def _without_dropped(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    dropped = decisions.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+#: Name of the row key while a stage decides.
+ROW = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own in the order of doc_id, rows without one last."""
+    ordered = docs.orderBy(
+        F.col("doc_id").asc_nulls_last(), F.xxhash64("text", "source", "lang"), F.rand(7)
+    )
+    return written(ordered.withColumn(ROW, F.monotonically_increasing_id()), "keyed-documents")
+
+
+def _without_dropped(keyed: DataFrame, decisions: DataFrame) -> DataFrame:
+    dropped = decisions.where("NOT kept").select(F.col("doc_id").alias(ROW))
+    return keyed.join(dropped, ROW, "left_anti").drop(ROW)
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    return keyed.withColumn("doc_id", F.col(ROW)).drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that their text and site make more likely bad than good."""
     ready(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    return _without_dropped(docs, site_quality(docs, labels))
+    keyed = _keyed(docs)
+    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), ROW)
+    labels = labels.withColumn("doc_id", F.col("doc_id").cast("long")).join(rows, "doc_id")
+    return _without_dropped(keyed, site_quality(_by_row(keyed), _by_row(labels)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one of each group of texts that are equal but for white space."""
     ready(spark)
-    return _without_dropped(docs, exact_duplicates(docs))
+    keyed = _keyed(docs)
+    return _without_dropped(keyed, exact_duplicates(_by_row(keyed)))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one of each component of documents that share 80 % of their five-word shingles."""
     ready(spark)
-    return _without_dropped(docs, near_duplicates(docs))
+    keyed = _keyed(docs)
+    return _without_dropped(keyed, near_duplicates(_by_row(keyed)))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

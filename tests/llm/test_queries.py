@@ -3,12 +3,13 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import queries
 from factloom.llm.queries import vocabulary
 from factloom.llm.site_quality import site_quality
-from tests.llm.common import MEDIUM, SMALL, DOCS, near_groups, plain
+from tests.llm.common import MEDIUM, SMALL, DOCS, near_groups, plain, table
 from workloads import compare
 
 
@@ -73,3 +74,25 @@ def test_pipeline_of_nothing_and_of_nulls(spark):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert corpus_pipeline.packing(spark, docs, SMALL).count() >= bool(data)
     assert vocabulary("word_bpe_49k.json").endswith(".json")
+
+
+def test_one_row_of_each_group_stays(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    long = [" ".join(f"w{n}x{i}" for i in range(60)) for n in range(4)]
+    near = long[0] + " more"
+    texts = [long[0]] * 3 + [long[1], long[1], long[2], long[1], long[3], long[3]]
+    docs = table(spark, texts, [1, 1, 1, 2, 3, 3, None, None, None])
+    once = [(1, long[0]), (2, long[1]), (3, long[2]), (None, long[3])]
+    want = sorted(once, key=lambda r: (r[0] is not None, r[0] or 0))
+    for name in ("exact dedup", "near dedup"):
+        assert plain(stages[name](spark, docs, SMALL), "doc_id", "text") == want
+    close = table(spark, [long[0], near, near, long[2]], [1, None, 5, 5])
+    assert plain(stages["near dedup"](spark, close, SMALL), "doc_id", "text") == [(1, long[0]), (5, long[2])]
+
+
+def test_quality_decides_rows_without_an_id(spark):
+    quality = dict(corpus_pipeline.STAGES)["quality classifier"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    fresh = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    stay = sorted(r["text"] for r in quality(spark, docs.unionByName(fresh), SMALL).where("doc_id IS NULL").collect())
+    assert 0 < len(stay) < docs.count()
