@@ -1,6 +1,7 @@
 """Secret findings, with false positives removed by a random forest.
 
-Every long run of key characters is a candidate.  A forest trained on labelled findings judges
+Candidates are long runs of key characters, values assigned to a secret's name whatever their
+length, and dotted tokens; the name in name=value is no part of one.  A forest trained on labelled findings judges
 it by its length, the transitions between its characters, how much of it dictionary words
 cover, the path it stands in and the words around it.  DataFrame functions only; the forest is
 pyspark.ml's.
@@ -22,12 +23,27 @@ from factloom.llm.common import written
 FIT_ROWS = 10_000
 #: How often a word must stand alone in the texts to count as a dictionary word.
 DICTIONARY_COUNT = 3
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 #: Names that values are kept secret under, and folders of made-up values.
 SECRET_WORDS = [
     "apikey", "api_key", "auth", "bearer", "credential", "key", "passwd", "password", "pwd",
     "secret", "token",
 ]
+#: A name that ends in such a word; _, - and a change of case begin one.
+_NAME = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:" + "|".join(SECRET_WORDS) + ")"
+_ASSIGNED = r"""["'`]?[ \t]{0,3}[:=][ \t]{0,3}"""
+_RUN = "[A-Za-z0-9+/_=-]"
+#: The first that matches at a place: a quoted or bare value after a secret's name, a dotted
+#: token, the value of an unspaced name=value, any other run of key characters.
+CANDIDATE = "(?:" + "|".join((
+    rf"""(?<=[:=][ \t]{{0,3}}["'`])(?<={_NAME}{_ASSIGNED}["'`])(?:[^"'`\r\n]{{4,128}}(?=["'`])|[^"'`\s]{{4,}})""",
+    rf"""(?<=[:=])(?<={_NAME}["'`]?[:=])(?![=:])[^\s"'`,;&<>(){{}}\[\]]{{4,}}""",
+    rf"""(?<=[:=][ \t]{{1,3}})(?<={_NAME}{_ASSIGNED})(?=[^\s"'`,;&<>(){{}}\[\]]*[^\sA-Za-z"'`,;&<>(){{}}\[\].:?])[^\s"'`,;&<>(){{}}\[\]]{{4,}}""",
+    r"(?<![A-Za-z0-9+/_.@\\-])[A-Za-z0-9_-]{2,}+(?:\.[A-Za-z0-9_-]{5,}+){1,4}(?<=\.[A-Za-z0-9_-]{16,2048})",
+    rf"(?<=(?<!{_RUN})[A-Za-z0-9+/_-]{{1,64}}=)(?!=){_RUN}{{16,}}",
+    rf"(?<!{_RUN})(?![A-Za-z0-9+/_-]{{1,64}}=(?!=){_RUN}{{16}})(?![A-Za-z0-9+/_-]{{0,64}}{_NAME}=[^=\s]){_RUN}{{16,}}",
+)) + ")"
+#: Header and payload of a signed JSON token, whose braces are encoded.
+JSON_TOKEN = r"^eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\."
 EXAMPLE_PATHS = ["doc", "example", "fixture", "mock", "sample", "test"]
 FEATURES = [
     "n", "runs", "digits", "capitals", "marks", "entropy", "pairs", "coverage", "named", "assigned",
@@ -51,8 +67,8 @@ def candidates(
 ) -> DataFrame:
     """(doc_id, text_hash, path, nth, start, value, before, after) of each candidate.
 
-    nth counts the candidates of a text from 0; start is its first code point; before and
-    after are the text up to the neighbouring candidates, at most 48 and 24 characters.
+    nth counts the candidates of a text from 0; start is its first code point; before reaches
+    past the candidate before it, after to the next one, at most 48 and 24 characters.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     hits, gaps = _hits_and_gaps(text)
@@ -72,7 +88,14 @@ def candidates(
                 lambda h, i: F.struct(
                     i.alias("nth"),
                     h.alias("value"),
-                    F.right(F.get("gaps", i), F.lit(48)).alias("before"),
+                    # The neighbouring candidate may be the name of this one.
+                    F.right(
+                        F.concat(
+                            F.when(i > 0, F.get("hits", F.greatest(i - 1, F.lit(0)))).otherwise(""),
+                            F.get("gaps", i),
+                        ),
+                        F.lit(48),
+                    ).alias("before"),
                     F.left(F.get("gaps", i + 1), F.lit(24)).alias("after"),
                     F.length(F.get("gaps", i)).alias("gap"),
                 ),
@@ -152,7 +175,7 @@ def with_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     rows = found.join(_coverage(found, dictionary), "value", "left").select(
         "*",
         F.length("value").alias("n"),
-        kinds.alias("kinds"),
+        F.regexp_replace(kinds, "[^ulds]", "s").alias("kinds"),
         F.split(plain, "").alias("chars"),
         F.array_distinct(F.split("value", "")).alias("letters"),
     )
@@ -170,12 +193,12 @@ def with_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         + F.get(table, (_symbol(F.get("chars", i)) * _SYMBOLS + _symbol(F.get("chars", i + 1))).cast("int")),
     )
     before = F.lower("before")
-    named = r"\b(" + "|".join(SECRET_WORDS) + r")\b[^A-Za-z]*$"
     flags = {
-        "named": before.rlike(named),
+        "named": F.col("before").rlike(_NAME + "[^A-Za-z]*$"),
         "assigned": before.rlike(r"""[=:]\s*["'`]?\s*$"""),
         "quoted": before.rlike(r"""["'`]$""") & F.col("after").rlike(r"""^["'`]"""),
         "in_path": before.rlike(r"[./\\@]$") | F.col("after").rlike(r"^[./\\@]\w"),
+        "dotted": before.rlike(r"[A-Za-z0-9_-]\.$") | F.col("after").rlike(r"^\.[A-Za-z0-9_-]"),
         "example_path": F.lower("path").rlike("|".join(EXAMPLE_PATHS)),
     }
     return rows.select(
@@ -193,19 +216,24 @@ def with_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
 
 
+def _certain() -> Column:
+    mix = (F.col("digits") > 0.1) & (F.col("digits") < 1) & (F.col("entropy") > 2.5)
+    given = (F.col("named") == 1) & (F.col("assigned") == 1) & mix
+    secret = (given | F.col("value").rlike(JSON_TOKEN)) & (F.col("example_path") == 0)
+    clean = (F.col("named") == 0) & (
+        (F.col("digits") == 0) | (F.col("digits") + F.col("marks") > 0.999) | (F.col("in_path") == 1)
+    ) & ~(mix & ((F.col("dotted") == 1) | F.col("value").contains(".")))
+    return F.when(secret, 1.0).when(clean, 0.0)
+
+
 def certain_labels(features: DataFrame) -> DataFrame:
     """Findings whose label is beyond doubt, as training data: adds label, drops the rest.
 
-    1: a mix of letters and digits assigned to a secret's name, outside example paths.
-    0: letters only, or digits only, or a path, with no such name.
+    1: a mix of letters and digits assigned to a secret's name, or a JSON token, outside example
+    paths.  0: letters only, or digits only, or a path, with no such name; no part of a dotted
+    token that mixes letters and digits.
     """
-    mix = (F.col("digits") > 0.1) & (F.col("digits") < 1) & (F.col("entropy") > 2.5)
-    secret = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("example_path") == 0) & mix
-    clean = (F.col("named") == 0) & (
-        (F.col("digits") == 0) | (F.col("digits") + F.col("marks") > 0.999) | (F.col("in_path") == 1)
-    )
-    label = F.when(secret, 1.0).when(clean, 0.0)
-    return features.withColumn("label", label).where("label IS NOT NULL")
+    return features.withColumn("label", _certain()).where("label IS NOT NULL")
 
 
 def _training_rows(labelled: DataFrame) -> DataFrame:
@@ -235,7 +263,7 @@ def secret_findings(
 
     Null and empty texts have no candidates; null doc_ids stay null; repeated rows give their
     findings each.  A null path is no example path.  Without training rows of both classes the
-    probability is 0 and nothing is a secret.  Other columns are ignored; empty input gives no
+    probability is 1 for secrets beyond doubt and 0 for the rest.  Other columns are ignored; empty input gives no
     rows.
     """
     found = written(candidates(docs, id_col, text_col, path_col), "secret-candidates")
@@ -249,13 +277,16 @@ def secret_findings(
         )
         labelled = features.join(reviewed, "value")
     training = written(_training_rows(labelled), "secret-training")
+    # The forest never loses a finding that is beyond doubt.
+    sure = F.coalesce(_certain(), F.lit(0.0)) if labels is None else F.lit(0.0)
+    features = features.withColumn("sure", sure)
     columns = [
         "doc_id", "text_hash", "nth", "start",
         (F.col("start") + F.length("value")).alias("end"), "value",
         "probability", (F.col("probability") >= threshold).alias("is_secret"),
     ]
     if training.select("label").distinct().count() < 2:
-        return features.withColumn("probability", F.lit(0.0)).select(*columns)
+        return features.withColumn("probability", F.col("sure")).select(*columns)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="vector")
     forest = RandomForestClassifier(
         featuresCol="vector", labelCol="label", numTrees=24, maxDepth=6, maxBins=64, seed=7,
@@ -264,7 +295,7 @@ def secret_findings(
     )
     model = forest.fit(assembler.transform(training))
     judged = model.transform(assembler.transform(features))
-    return judged.withColumn("probability", vector_to_array("odds")[1]).select(*columns)
+    return judged.withColumn("probability", F.greatest(vector_to_array("odds")[1], "sure")).select(*columns)
 
 
 def redacted(

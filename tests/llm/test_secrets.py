@@ -42,6 +42,23 @@ def test_reviewed_labels_train(spark):
     assert found[80] and not found[81]
 
 
+def test_short_unspaced_compound_and_dotted_secrets_go(spark):
+    token = "ghp_" + "a1B2c3D4e5" * 3
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    mark = "[secret]"
+    lines = {
+        'password: "Hunter2!x"': f'password: "{mark}"', "pwd=Hunter2!x go": f"pwd={mark} go",
+        f"API_TOKEN={token}": f"API_TOKEN={mark}", f'db_password = "{token}"': f'db_password = "{mark}"',
+        f'aws_secret_access_key = "{token}"': f'aws_secret_access_key = "{mark}"',
+        f"client_secret={token}": f"client_secret={mark}", f"accessToken: {token}": f"accessToken: {mark}",
+        f"Authorization: Bearer {jwt}": f"Authorization: Bearer {mark}", f"see {jwt}.": f"see {mark}.",
+        "monkey: banana and keys: two": "monkey: banana and keys: two",
+    }
+    docs = table(spark, [*lines, *(f"see folder/subfolder/name{i:04d}/filename" for i in range(20))])
+    clean = dict(plain(redacted(docs, secret_findings(docs)), "doc_id", "text"))
+    assert [clean[i] for i in range(len(lines))] == list(lines.values())
+
+
 def test_nothing_to_find(spark):
     for texts in ([], [None, "", "short words"]):
         docs = table(spark, texts)
