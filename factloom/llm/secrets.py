@@ -33,14 +33,15 @@ _NAME = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:" + "|".join(SECRET_WORDS) +
 _ASSIGNED = r"""["'`]?[ \t]{0,3}[:=][ \t]{0,3}"""
 _RUN = "[A-Za-z0-9+/_=-]"
 #: The first that matches at a place: a quoted or bare value after a secret's name, a dotted
-#: token, the value of an unspaced name=value, any other run of key characters.
+#: token, the value of an unspaced name=value, any other run of key characters.  What costs one
+#: character to rule out comes first, as every place of a text is tried.
 CANDIDATE = "(?:" + "|".join((
-    rf"""(?<=[:=][ \t]{{0,3}}["'`])(?<={_NAME}{_ASSIGNED}["'`])(?:[^"'`\r\n]{{4,128}}(?=["'`])|[^"'`\s]{{4,}})""",
+    rf"""(?<=["'`])(?<=[:=][ \t]{{0,3}}["'`])(?<={_NAME}{_ASSIGNED}["'`])(?:[^"'`\r\n]{{4,128}}(?=["'`])|[^"'`\s]{{4,}})""",
     rf"""(?<=[:=])(?<={_NAME}["'`]?[:=])(?![=:])[^\s"'`,;&<>(){{}}\[\]]{{4,}}""",
-    rf"""(?<=[:=][ \t]{{1,3}})(?<={_NAME}{_ASSIGNED})(?=[^\s"'`,;&<>(){{}}\[\]]*[^\sA-Za-z"'`,;&<>(){{}}\[\].:?])[^\s"'`,;&<>(){{}}\[\]]{{4,}}""",
+    rf"""(?<=[ \t])(?<=[:=][ \t]{{1,3}})(?<={_NAME}{_ASSIGNED})(?=[^\s"'`,;&<>(){{}}\[\]]*[^\sA-Za-z"'`,;&<>(){{}}\[\].:?])[^\s"'`,;&<>(){{}}\[\]]{{4,}}""",
     r"(?<![A-Za-z0-9+/_.@\\-])[A-Za-z0-9_-]{2,}+(?:\.[A-Za-z0-9_-]{5,}+){1,4}(?<=\.[A-Za-z0-9_-]{16,2048})",
-    rf"(?<=(?<!{_RUN})[A-Za-z0-9+/_-]{{1,64}}=)(?!=){_RUN}{{16,}}",
-    rf"(?<!{_RUN})(?![A-Za-z0-9+/_-]{{1,64}}=(?!=){_RUN}{{16}})(?![A-Za-z0-9+/_-]{{0,64}}{_NAME}=[^=\s]){_RUN}{{16,}}",
+    rf"(?<==)(?<=(?<!{_RUN})[A-Za-z0-9+/_-]{{1,64}}=)(?!=){_RUN}{{16,}}",
+    rf"(?<!{_RUN})(?={_RUN}{{16}})(?![A-Za-z0-9+/_-]{{1,64}}=(?!=){_RUN}{{16}})(?![A-Za-z0-9+/_-]{{0,64}}{_NAME}=[^=\s]){_RUN}{{16,}}",
 )) + ")"
 #: Header and payload of a signed JSON token, whose braces are encoded.
 JSON_TOKEN = r"^eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\."
