@@ -76,5 +76,32 @@ WITH t AS (
   FROM t
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+""",
+    "op11_kronecker_negatives": """
+WITH fine AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM fine
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, any_value(a.label) = any_value(r.label) AS same,
+         CAST(sum(a.x * r.x) AS BIGINT) AS score
+  FROM parts a JOIN parts r ON a.i = r.i AND a.vec_id <> r.vec_id
+  WHERE a.vec_id % 50 = 0
+  GROUP BY a.vec_id, r.vec_id
+), positives AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+ AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) <= 3
 """,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.llm.backoff import scores
 from factloom.llm.exact_dup import exact_duplicates
+from factloom.llm.hard_negatives import hard_negatives
 from factloom.llm.near_dup import near_duplicates
 from factloom.llm.nearest import nearest
 from factloom.llm.packing import pack
@@ -87,6 +88,12 @@ def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op11_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh id has its label moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("__label") + 1) % 10).otherwise(F.col("__label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -101,6 +108,7 @@ def queries() -> dict[str, Query]:
             op8_one_permutation_minhash,
             op9_exact_dedup,
             op10_adaptive_scan,
+            op11_kronecker_negatives,
         )
     }
 
