@@ -103,5 +103,44 @@ SELECT p.anchor_id, p.vec_id AS positive_id,
 FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
  AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) <= 3
+""",
+    "op12_source_divergence": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), tokens AS (
+  SELECT id, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS everywhere FROM tokens GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(everywhere) AS lang_n FROM kept GROUP BY lang
+), groups AS (
+  SELECT lang, source, coalesce(any_value(held.n), 0) AS n, coalesce(any_value(v), 0) AS v, any_value(lang_n) AS lang_n
+  FROM docs LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL) held USING (lang, source)
+  LEFT JOIN sizes USING (lang) GROUP BY lang, source
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c,
+         1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (g.n + g.v) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (k.everywhere + 1) // (g.lang_n + g.v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(value), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+  GROUP BY a.lang, a.source, b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found
+QUALIFY part = 'pair' OR rank <= 200
 """,
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.llm.backoff import scores
+from factloom.llm.divergence import source_divergence
 from factloom.llm.exact_dup import exact_duplicates
 from factloom.llm.hard_negatives import hard_negatives
 from factloom.llm.near_dup import near_duplicates
@@ -94,6 +95,11 @@ def op11_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and its most telling terms."""
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -109,6 +115,7 @@ def queries() -> dict[str, Query]:
             op9_exact_dedup,
             op10_adaptive_scan,
             op11_kronecker_negatives,
+            op12_source_divergence,
         )
     }
 
