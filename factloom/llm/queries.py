@@ -15,6 +15,7 @@ from factloom.llm.nearest import nearest
 from factloom.llm.packing import pack
 from factloom.llm.pieces import encode, with_round_trip
 from factloom.llm.pii import personal_data, span_digest
+from factloom.llm.rank_language import predicted_languages
 from factloom.llm.secrets import secret_findings
 from factloom.llm.site_quality import site_quality
 from factloom.llm.url_rules import judged, rule_table
@@ -100,6 +101,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by profiles of those that are not held out."""
+    return predicted_languages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -116,6 +122,7 @@ def queries() -> dict[str, Query]:
             op10_adaptive_scan,
             op11_kronecker_negatives,
             op12_source_divergence,
+            op13_rank_order_language,
         )
     }
 
