@@ -94,16 +94,17 @@ class Counts:
             if self.texts is None:
                 self._merge(*np.unique(hashes, return_counts=True))
                 continue
-            order = np.argsort(hashes)
-            h = hashes[order]
-            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-            places = np.concatenate([p for _, p, _ in found])[order[starts]]
-            length = np.concatenate([np.full(len(p), n) for n, p, _ in found])[order[starts]]
+            distinct, n = np.unique(hashes, return_counts=True)
+            texts = np.zeros(len(distinct), f"<U{LONGEST}")
+            fresh = np.flatnonzero(~np.isin(distinct, self.hashes, assume_unique=True))
+            at = _a_place_of(distinct[fresh], hashes)
+            length = np.concatenate([np.full(len(p), n, np.int8) for n, p, _ in found])[at]
+            places = np.concatenate([p for _, p, _ in found])[at]
             step = np.arange(LONGEST)
-            spelled = np.where(
-                step < length[:, None], codes[np.minimum(places[:, None] + step, len(codes) - 1)], 0
-            ).astype(np.uint32)
-            self._merge(h[starts], np.diff(np.r_[starts, len(h)]), spelled.view(f"<U{LONGEST}").ravel())
+            spelled = codes[np.minimum(places[:, None] + step, len(codes) - 1)]
+            spelled = np.where(step < length[:, None], spelled, 0).astype(np.uint32)
+            texts[fresh] = spelled.view(f"<U{LONGEST}").ravel()
+            self._merge(distinct, n, texts)
         return self
 
     def _merge(self, hashes: np.ndarray, n: np.ndarray, texts: np.ndarray | None = None) -> None:
@@ -129,6 +130,18 @@ class Counts:
         return self.hashes[enough[np.argsort(-n[enough], kind="stable")][:k]]
 
 
+def _a_place_of(wanted: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each of some sorted hashes, a place where it stands among many."""
+    seen = np.zeros(1 << 20, bool)
+    seen[wanted >> np.uint64(44)] = True
+    likely = np.flatnonzero(seen[hashes >> np.uint64(44)])
+    at = np.minimum(np.searchsorted(wanted, hashes[likely]), max(len(wanted) - 1, 0))
+    right = wanted[at] == hashes[likely] if len(wanted) else np.zeros(0, bool)
+    places = np.zeros(len(wanted), np.int64)
+    places[at[right]] = likely[right]
+    return places
+
+
 def gram_hashes(grams: Iterable[str]) -> np.ndarray:
     """The hash of each n-gram, as in `Counts`."""
     out = []
