@@ -51,6 +51,7 @@ class ColumnRole:
     non_null_count: int
     unique_count: int | None
     has_null_text: bool
+    has_long_text: bool = False
 
 
 def _kind(dtype: T.DataType) -> str:
@@ -117,13 +118,63 @@ def value_counts(df: DataFrame) -> DataFrame:
 
 def column_catalog(df: DataFrame) -> DataFrame:
     """Technical facts of every column, one row each, in a single pass."""
-    counted = value_counts(df)
+    return catalog_of_counts(value_counts(df), df.schema)
+
+
+def stored_counts(counted: DataFrame) -> DataFrame:
+    """Value counts with every slot, as they are kept for later appends."""
+    return counted.select(
+        "ordinal",
+        *[
+            F.col(s) if s in counted.columns else F.lit(None).cast(t).alias(s)
+            for s, t in _SLOT_TYPES.items()
+        ],
+        "n",
+    )
+
+
+def merged_counts(parts: DataFrame) -> DataFrame:
+    """Value counts of several sets of rows as those of all of them."""
+    return parts.groupBy("ordinal", *_SLOT_TYPES).agg(F.sum("n").alias("n"))
+
+
+def numeric_counts(counted: DataFrame, ordinals: list[int]) -> DataFrame:
+    """(slot, v, n): the numbers of the given columns with their counts; slot is the place in the list."""
+    return (
+        counted.where(F.col("ordinal").isin(ordinals))
+        .select(
+            (F.array_position(F.lit(ordinals), F.col("ordinal")) - 1).cast("int").alias("slot"),
+            F.coalesce(F.col("as_long").cast("double"), "as_double").alias("v"),
+            "n",
+        )
+        .where(F.col("v").isNotNull())
+    )
+
+
+def finite_means(counted: DataFrame, ordinals: dict[str, int]) -> dict[str, float]:
+    """Mean of the finite values of columns given by name and ordinal, 0 without any."""
+    finite = F.abs("v") < F.lit(float("inf"))
+    rows = (
+        numeric_counts(counted, list(ordinals.values()))
+        .where(finite)
+        .groupBy("slot")
+        .agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+        .collect()
+        if ordinals
+        else []
+    )
+    means = {r["slot"]: r["mean"] for r in rows}
+    return {name: means.get(i, 0.0) for i, name in enumerate(ordinals)}
+
+
+def catalog_of_counts(counted: DataFrame, schema: T.StructType) -> DataFrame:
+    """The catalog of a table with this schema, from its value counts."""
     slots = [c for c in counted.columns if c.startswith("as_")]
     present = F.lit(False)
     for s in slots:
         present = present | col(s).isNotNull()
     numeric_ordinals = [
-        i for i, f in enumerate(df.schema.fields) if is_numeric(f.dataType)
+        i for i, f in enumerate(schema.fields) if is_numeric(f.dataType)
     ]
     number = F.coalesce(
         *[col(s).cast("double") for s in slots if s in ("as_long", "as_double")],
@@ -132,17 +183,21 @@ def column_catalog(df: DataFrame) -> DataFrame:
     is_null_text = (
         (F.col("as_text") == NULL_TEXT) if "as_text" in slots else F.lit(False)
     )
+    is_long_text = (
+        (F.octet_length("as_text") > SHORT_TEXT_BYTES) if "as_text" in slots else F.lit(False)
+    )
     facts = counted.groupBy("ordinal").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("non_null_count"),
         F.count_if(present).alias("unique_count"),
         F.max(F.when(F.col("ordinal").isin(numeric_ordinals), number)).alias("max_number"),
         F.coalesce(F.max(is_null_text), F.lit(False)).alias("has_null_text"),
+        F.coalesce(F.max(is_long_text), F.lit(False)).alias("has_long_text"),
     )
-    layout = df.sparkSession.createDataFrame(
+    layout = counted.sparkSession.createDataFrame(
         [
             (i, f.name, f.dataType.simpleString(), _kind(f.dataType))
-            for i, f in enumerate(df.schema.fields)
+            for i, f in enumerate(schema.fields)
         ],
         "ordinal int, name string, technical_type string, kind string",
     )
@@ -159,6 +214,7 @@ def column_catalog(df: DataFrame) -> DataFrame:
             F.when(flat, F.coalesce("unique_count", F.lit(0))).alias("unique_count"),
             "max_number",
             F.coalesce("has_null_text", F.lit(False)).alias("has_null_text"),
+            F.coalesce("has_long_text", F.lit(False)).alias("has_long_text"),
         )
         .withColumn("null_count", F.col("row_count") - F.col("non_null_count"))
         .withColumn("is_nullable", F.col("null_count") > 0)

@@ -84,6 +84,47 @@ def cube(df: DataFrame, dimensions: Sequence[str], measures: Sequence[str]) -> D
     )
 
 
+def merged_cubes(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """The cube of two sets of rows from the cubes of each.
+
+    Means and squares are joined around the common mean, which keeps the digits that sums of
+    squares would lose.
+    """
+    key = ["dimension_ordinal", "dimension", "value", "metric_ordinal", "metric"]
+    squares = F.coalesce(F.col("variance"), F.lit(0.0)) * F.greatest(F.col("count") - 1, F.lit(0))
+    parts = (F.struct("count", "mean", squares.alias("squares")))
+    empty = F.struct(
+        F.lit(0).cast("bigint").alias("count"), F.lit(None).cast("double").alias("mean"), F.lit(0.0).alias("squares")
+    )
+
+    def joined(a: Column, b: Column) -> Column:
+        n = a["count"] + b["count"]
+        apart = b["mean"] - a["mean"]
+        both = F.struct(
+            n.alias("count"),
+            (a["mean"] + F.try_divide(apart * b["count"], n)).alias("mean"),
+            (a["squares"] + b["squares"] + F.try_divide(apart * apart * a["count"] * b["count"], n)).alias("squares"),
+        )
+        return F.when(a["count"] == 0, b).when(b["count"] == 0, a).otherwise(both)
+
+    n = F.col("state.count")
+    return (
+        earlier.select(*key, "sum", "mean", "count", "variance")
+        .unionByName(later.select(*key, "sum", "mean", "count", "variance"))
+        .groupBy(*key)
+        # Two entries at most: a group has one row in each cube.
+        .agg(F.sum("sum").alias("sum"), F.collect_list(parts).alias("parts"))
+        .withColumn("state", F.aggregate("parts", empty, joined))
+        .select(
+            *key,
+            "sum",
+            F.try_divide("sum", n).alias("mean"),
+            n.alias("count"),
+            F.when(n > 1, F.try_divide("state.squares", n - 1)).alias("variance"),
+        )
+    )
+
+
 def facts_from_cube(cubed: DataFrame, measures: Sequence[str], merge_null_text: bool = True) -> DataFrame:
     """Stored facts: the NULL group becomes ``(null)``, its empty sums become 0.
 

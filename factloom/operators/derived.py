@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 from operator import and_
@@ -47,14 +48,9 @@ def derived_columns(
     decide most of the others.  Only triples that have fewer than 20 complete rows there
     are looked at again over the whole table.
     """
-    names = [f.name for f in df.schema.fields if is_text(f.dataType)]
+    names, text = _texts(df, order_by)
     if len(names) < 3:
         return []
-    keys = [col(k) if isinstance(k, str) else k for k in order_by or stored_order(df)]
-    text = df.select(
-        F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("position"),
-        F.array(*[col(n) for n in names]).alias("texts"),
-    )
     if whole_table:
         every = [
             (t, a, b)
@@ -64,20 +60,68 @@ def derived_columns(
         judged = _judge(text, every, sample=False)
         derived = {t for (t, _, _), (_, both) in judged.items() if both}
         return [n for i, n in enumerate(names) if i in derived]
+    found = _from_prefix(text, len(names))
+    return found.names(names)
+
+
+@dataclass
+class Derived:
+    """What the rows seen so far say: decided columns, and triples with fewer than 20 complete rows."""
+
+    decided: set[int]
+    #: Complete rows of each open triple; all of them contain both parts.
+    open: dict[tuple[int, int, int], int]
+
+    def names(self, texts: Sequence[str]) -> list[str]:
+        """Derived columns as far as the rows go; a triple without complete rows says nothing."""
+        derived = self.decided | {t for (t, _, _), n in self.open.items() if n}
+        return [name for i, name in enumerate(texts) if i in derived]
+
+
+def derived_state(df: DataFrame, order_by: Sequence[str | Column] | None = None) -> Derived:
+    """The same as `derived_columns` in a form that goes on with later rows."""
+    names, text = _texts(df, order_by)
+    return _from_prefix(text, len(names)) if len(names) >= 3 else Derived(set(), {})
+
+
+def with_later_rows(state: Derived, df: DataFrame, order_by: Sequence[str | Column] | None = None) -> Derived:
+    """The state after further rows, which come after all earlier ones."""
+    open_ = {x: n for x, n in state.open.items() if x[0] not in state.decided}
+    judged = _judge(_texts(df, order_by)[1], list(open_), open_)
+    seen = {x: (n + judged.get(x, (0, True))[0], judged.get(x, (0, True))[1]) for x, n in open_.items()}
+    decided = state.decided | {x[0] for x, (n, both) in seen.items() if both and n == SAMPLE_ROWS}
+    return Derived(decided, {x: n for x, (n, both) in seen.items() if both and x[0] not in decided})
+
+
+def text_names(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if is_text(f.dataType)]
+
+
+def _texts(df: DataFrame, order_by: Sequence[str | Column] | None) -> tuple[list[str], DataFrame]:
+    names = text_names(df)
+    keys = [col(k) if isinstance(k, str) else k for k in order_by or stored_order(df)]
+    return names, df.select(
+        F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("position"),
+        F.array(*[col(n) for n in names]).alias("texts"),
+    )
+
+
+def _from_prefix(text: DataFrame, width: int) -> Derived:
     prefix = text.orderBy("position").limit(PREFIX_ROWS).persist()
     try:
-        triples = _possible_triples(prefix, len(names))
+        triples = _possible_triples(prefix, width)
         judged = _judge(prefix, triples)
-        derived = {t for (t, _, _), (n, both) in judged.items() if both and n == SAMPLE_ROWS}
+        decided = {t for (t, _, _), (n, both) in judged.items() if both and n == SAMPLE_ROWS}
         undecided = [
-            x for x in triples if judged.get(x, (0, False))[0] < SAMPLE_ROWS and x[0] not in derived
+            x for x in triples if judged.get(x, (0, False))[0] < SAMPLE_ROWS and x[0] not in decided
         ]
         if undecided and prefix.count() == PREFIX_ROWS:
             judged = _judge(text, undecided)
-        derived |= {x[0] for x in undecided if judged.get(x, (0, False))[1]}
     finally:
         prefix.unpersist()
-    return [n for i, n in enumerate(names) if i in derived]
+    verdicts = {x: judged.get(x, (0, True)) for x in undecided}
+    decided |= {x[0] for x, (n, both) in verdicts.items() if both and n == SAMPLE_ROWS}
+    return Derived(decided, {x: n for x, (n, both) in verdicts.items() if both and x[0] not in decided})
 
 
 def _indices(rows: Sequence[tuple], fields: Sequence[str]) -> Column:
@@ -122,27 +166,32 @@ def _possible_triples(prefix: DataFrame, width: int) -> list[tuple[int, int, int
 
 
 def _judge(
-    rows: DataFrame, triples: list[tuple[int, int, int]], sample: bool = True
+    rows: DataFrame,
+    triples: list[tuple[int, int, int]],
+    seen: dict[tuple[int, int, int], int] | None = None,
+    sample: bool = True,
 ) -> dict[tuple[int, int, int], tuple[int, bool]]:
     """Complete rows (of a sample at most 20) and verdict per triple; one result row per triple.
 
-    A row is multiplied only by the triples that are complete in it.
+    A row is multiplied only by the triples that are complete in it.  ``seen`` says how many
+    rows of the sample came before these.
     """
     if not triples:
         return {}
     fields = ["t", "a", "b"]
+    wanted = [(*x, SAMPLE_ROWS - (seen or {}).get(x, 0)) for x in triples]
     complete = F.filter(
-        _indices(triples, fields),
+        _indices(wanted, [*fields, "wanted"]),
         lambda x: reduce(and_, (F.get("texts", x[f]).isNotNull() for f in fields)),
     )
     found = rows.select("position", "texts", F.inline(complete)).select(
-        *fields, "position",
+        *fields, "wanted", "position",
         (F.contains(_text("t"), _text("a")) & F.contains(_text("t"), _text("b"))).alias("both"),
     )
     if sample:
         first_rows = Window.partitionBy(*fields).orderBy("position")
         found = found.withColumn("place", F.row_number().over(first_rows)).where(
-            F.col("place") <= SAMPLE_ROWS
+            F.col("place") <= F.col("wanted")
         )
     verdicts = (
         found.groupBy(*fields)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from factloom.functions.columns import col, is_finite, measure
-from factloom.operators.catalog import ColumnRole
-from factloom.operators.quantiles import bounds, exact_quantiles
+from factloom.operators.catalog import SHORT_TEXT_BYTES, ColumnRole, numeric_counts
+from factloom.operators.quantiles import bounds, exact_quantiles, search
 
 BINS = 10
 TOP_VALUES = 10
@@ -65,6 +65,7 @@ _SUMMARY = (
     "ordinal int, name string, value_count bigint, mean double, median double, min_val double,"
     " max_val double, std_dev double, q1 double, q3 double"
 )
+_TOP = "ordinal int, name string, value string, n bigint, rank int"
 _COUNTS = "ordinal int, name string, outlier_count bigint, bin_counts array<bigint>"
 
 
@@ -106,15 +107,55 @@ def summarise(df: DataFrame, names: Sequence[str]) -> list[Summary]:
     ]
 
 
-def _as_rows(df: DataFrame, summaries: list[Summary]) -> DataFrame:
+def summarise_counts(values: DataFrame, columns: Sequence[tuple[int, str]]) -> list[Summary]:
+    """The same from counted values (slot, v, n) of columns given as (ordinal, name).
+
+    Every distinct value is one row however many rows of the dataset hold it.
+    """
+    if not columns:
+        return []
+    n, v = F.col("n"), F.col("v")
+    found = {
+        r["slot"]: r
+        for r in values.groupBy("slot")
+        .agg(
+            (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
+            bounds(v, n).alias("bounds"),
+        )
+        .collect()
+    }
+    means = F.lit([float(found[i]["mean"]) if i in found else None for i in range(len(columns))])
+    apart = v - F.get(means.cast("array<double>"), F.col("slot"))
+    squares = dict(
+        values.groupBy("slot")
+        .agg(F.try_divide(F.sum(n * apart * apart), F.sum(n) - 1).alias("variance"))
+        .select("slot", F.when(is_finite(F.col("variance")), F.sqrt("variance")))
+        .collect()
+    )
+    nothing = {"n": 0, "below": 0, "above": 0, "low": None, "high": None}
+    known = [found[i]["bounds"].asDict() if i in found else nothing for i in range(len(columns))]
+    quantiles = search(lambda slots: values.where(F.col("slot").isin(list(slots))), known, QUARTILES)
+    summaries = []
+    for i, (ordinal, name) in enumerate(columns):
+        row, (q1, median, q3), low, high = found.get(i), quantiles[i], known[i]["low"], known[i]["high"]
+        summaries.append(
+            Summary(
+                ordinal, name, known[i]["n"], row and row["mean"], median, row and row["min"], row and row["max"],
+                squares.get(i), q1, q3, Bins.spanning(low, high) if low is not None else None,
+            )
+        )
+    return summaries
+
+
+def _as_rows(spark: SparkSession, summaries: list[Summary]) -> DataFrame:
     fields = [f.split()[0] for f in _SUMMARY.split(", ")]
     rows = [tuple(getattr(s, f) for f in fields) for s in summaries]
-    return df.sparkSession.createDataFrame(rows, _SUMMARY)
+    return spark.createDataFrame(rows, _SUMMARY)
 
 
 def numeric_summary(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """The summaries as rows, one per column."""
-    return _as_rows(df, summarise(df, names))
+    return _as_rows(df.sparkSession, summarise(df, names))
 
 
 def distribution_counts(df: DataFrame, summaries: list[Summary]) -> DataFrame:
@@ -123,26 +164,35 @@ def distribution_counts(df: DataFrame, summaries: list[Summary]) -> DataFrame:
     if not filled:
         return df.sparkSession.createDataFrame([], _COUNTS)
     values = df.select(*[measure(df, s.name).alias(f"v{i}") for i, s in enumerate(filled)])
-    entries = []
-    for i, s in enumerate(filled):
-        v = F.col(f"v{i}")
+    entries = [
+        F.struct(F.lit(i).alias("slot"), F.col(f"v{i}").alias("v"), F.lit(1).alias("n")) for i in range(len(filled))
+    ]
+    long = values.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull())
+    return _distribution(long, list(enumerate(filled)))
+
+
+def _distribution(values: DataFrame, columns: list[tuple[int, Summary]]) -> DataFrame:
+    """Outliers and histogram counts of rows (slot, v, n); columns as (slot, summary)."""
+    v, n = F.col("v"), F.col("n")
+    ordinal, name, is_outlier, bin_ = (F.lit(None),) * 4
+    for slot, s in columns:
+        here = F.col("slot") == slot
         reach = FENCE * (s.q3 - s.q1)
-        entries.append(
-            F.struct(
-                F.lit(s.ordinal).alias("ordinal"),
-                F.lit(s.name).alias("name"),
-                v.alias("v"),
-                ((v < s.q1 - reach) | (v > s.q3 + reach)).alias("is_outlier"),
-                (F.when(is_finite(v), s.bins.index(v)) if s.bins else F.lit(None).cast("int")).alias("bin"),
-            )
-        )
+        ordinal = F.when(here, s.ordinal).otherwise(ordinal)
+        name = F.when(here, s.name).otherwise(name)
+        is_outlier = F.when(here, (v < s.q1 - reach) | (v > s.q3 + reach)).otherwise(is_outlier)
+        if s.bins:
+            bin_ = F.when(here, F.when(is_finite(v), s.bins.index(v))).otherwise(bin_)
+    total = lambda which: F.coalesce(F.sum(F.when(which, n)), F.lit(0)).cast("bigint")
     return (
-        values.select(F.inline(F.array(*entries)))
-        .where(F.col("v").isNotNull())
+        values.select(
+            ordinal.cast("int").alias("ordinal"), name.cast("string").alias("name"), "n",
+            is_outlier.cast("boolean").alias("is_outlier"), bin_.cast("int").alias("bin"),
+        )
         .groupBy("ordinal", "name")
         .agg(
-            F.count_if("is_outlier").alias("outlier_count"),
-            F.array(*[F.count_if(F.col("bin") == b) for b in range(BINS)]).alias("bin_counts"),
+            total(F.col("is_outlier")).alias("outlier_count"),
+            F.array(*[total(F.col("bin") == b) for b in range(BINS)]).alias("bin_counts"),
         )
     )
 
@@ -152,7 +202,7 @@ def iqr_outliers(df: DataFrame, names: Sequence[str]) -> DataFrame:
     summaries = summarise(df, names)
     counts = distribution_counts(df, summaries).select("ordinal", "outlier_count")
     return (
-        _as_rows(df, summaries)
+        _as_rows(df.sparkSession, summaries)
         .join(counts, "ordinal", "left")
         .select("name", "q1", "q3", F.coalesce("outlier_count", F.lit(0)).alias("outlier_count"))
     )
@@ -163,14 +213,14 @@ def histogram(df: DataFrame, names: Sequence[str]) -> DataFrame:
     summaries = summarise(df, names)
     return (
         distribution_counts(df, summaries)
-        .join(_edges(df, summaries), "name")
+        .join(_edges(df.sparkSession, summaries), "name")
         .select("name", F.posexplode(F.arrays_zip("lo", "hi", "label", "bin_counts")).alias("bin", "b"))
         .select("name", "bin", "b.lo", "b.hi", "b.label", F.col("b.bin_counts").alias("n"))
     )
 
 
-def _edges(df: DataFrame, summaries: list[Summary]) -> DataFrame:
-    return df.sparkSession.createDataFrame(
+def _edges(spark: SparkSession, summaries: list[Summary]) -> DataFrame:
+    return spark.createDataFrame(
         [
             (s.name, list(s.bins.edges[:-1]), list(s.bins.edges[1:]), s.bins.labels)
             for s in summaries
@@ -183,13 +233,10 @@ def _edges(df: DataFrame, summaries: list[Summary]) -> DataFrame:
 def top_values(df: DataFrame, names: Sequence[str], k: int = TOP_VALUES) -> DataFrame:
     """Most frequent values of each column; equal counts are ordered by value."""
     if not names:
-        return df.sparkSession.createDataFrame(
-            [], "ordinal int, name string, value string, n bigint, rank int"
-        )
-    by_count = Window.partitionBy("ordinal", "name").orderBy(F.desc("n"), "value")
+        return df.sparkSession.createDataFrame([], _TOP)
     slots = [str(i) for i in range(len(names))]
     slot = F.col("slot").cast("int")
-    return (
+    counted = (
         df.select(*[col(n).cast("string").alias(s) for n, s in zip(names, slots)])
         .unpivot([], slots, "slot", "value")
         .where(F.col("value").isNotNull())
@@ -197,17 +244,73 @@ def top_values(df: DataFrame, names: Sequence[str], k: int = TOP_VALUES) -> Data
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("ordinal", F.get(F.lit([df.columns.index(n) for n in names]), slot))
         .withColumn("name", F.get(F.lit(list(names)), slot))
-        .withColumn("rank", F.row_number().over(by_count))
+    )
+    return _most_frequent(counted, k)
+
+
+def _most_frequent(counted: DataFrame, k: int) -> DataFrame:
+    by_count = Window.partitionBy("ordinal", "name").orderBy(F.desc("n"), "value")
+    return (
+        counted.withColumn("rank", F.row_number().over(by_count))
         .where(F.col("rank") <= k)
         .select("ordinal", "name", "value", "n", "rank")
     )
 
 
+def long_texts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(ordinal, digest, value): the distinct texts that value counts know by their digest."""
+    entries = [
+        F.struct(F.lit(df.columns.index(n)).alias("ordinal"), col(n).cast("string").alias("value")) for n in names
+    ]
+    return (
+        df.select(F.inline(F.array(*entries)))
+        .where(F.octet_length("value") > SHORT_TEXT_BYTES)
+        .distinct()
+        .select("ordinal", F.sha2("value", 256).alias("digest"), "value")
+    )
+
+
+def top_counts(counted: DataFrame, columns: Sequence[tuple[int, str]], texts: DataFrame | None = None, k: int = TOP_VALUES) -> DataFrame:
+    """`top_values` from value counts; ``texts`` spells out the long ones, see `long_texts`."""
+    ordinals = [o for o, _ in columns]
+    names = F.create_map(*[F.lit(x) for pair in columns for x in pair])
+    rows = counted.where(F.col("ordinal").isin(ordinals) & F.col("as_text").isNotNull()).select(
+        "ordinal", names[F.col("ordinal")].alias("name"), F.col("as_text").alias("value"), "n"
+    )
+    if texts is not None:
+        spelled = texts.distinct().select("ordinal", F.col("digest").alias("value"), F.col("value").alias("spelled"))
+        rows = rows.join(spelled, ["ordinal", "value"], "left").withColumn(
+            "value", F.coalesce("spelled", "value")
+        ).drop("spelled")
+    return _most_frequent(rows, k)
+
+
 def column_profile(df: DataFrame, roles: list[ColumnRole]) -> DataFrame:
     """One row per flat column with all statistics and its distribution."""
-    spark = df.sparkSession
     numeric = [r.name for r in roles if r.business_type == "NUMERIC"]
     categorical = [r.name for r in roles if r.business_type == "CATEGORICAL"]
+    summaries = summarise(df, numeric)
+    return _profile_rows(
+        df.sparkSession, roles, summaries, distribution_counts(df, summaries), top_values(df, categorical)
+    )
+
+
+def profile_of_counts(counted: DataFrame, roles: list[ColumnRole], texts: DataFrame | None = None) -> DataFrame:
+    """The same from value counts with every slot, without the rows themselves."""
+    numeric = [(r.ordinal, r.name) for r in roles if r.business_type == "NUMERIC"]
+    categorical = [(r.ordinal, r.name) for r in roles if r.business_type == "CATEGORICAL"]
+    spark = counted.sparkSession
+    values = numeric_counts(counted, [o for o, _ in numeric])
+    summaries = summarise_counts(values, numeric)
+    filled = [(i, s) for i, s in enumerate(summaries) if s.value_count]
+    shape = _distribution(values, filled) if filled else spark.createDataFrame([], _COUNTS)
+    top = top_counts(counted, categorical, texts) if categorical else spark.createDataFrame([], _TOP)
+    return _profile_rows(spark, roles, summaries, shape, top)
+
+
+def _profile_rows(
+    spark: SparkSession, roles: list[ColumnRole], summaries: list[Summary], shape: DataFrame, top: DataFrame
+) -> DataFrame:
     counts = spark.createDataFrame(
         [
             (r.ordinal, r.name, r.unique_count, r.row_count - r.non_null_count)
@@ -216,9 +319,7 @@ def column_profile(df: DataFrame, roles: list[ColumnRole]) -> DataFrame:
         ],
         "ordinal int, name string, unique_count bigint, null_count bigint",
     )
-    summaries = summarise(df, numeric)
-    shape = distribution_counts(df, summaries)
-    bars = shape.join(_edges(df, summaries), "name", "left").select(
+    bars = shape.join(_edges(spark, summaries), "name", "left").select(
         "ordinal",
         "outlier_count",
         F.when(
@@ -228,8 +329,7 @@ def column_profile(df: DataFrame, roles: list[ColumnRole]) -> DataFrame:
     )
     ranked = (
         # At most TOP_VALUES entries per column.
-        top_values(df, categorical)
-        .groupBy("ordinal")
+        top.groupBy("ordinal")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
         .select(
             "ordinal",
@@ -237,7 +337,7 @@ def column_profile(df: DataFrame, roles: list[ColumnRole]) -> DataFrame:
         )
     )
     return (
-        counts.join(_as_rows(df, summaries).drop("name"), "ordinal", "left")
+        counts.join(_as_rows(spark, summaries).drop("name"), "ordinal", "left")
         .join(bars, "ordinal", "left")
         .join(ranked, "ordinal", "left")
         .select(

@@ -11,7 +11,7 @@ itself whatever the number of rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
@@ -41,17 +41,16 @@ class _Range:
         resolve twelve of a double's 52 bits a pass.  So six passes suffice for any data.
         """
         if self.low <= 0 <= self.high or max(abs(self.low), abs(self.high)) > SPREAD * min(abs(self.low), abs(self.high)):
-            v = f"v{self.column}"
-            magnitude = f"coalesce(signum({v}) * (log2(abs({v})) + 1075D) / 2100D, 0D)"
+            magnitude = "coalesce(signum(v) * (log2(abs(v)) + 1075D) / 2100D, 0D)"
             return f"least(cast(floor(({magnitude} + 1D) * {BUCKETS // 2}D) as int), {BUCKETS - 1})"
         # Halving first keeps the width finite for values near the double limits.
         half = 0.5 if max(abs(self.low), abs(self.high)) > 1e300 else 1.0
         start, width = self.low * half, self.high * half - self.low * half
-        position = f"(v{self.column} * {half}D - {_number(start)}) / {_number(width)} * {BUCKETS}D"
+        position = f"(v * {half}D - {_number(start)}) / {_number(width)} * {BUCKETS}D"
         return f"least(cast(floor({position}) as int), {BUCKETS - 1})"
 
     def holds(self) -> str:
-        return f"v{self.column} between {_number(self.low)} and {_number(self.high)}"
+        return f"v between {_number(self.low)} and {_number(self.high)}"
 
     def holds_rank(self) -> str:
         """SQL text: one of the wanted ranks falls into the bucket of the row."""
@@ -63,12 +62,17 @@ def _number(value: float) -> str:
     return f"({value!r}D)"
 
 
-def bounds(value: Column) -> Column:
-    """What the search starts from: counts, and the smallest and largest finite value."""
+def bounds(value: Column, n: Column | None = None) -> Column:
+    """What the search starts from: counts, and the smallest and largest finite value.
+
+    ``n`` says how often each value stands for itself; once, if left out.
+    """
+    n = F.lit(1) if n is None else n
+    total = lambda which: F.coalesce(F.sum(F.when(which, n)), F.lit(0))
     return F.struct(
-        F.count(value).alias("n"),
-        F.count_if(value == float("-inf")).alias("below"),
-        F.count_if(value == float("inf")).alias("above"),
+        total(value.isNotNull()).alias("n"),
+        total(value == float("-inf")).alias("below"),
+        total(value == float("inf")).alias("above"),
         F.min(F.when(is_finite(value), value)).alias("low"),
         F.max(F.when(is_finite(value), value)).alias("high"),
     )
@@ -87,6 +91,17 @@ def exact_quantiles(
     if known is None:
         known = values.agg(*[bounds(F.col(c)).alias(c) for c in values.columns]).first()
 
+    def of_slots(slots: Sequence[int]) -> DataFrame:
+        entries = ", ".join(f"struct({i} as slot, v{i} as v, 1L as n)" for i in slots)
+        return values.selectExpr(f"inline(array({entries}))")
+
+    return dict(zip(names, search(of_slots, known, probabilities)))
+
+
+def search(
+    of_slots: Callable[[Sequence[int]], DataFrame], known: Sequence[Row], probabilities: Sequence[float]
+) -> list[list[float | None]]:
+    """Quantiles of each slot; ``of_slots`` gives rows (slot, v, n) of some, ``known`` the bounds of all."""
     found: dict[tuple[int, int], float] = {}
     open_ranges: list[_Range] = []
     for i, b in enumerate(known):
@@ -101,12 +116,9 @@ def exact_quantiles(
         _settle(start, found, open_ranges)
 
     while open_ranges:
-        open_ranges = _narrow(values, open_ranges, found)
+        open_ranges = _narrow(of_slots(sorted({r.column for r in open_ranges})), open_ranges, found)
 
-    return {
-        n: [_interpolate(found, i, known[i]["n"], p) for p in probabilities]
-        for i, n in enumerate(names)
-    }
+    return [[_interpolate(found, i, b["n"], p) for p in probabilities] for i, b in enumerate(known)]
 
 
 def _neighbours(n: int, p: float) -> tuple[int, int, float]:
@@ -136,22 +148,24 @@ def _settle(candidate: _Range, found, open_ranges: list[_Range]) -> None:
 
 
 def _narrow(values: DataFrame, ranges: list[_Range], found) -> list[_Range]:
-    # One row per searched value; ranges of a column do not overlap.
-    entries = []
+    # Ranges of a column do not overlap.
+    range_id, bucket = [], []
     for c in sorted({r.column for r in ranges}):
         here = [(i, r) for i, r in enumerate(ranges) if r.column == c]
-        range_id = " ".join(f"when {r.holds()} then {i}" for i, r in here)
-        bucket = " ".join(f"when {r.holds()} then {r.bucket()}" for _, r in here)
-        entries.append(
-            f"struct(case {range_id} end as range_id, case {bucket} end as bucket, v{c} as v)"
-        )
+        ids = " ".join(f"when {r.holds()} then {i}" for i, r in here)
+        buckets = " ".join(f"when {r.holds()} then {r.bucket()}" for _, r in here)
+        range_id.append(f"when {c} then case {ids} end")
+        bucket.append(f"when {c} then case {buckets} end")
     wanted = " or ".join(f"(range_id = {i} and ({r.holds_rank()}))" for i, r in enumerate(ranges))
     in_order = Window.partitionBy("range_id").orderBy("bucket")
     buckets = (
-        values.selectExpr(f"inline(array({', '.join(entries)}))")
+        values.where(F.col("v").isNotNull())
+        .selectExpr(
+            f"case slot {' '.join(range_id)} end as range_id", f"case slot {' '.join(bucket)} end as bucket", "v", "n"
+        )
         .where(F.col("range_id").isNotNull())
         .groupBy("range_id", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         # At most BUCKETS rows per range_id from here on.
         .withColumn("before", F.sum("n").over(in_order) - F.col("n"))
         .where(wanted)

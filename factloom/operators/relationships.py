@@ -122,16 +122,23 @@ def category_evidence(cubed: DataFrame) -> DataFrame:
 
 
 _PAIR_SUMS = (
-    "a int, b int, n bigint, sx double, sy double, sxx double, syy double, sxy double,"
+    "a int, b int, n bigint, infinite bigint, sx double, sy double, sxx double, syy double, sxy double,"
     " min_x double, max_x double, min_y double, max_y double"
 )
+_ADDED = ("n", "infinite", "sx", "sy", "sxx", "syy", "sxy")
+PAIR_STATE = (
+    "column_a string, column_b string, shift_a double, shift_b double, n bigint, infinite bigint, sx double,"
+    " sy double, sxx double, syy double, sxy double, min_x double, max_x double, min_y double, max_y double"
+)
+_PAIR = ["column_a", "column_b", "shift_a", "shift_b"]
 
 
-def _pair_sums(shifts: list[float]):
+def _matrix_sums(shifts: list[float]):
     """Sums of all pairs of columns over the rows complete for the pair, one row per pair and task.
 
     Matrix products over Arrow batches; values are taken relative to ``shifts`` so that large
-    means lose no digits.
+    means lose no digits.  Infinite values stay out of the products, and the complete rows
+    that hold one are counted: next to a gap they concern no pair.
     """
 
     def run(batches):
@@ -140,65 +147,92 @@ def _pair_sums(shifts: list[float]):
 
         width = len(shifts)
         a, b = np.triu_indices(width, 1)
-        sums, least = np.zeros((6, width, width)), np.full((width, width), np.inf)
+        sums, least = np.zeros((7, width, width)), np.full((width, width), np.inf)
         most = -least
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
-            there = ~np.isnan(x)
-            x = np.where(there, x - shifts, 0.0)
-            m = there.astype(float)
-            with np.errstate(invalid="ignore"):
-                # Entry [i, j]: over the rows where i and j are present.
-                sums += [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x]
+            there, infinite = ~np.isnan(x), np.isinf(x)
+            x = x - shifts
+            m, inf = there.astype(float), infinite.astype(float)
+            v = np.where(there & ~infinite, x, 0.0)
+            # Entry [i, j]: over the rows where i and j are present.
+            sums += [m.T @ m, inf.T @ m + m.T @ inf, v.T @ m, m.T @ v, (v * v).T @ m, m.T @ (v * v), v.T @ v]
             for j in range(width):
                 both = there & there[:, j : j + 1]
                 least[:, j] = np.minimum(least[:, j], np.where(both, x, np.inf).min(axis=0, initial=np.inf))
                 most[:, j] = np.maximum(most[:, j], np.where(both, x, -np.inf).max(axis=0, initial=-np.inf))
-        n, sx, sy, sxx, syy, sxy = (s[a, b] for s in sums)
-        columns = [a, b, n.astype(np.int64), sx, sy, sxx, syy, sxy, least[a, b], most[a, b], least[b, a], most[b, a]]
-        names = ["a", "b", "n", "sx", "sy", "sxx", "syy", "sxy", "min_x", "max_x", "min_y", "max_y"]
-        types = [pa.int32()] * 2 + [pa.int64()] + [pa.float64()] * 9
+        n, infinite, sx, sy, sxx, syy, sxy = (s[a, b] for s in sums)
+        columns = [
+            a, b, n.astype(np.int64), infinite.astype(np.int64), sx, sy, sxx, syy, sxy,
+            least[a, b], most[a, b], least[b, a], most[b, a],
+        ]
+        names = [f.split()[0] for f in _PAIR_SUMS.split(", ")]
+        types = [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.float64()] * 9
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return run
 
 
-def correlations(df: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of measures over the rows complete for the pair.
+def finite_means(df: DataFrame, measures: Sequence[str]) -> dict[str, float]:
+    """Mean of the finite values of each column, 0 without any."""
+    finite = [F.avg(F.when(is_finite(measure(df, m)), measure(df, m))) for m in measures]
+    return {m: mean or 0.0 for m, mean in zip(measures, df.agg(*finite).first() if measures else [])}
+
 
-    Pairs with fewer than two rows or a constant side are left out.
+def pair_sums(df: DataFrame, shifts: dict[str, float]) -> DataFrame:
+    """What the correlations of all pairs of measures need; sums of several sets of rows add up.
+
+    ``shifts`` names the measures in column order, with a value near the mean of each.
     """
-    if len(measures) < 2:
-        return df.sparkSession.createDataFrame(
-            [], "column_a string, column_b string, n bigint, correlation double"
+    spark = df.sparkSession
+    if len(shifts) < 2:
+        return spark.createDataFrame([], PAIR_STATE)
+    values = df.select(*[measure(df, m).alias(f"v{i}") for i, m in enumerate(shifts)])
+    names, means = F.lit(list(shifts)), F.lit(list(map(float, shifts.values())))
+    pick = lambda table, i, name: F.get(table, F.col(i)).alias(name)
+    return _added_pairs(
+        values.mapInArrow(_matrix_sums(list(shifts.values())), _PAIR_SUMS).select(
+            pick(names, "a", "column_a"), pick(names, "b", "column_b"),
+            pick(means, "a", "shift_a"), pick(means, "b", "shift_b"), "*",
         )
-    values = df.select(*[measure(df, m).alias(f"v{i}") for i, m in enumerate(measures)])
-    finite = [F.avg(F.when(is_finite(F.col(c)), F.col(c))).alias(c) for c in values.columns]
-    shifts = [m or 0.0 for m in values.agg(*finite).first()]
-    names = F.lit(list(measures))
+    )
+
+
+def _added_pairs(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*_PAIR).agg(
+        *[F.sum(c).alias(c) for c in _ADDED],
+        *[F.min(c).alias(c) for c in ("min_x", "min_y")],
+        *[F.max(c).alias(c) for c in ("max_x", "max_y")],
+    ).select(*[f.split()[0] for f in PAIR_STATE.split(", ")])
+
+
+def merged_pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Sums of two sets of rows, taken with the same shifts, as those of both."""
+    return _added_pairs(earlier.unionByName(later))
+
+
+def correlations_of_sums(sums: DataFrame) -> DataFrame:
+    """Pearson correlation of each pair; pairs with fewer than two rows or a constant side are left out."""
     covariance = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     spread_x = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     spread_y = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     r = F.try_divide(covariance, F.sqrt(spread_x) * F.sqrt(spread_y))
-    return (
-        values.mapInArrow(_pair_sums(shifts), _PAIR_SUMS)
-        .groupBy("a", "b")
-        .agg(
-            *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")],
-            *[F.min(c).alias(c) for c in ("min_x", "min_y")],
-            *[F.max(c).alias(c) for c in ("max_x", "max_y")],
-        )
-        .where("n >= 2 and min_x < max_x and min_y < max_y")
-        .select(
-            F.get(names, F.col("a")).alias("column_a"),
-            F.get(names, F.col("b")).alias("column_b"),
-            "n",
-            # Rounding may push a perfect correlation past 1.
-            F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("correlation"),
-        )
+    return sums.where("n >= 2 and min_x < max_x and min_y < max_y").select(
+        "column_a",
+        "column_b",
+        "n",
+        # Rounding may push a perfect correlation past 1; with an infinity there is none.
+        F.when(F.col("infinite") > 0, F.lit(float("nan")))
+        .otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+        .alias("correlation"),
     )
 
 
+def correlations(df: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair of measures over the rows complete for the pair."""
+    return correlations_of_sums(pair_sums(df, finite_means(df, measures)))
+
+
 def correlation_p_value(r: Column, n: Column) -> Column:
     """Two-sided p-value of a correlation over n pairs; two points always fit a line."""
     freedom = n - 2
@@ -211,7 +245,11 @@ def correlation_p_value(r: Column, n: Column) -> Column:
 
 def correlation_evidence(df: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Evidence rows for pairs of measures whose correlation is beyond the floor."""
-    strong = correlations(df, measures).where(
+    return _strong_pairs(correlations(df, measures))
+
+
+def _strong_pairs(found: DataFrame) -> DataFrame:
+    strong = found.where(
         is_finite(F.col("correlation")) & (F.abs("correlation") > CORRELATION_FLOOR)
     )
     return strong.select(
@@ -227,7 +265,12 @@ def correlation_evidence(df: DataFrame, measures: Sequence[str]) -> DataFrame:
 
 def relationships(df: DataFrame, cubed: DataFrame, measures: Sequence[str]) -> DataFrame:
     """All pairwise evidence of a dataset."""
-    return category_evidence(cubed).unionByName(correlation_evidence(df, measures))
+    return evidence_of_states(cubed, pair_sums(df, finite_means(df, measures)))
+
+
+def evidence_of_states(cubed: DataFrame, sums: DataFrame) -> DataFrame:
+    """The same from the cube and the sums of pairs, which both can be merged."""
+    return category_evidence(cubed).unionByName(_strong_pairs(correlations_of_sums(sums)))
 
 
 def list_relationships(evidence: DataFrame, minimum_strength: float = 0.0) -> DataFrame:

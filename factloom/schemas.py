@@ -24,7 +24,7 @@ SCHEMAS = {
         " technical_type string, kind string, business_type string, business_role string,"
         " rule string, unit string, aggregation array<string>, is_derived boolean,"
         " is_redundant boolean, row_count bigint, non_null_count bigint, unique_count bigint,"
-        " has_null_text boolean, dataset_id string"
+        " has_null_text boolean, has_long_text boolean, dataset_id string"
     ),
     "column_stats": (
         "ordinal int, name string, mean double, median double, min_val double, max_val double,"
@@ -42,6 +42,18 @@ SCHEMAS = {
         " relationship_id bigint, dataset_id string"
     ),
     "fact_combinations": _FACT_COLUMNS + ", dataset_id string, dimension string",
+    # What later appends are merged with.
+    "value_counts": (
+        "ordinal int, as_long bigint, as_double double, as_ntz timestamp_ntz, as_text string,"
+        " n bigint, dataset_id string"
+    ),
+    "long_texts": "ordinal int, digest string, value string, dataset_id string",
+    "pair_sums": (
+        "column_a string, column_b string, shift_a double, shift_b double, n bigint, infinite bigint,"
+        " sx double, sy double, sxx double, syy double, sxy double, min_x double, max_x double,"
+        " min_y double, max_y double, dataset_id string"
+    ),
+    "open_triples": "t int, a int, b int, n int, dataset_id string",
     "rejected_questions": (
         "question_id string, query_text string, created_at timestamp, dataset_id string, batch string"
     ),

@@ -26,7 +26,7 @@ class Prepared:
     @cached_property
     def sales_path(self) -> str:
         path = scratch_dir(self.spark, "sales")
-        views.sales(self.spark, self.sf_dir).write.parquet(path)
+        views.sales(self.spark, self.sf_dir).hint("rebalance").write.parquet(path)
         return path
 
     @property
