@@ -2,12 +2,14 @@
 
 from factloom.plans.pipeline import build_knowledge
 from factloom.plans.workspace import Workspace
-from factloom.sources.store import DatasetNotFound, DatasetNotReady, KnowledgeStore
+from factloom.sources.store import CommitConflict, DatasetNotFound, DatasetNotReady, KnowledgeStore, Snapshot
 
 __all__ = [
+    "CommitConflict",
     "DatasetNotFound",
     "DatasetNotReady",
     "KnowledgeStore",
+    "Snapshot",
     "Workspace",
     "build_knowledge",
 ]

@@ -20,6 +20,10 @@ from factloom.schemas import SCHEMAS
 from factloom.sources.store import Draft, KnowledgeStore, Snapshot
 
 
+class NeedsRebuild(Exception):
+    """New rows change the roles of columns, so that earlier rows have to be grouped anew."""
+
+
 def build_knowledge(
     store: KnowledgeStore,
     dataset_id: str,
