@@ -23,7 +23,7 @@ def sales(spark, from_, upto, long=True):
         product = long_name.format(i % 5) if long and i % 3 else f"p{i % 5}"
         amount = [None, float("nan"), 10.0 * (i % 7) + i / 3, math.inf if i % 50 == 9 else 1e9 + i % 40][i % 4]
         rows.append(
-            (i, region, product, f"{region}-{i % 3}", f"{i % 3}" if i % 6 else None, amount, 0.05 * (i % 3) + 0.011 * (i % 4),
+            (i, region, product, f"{region}-{i % 3}", f"{i % 3}" if i % 6 else None, amount, 0.05 * (i % 3) + 0.011 * (i % 4) + 0.0007 * (i % 5),
              None if i % 11 == 0 else i % 13, i % 2 == 0, None, ["x"])
         )
     return spark.createDataFrame(rows, SCHEMA)

@@ -707,6 +707,17 @@ WHERE (purpose = 'fact_dimension' AND business_role IN ('DIMENSION', 'ENTITY') A
         " UNION ALL SELECT 'pairwise_evidence', count(*) FROM evidence"
         " UNION ALL SELECT 'fact_combinations', count(*) FROM facts"
     )
+    sql["appended_facts"] = sql["facts"]
+    sql["appended_relationships"] = sql["relationships"]
+    sql["appended_profile"] = sql["column_profile"]
+    sql["appended_catalog"] = sql["semantic_roles"]
+    sql["pinned_facts"] = "\nUNION ALL BY NAME ".join(
+        f"SELECT *, '{state}' AS state FROM ({_with(sales, *_facts())}{_FACT_COLUMNS})"
+        for state, sales in (
+            ("latest", SALES),
+            ("pinned", SALES.replace("FROM lineitem", "FROM (SELECT * FROM lineitem WHERE l_orderkey % 3 = 0)")),
+        )
+    )
     sql["arrival_stream"] = "\nUNION ALL ".join(
         [
             f"SELECT '{t}' AS dataset_id, 'processed' AS status, count(*) AS row_count,"

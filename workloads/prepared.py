@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom import Workspace
+from factloom import Snapshot, Workspace
 from factloom.operators import catalog
 from factloom.operators.derived import derived_columns
 from factloom.sources.tables import scratch_dir
@@ -62,6 +62,18 @@ class Prepared:
         workspace.process(SALES_ID, views.SALES_ORDER)
         return workspace
 
+    @cached_property
+    def grown(self) -> tuple[Workspace, Snapshot]:
+        """A workspace to which the sales came in three parts, and its state before the second."""
+        workspace = Workspace(self.spark, scratch_dir(self.spark, "grown"))
+        part = F.col("order_id") % 3
+        workspace.add(self.sales.where(part == 0), "sales", SALES_ID)
+        workspace.process(SALES_ID, views.SALES_ORDER)
+        pinned = workspace.snapshot(SALES_ID)
+        for i in (1, 2):
+            workspace.append(SALES_ID, self.sales.where(part == i))
+        return workspace, pinned
+
     def stored(self, table: str) -> DataFrame:
         return self.workspace.store.read(table, SALES_ID).drop("dataset_id")
 

@@ -222,7 +222,11 @@ def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prepared(spark, sf_dir)
-    return profile.column_profile(p.sales, p.roles).select(
+    return _profile_rows(profile.column_profile(p.sales, p.roles))
+
+
+def _profile_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "ordinal",
         "name",
         *[rounded(c) for c in ("mean", "median", "min_val", "max_val", "std_dev")],
@@ -696,6 +700,46 @@ def knowledge_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# -- knowledge that grows ---------------------------------------------------------------
+
+
+def _grown(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A knowledge table of sales that came in three parts, the last two of them appended."""
+    return prepared(spark, sf_dir).grown[0].snapshot(SALES_ID).read(table)
+
+
+@query
+def appended_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fact_rows(_grown(spark, sf_dir, "fact_combinations"))
+
+
+@query
+def appended_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(_grown(spark, sf_dir, "pairwise_evidence"))
+
+
+@query
+def appended_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profile_rows(_grown(spark, sf_dir, "column_stats"))
+
+
+@query
+def appended_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grown(spark, sf_dir, "column_metadata").select(
+        *_ROLE_COLUMNS, F.array_join("aggregation", ",").alias("aggregation"), "is_derived", "is_redundant"
+    )
+
+
+@query
+def pinned_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the first part, read after the others came, next to those of all."""
+    workspace, pinned = prepared(spark, sf_dir).grown
+    states = {"pinned": pinned, "latest": workspace.snapshot(SALES_ID)}
+    return _stack(
+        [_fact_rows(at.read("fact_combinations")).withColumn("state", F.lit(name)) for name, at in states.items()]
+    )
+
+
 @query
 def arrival_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables announced in an inbox and processed by a stream; one path does not exist."""
