@@ -69,11 +69,13 @@ class Workspace:
         dataset_id = dataset_id or str(uuid.uuid4())
         return self.register(self._written(dataset_id, df), "parquet", name, dataset_id)
 
-    def process(self, dataset_id: str, order_by: Sequence[str | Column] | None = None) -> None:
-        """Build all knowledge of a registered dataset, with what has been appended since."""
+    def process(
+        self, dataset_id: str, order_by: Sequence[str | Column] | None = None, keep_appended: bool = True
+    ) -> None:
+        """Build all knowledge of a registered dataset, with or without what has been appended since."""
         entry = self.store.require(dataset_id, processed=False)
         try:
-            sources = self._sources(dataset_id, entry)
+            sources = self._sources(dataset_id, entry)[: None if keep_appended else 1]
             first, order, hidden = self._opened(dataset_id, *sources[0])
             later = [df.drop(*h) for df, _, h in (self._opened(dataset_id, *s) for s in sources[1:])]
         except Exception:

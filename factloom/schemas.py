@@ -54,6 +54,10 @@ SCHEMAS = {
         " min_y double, max_y double, dataset_id string"
     ),
     "open_triples": "t int, a int, b int, n int, dataset_id string",
+    "arrival_attempts": (
+        "announced string, attempt int, outcome string, message string, at timestamp,"
+        " dataset_id string, event string"
+    ),
     "rejected_questions": (
         "question_id string, query_text string, created_at timestamp, dataset_id string, batch string"
     ),

@@ -18,6 +18,7 @@ import re
 import time
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from functools import partial
 
@@ -47,7 +48,7 @@ class CommitConflict(RuntimeError):
 
 
 #: Append-only tables; all others belong to a manifest.
-LOGS = ("datasets", "rejected_questions", "analyst_queries")
+LOGS = ("datasets", "arrival_attempts", "rejected_questions", "analyst_queries")
 #: A manifest that stays incomplete for so long was left by a writer that died.
 TORN_SECONDS = 60.0
 
@@ -323,19 +324,25 @@ class KnowledgeStore:
         self.append("datasets", dataset_id, line.coalesce(1), "event", uuid.uuid4().hex)
 
     def log_many(self, lines: Sequence[dict]) -> None:
-        """Append a line each to the histories of many datasets, in one write."""
-        fields = T.StructType.fromDDL(_REGISTRY_LINE + ", dataset_id string, event string")
-        event = uuid.uuid4().hex
-        rows = [tuple({**line, "event": event}.get(f) for f in fields.names) for line in lines]
+        """Append a line each to the histories of many datasets, each in a folder of its own."""
         for line in lines:
             self._folder("datasets", line["dataset_id"])
-        (
-            self.spark.createDataFrame(rows, fields)
-            .withColumn("updated_at", F.current_timestamp())
-            .coalesce(1)
-            .write.mode("append")
-            .partitionBy("dataset_id", "event")
-            .parquet(f"{self.root}/datasets")
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            list(pool.map(lambda line: self.log_status(**line), lines))
+
+    def log_rows(self, table: str, rows: Sequence[tuple], fields: str) -> None:
+        """Append rows of any datasets to a log, in one write with a folder of its own."""
+        lines = self.spark.createDataFrame(rows, fields).withColumn("at", F.current_timestamp())
+        lines.coalesce(1).write.parquet(f"{self.root}/{table}/event={uuid.uuid4().hex}")
+
+    def readiness(self, asked: DataFrame) -> DataFrame:
+        """For each row with a dataset_id whether that can be asked: ready, not ready, or unknown."""
+        known = self.datasets().select("dataset_id", "status")
+        return asked.join(known, "dataset_id", "left").withColumn(
+            "readiness",
+            F.when(F.col("status").isNull(), "unknown")
+            .when(F.col("status") == "processed", "ready")
+            .otherwise("not ready"),
         )
 
     def datasets(self) -> DataFrame:

@@ -707,6 +707,22 @@ WHERE (purpose = 'fact_dimension' AND business_role IN ('DIMENSION', 'ENTITY') A
         " UNION ALL SELECT 'pairwise_evidence', count(*) FROM evidence"
         " UNION ALL SELECT 'fact_combinations', count(*) FROM facts"
     )
+    sql["num_num_corr_infinities"] = f"""WITH pairs AS (
+  SELECT 'quantity' AS column_a, 'price' AS column_b, count(*) AS n, corr(l_quantity, l_extendedprice) AS correlation
+  FROM lineitem WHERE l_linenumber <> 7
+  UNION ALL SELECT 'price', 'tax', count(*), corr(l_extendedprice, l_tax) FROM lineitem WHERE l_linenumber <> 7
+  UNION ALL SELECT 'price', 'part', count(*), corr(l_extendedprice, l_partkey) FROM lineitem WHERE l_linenumber <> 7)
+SELECT column_a, column_b, n, {r('correlation', 9)} FROM pairs"""
+    sql["facts_empty"] = """SELECT 'one of each' AS case_name, count(DISTINCT r_name) AS fact_rows FROM region
+  JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey
+  JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
+UNION ALL SELECT unnest(['no dimension', 'no measure', 'no number']), 0"""
+    sql["facts_unique"] = _with(SALES, *_facts()) + (
+        "SELECT count(*) AS fact_rows, count(DISTINCT (dimension, dimension_value)) AS fact_ids, 0::BIGINT AS shared_ids FROM facts"
+    )
+    sql["readiness"] = """SELECT CASE event_type WHEN 'click' THEN 'sales' WHEN 'view' THEN 'waiting' ELSE event_type END AS dataset_id,
+  CASE event_type WHEN 'click' THEN 'ready' WHEN 'view' THEN 'not ready' ELSE 'unknown' END AS readiness,
+  count(*) AS asked FROM events GROUP BY ALL"""
     sql["appended_facts"] = sql["facts"]
     sql["appended_relationships"] = sql["relationships"]
     sql["appended_profile"] = sql["column_profile"]
@@ -722,7 +738,7 @@ WHERE (purpose = 'fact_dimension' AND business_role IN ('DIMENSION', 'ENTITY') A
         [
             f"SELECT '{t}' AS dataset_id, 'processed' AS status, count(*) AS row_count,"
             f" {len(_columns(t))}::BIGINT AS column_count FROM {t}"
-            for t in ("supplier", "labels")
+            for t in TABLE_COLUMNS
         ]
         + ["SELECT 'missing_table', 'error', 0, 0"]
     )

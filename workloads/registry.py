@@ -317,6 +317,20 @@ def pearson_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def num_num_corr_infinities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Infinities next to gaps concern no pair; in a complete row they leave it without a correlation."""
+    last = F.col("l_linenumber") == 7
+    line = views.table(spark, sf_dir, "lineitem").select(
+        F.when(last, float("inf")).otherwise(F.col("l_quantity")).alias("quantity"),
+        F.when(~last, F.col("l_extendedprice")).alias("price"),
+        F.when(last, float("-inf")).otherwise(F.col("l_tax")).alias("tax"),
+        F.col("l_partkey").alias("part"),
+    )
+    found = rel.correlations(line, line.columns).where(~F.isnan("correlation"))
+    return found.select("column_a", "column_b", "n", rounded("correlation", 9))
+
+
 def _evidence(rows: DataFrame) -> DataFrame:
     return rows.select(
         "column_a",
@@ -391,6 +405,39 @@ def facts_nonnull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fact_rows(cube.nonnull_facts(p.sales, p.dimensions, p.measures))
 
 
+@query
+def facts_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without dimensions, measures or usable numbers there are no facts."""
+    p = prepared(spark, sf_dir)
+    gaps = p.sales.withColumn("quantity", F.lit(None).cast("double"))
+    cases = {
+        "no dimension": cube.facts(p.sales, [], p.measures),
+        "no measure": cube.facts(p.sales, p.dimensions, []),
+        "no number": cube.facts(gaps, ["region"], ["quantity"]),
+        "one of each": cube.facts(p.sales, ["region"], ["quantity"]),
+    }
+    counted = [
+        rows.agg(F.count(F.lit(1)).alias("fact_rows")).withColumn("case_name", F.lit(name))
+        for name, rows in cases.items()
+    ]
+    return _stack(counted)
+
+
+@query
+def facts_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored facts, their identifiers, and identifiers that stand for two of them."""
+    by_id = (
+        prepared(spark, sf_dir).stored("fact_combinations")
+        .groupBy("fact_id")
+        .agg(F.countDistinct("dimension", "dimension_value").alias("facts"), F.count(F.lit(1)).alias("n"))
+    )
+    return by_id.agg(
+        F.sum("n").alias("fact_rows"),
+        F.count(F.lit(1)).alias("fact_ids"),
+        F.count_if(F.col("facts") > 1).alias("shared_ids"),
+    )
+
+
 @query
 def facts_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prepared(spark, sf_dir)
@@ -700,6 +747,21 @@ def knowledge_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of many asked datasets can be asked: one is processed, one not yet, the others are unknown."""
+    store = prepared(spark, sf_dir).workspace.store
+    store.log_status("waiting", "processing", name="waiting")
+    events = views.table(spark, sf_dir, "events")
+    asked = events.select(
+        F.when(F.col("event_type") == "click", SALES_ID)
+        .when(F.col("event_type") == "view", "waiting")
+        .otherwise(F.col("event_type"))
+        .alias("dataset_id")
+    )
+    return store.readiness(asked).groupBy("dataset_id", "readiness").agg(F.count(F.lit(1)).alias("asked"))
+
+
 # -- knowledge that grows ---------------------------------------------------------------
 
 
@@ -742,13 +804,13 @@ def pinned_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def arrival_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables announced in an inbox and processed by a stream; one path does not exist."""
+    """All given tables announced in an inbox and processed by a stream; one path does not exist."""
     base = scratch_dir(spark, "arrivals")
     workspace = Workspace(spark, f"{base}/knowledge")
     spark.createDataFrame(
         [
             (n, f"{sf_dir}/{n}.parquet", "parquet", n)
-            for n in ("supplier", "labels", "missing_table")
+            for n in [*TABLES, "missing_table"]
         ],
         "dataset_id string, path string, format string, name string",
     ).write.json(f"{base}/inbox")
