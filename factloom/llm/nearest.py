@@ -29,6 +29,8 @@ SEGMENT, QUERY_SEGMENT = 4096, 1024
 #: Queries multiplied by the sample at a time.
 BOUND_QUERIES = 256
 COLUMN_BLOCK = 16
+#: Pairs whose exact products are taken at a time.
+PAIRS_AT_ONCE = 1 << 18
 #: Width of the test: the larger, the fewer true neighbours are abandoned.
 TEST_WIDTH = 2.1
 
@@ -162,6 +164,7 @@ def _probed(index: Index, sizes: np.ndarray, radii: np.ndarray, norms: np.ndarra
             least = least_products(index, f["vec_id"].to_numpy(), q, k)[:, None]
             slack = 1e-9 * length * index.largest_norm
             f["list_id"] = [np.flatnonzero(p) for p in (most >= least - slack) & (sizes > 0)]
+            f["least"] = (least - slack)[:, 0]
             yield f.explode("list_id").dropna(subset="list_id").astype({"list_id": "int32"})
 
     return run
@@ -190,28 +193,72 @@ def adaptive_scan(
     return alive
 
 
+def adaptive_pairs(
+    x: np.ndarray, q: np.ndarray, within: np.ndarray, width: float = TEST_WIDTH, block: int = COLUMN_BLOCK
+) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, rows): the same for many queries at once, each with a known distance.
+
+    The first block of columns is one matrix product; later ones are added up for the pairs
+    that are still alive.
+    """
+    d = x.shape[1]
+    first, own = x[:, :block], q[:, :block]
+    partial = (own**2).sum(axis=1)[:, None] + (first**2).sum(axis=1) - 2 * own @ first.T
+
+    def reach(seen: int) -> np.ndarray:
+        slack = (1 + width / math.sqrt(seen)) ** 2 if seen < d else 1 + 1e-9
+        return within * slack * (seen / d)
+
+    seen = min(block, d)
+    i, j = np.nonzero(partial <= reach(seen)[:, None])
+    partial = partial[i, j]
+    while seen < d:
+        upto = min(seen + block, d)
+        partial = partial + ((x[j, seen:upto] - q[i, seen:upto]) ** 2).sum(axis=1)
+        keep = partial <= reach(upto)[i]
+        i, j, partial, seen = i[keep], j[keep], partial[keep], upto
+    return i, j
+
+
+def _best_of_each(group: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each group's k largest scores, ties to the smaller id."""
+    order = np.lexsort((ids, -score, group))
+    g = group[order]
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, np.int64)
+    place = np.arange(len(g)) - np.repeat(starts, np.diff(np.r_[starts, len(g)]))
+    return order[place < k]
+
+
 def _scanned(index: Index, k: int):
     def run(key, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found_ids, found_rows, scores = [], [], []
         if len(queries) and len(vectors):
             vectors = vectors.drop_duplicates("vec_id")
             ids, original = vectors["vec_id"].to_numpy(), _matrix(vectors["embedding"])
             x = index.lifted(original)
             qs = _matrix(queries["embedding"])
-            for query_id, q, lifted in zip(queries["vec_id"], qs, index.lifted_query(qs)):
+            # All lifted vectors have the same length, so a least product is a largest distance.
+            within = (qs**2).sum(axis=1) + index.largest_norm**2 - 2 * queries["least"].to_numpy()
+            lifted = index.lifted_query(qs)
+            query_ids = queries["vec_id"].to_numpy()
+            bounded = np.flatnonzero(within < math.inf)
+            i, j = adaptive_pairs(x, lifted[bounded], within[bounded])
+            pairs = [(bounded[i], j)]
+            for at in np.flatnonzero(within == math.inf):
                 # One more than k: the query's own row may be in the list.
-                found = adaptive_scan(x, lifted, k + 1)
-                found = found[ids[found] != query_id]
-                score = (original[found] * q).sum(axis=1)
-                best = np.lexsort((ids[found], -score))[:k]
-                out.append(
-                    pd.DataFrame(
-                        {"query_id": query_id, "vec_id": ids[found[best]], "score": score[best]}
-                    )
-                )
-        if not out:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pd.concat(out, ignore_index=True)
+                found = adaptive_scan(x, lifted[at], k + 1)
+                pairs.append((np.full(len(found), at), found))
+            i, j = (np.concatenate(c) for c in zip(*pairs))
+            other = query_ids[i] != ids[j]
+            i, j = i[other], j[other]
+            for at in range(0, len(i), PAIRS_AT_ONCE):
+                part = slice(at, at + PAIRS_AT_ONCE)
+                scores.append((original[j[part]] * qs[i[part]]).sum(axis=1))
+            score = np.concatenate(scores) if scores else np.empty(0)
+            best = _best_of_each(i, ids[j], score, k)
+            found_ids, found_rows, scores = [query_ids[i[best]]], [ids[j[best]]], [score[best]]
+        columns = [np.concatenate(c) if c else np.empty(0) for c in (found_ids, found_rows, scores)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
 
     return run
 
@@ -263,7 +310,7 @@ def nearest(
         sizes[r["list_id"]], radii[r["list_id"]], norms[r["list_id"]] = r["n"], r["away"], r["norm"]
     listed = listed.drop("away", "norm")
     probed = asked.where(same).mapInPandas(
-        _probed(index, sizes, radii, norms, k), schema + ", list_id int"
+        _probed(index, sizes, radii, norms, k), schema + ", list_id int, least double"
     )
     parts = F.lit(np.maximum(1, -(-sizes // SEGMENT)).tolist())
     blocks = F.lit(np.maximum(1, -(-sizes // (QUERY_SEGMENT * 8))).tolist())

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from factloom.llm.nearest import Index, _probed, adaptive_scan, nearest
+from factloom.llm.nearest import Index, _probed, adaptive_pairs, adaptive_scan, nearest
 from tests.llm.common import MEDIUM, rows
 
 
@@ -107,3 +107,17 @@ def test_scan_keeps_the_nearest():
         best = np.argsort(((x - q) ** 2).sum(axis=1))[:20]
         kept, hit = kept + len(alive), hit + len(np.intersect1d(alive, best))
     assert hit >= 0.97 * 400 and kept < 0.8 * 20 * 4000
+
+
+def test_many_queries_at_once_find_what_lies_within():
+    rng = np.random.default_rng(7)
+    x, q = rng.normal(size=(400, 40)), rng.normal(size=(30, 40))
+    d2 = ((x[None] - q[:, None]) ** 2).sum(axis=2)
+    within = np.sort(d2, axis=1)[:, 9]
+    i, j = adaptive_pairs(x, q, within)
+    found = set(zip(i.tolist(), j.tolist()))
+    want = set(zip(*(c.tolist() for c in np.nonzero(d2 <= within[:, None] * (1 + 1e-9)))))
+    assert len(want) == 300 and found <= want and len(found) >= 0.95 * 300
+    # Without a column block left to test it is the exact comparison.
+    exact = adaptive_pairs(x, q, within, block=64)
+    assert set(zip(*(c.tolist() for c in exact))) == want
