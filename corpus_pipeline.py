@@ -28,7 +28,14 @@ ROW = "__row"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own in the order of doc_id, rows without one last."""
+    """The rows with a key of their own in the order of doc_id, rows without one last.
+
+    That is doc_id itself, unless it is missing in a row or stands in several: only then are
+    the rows put in order and written again.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).groupBy("id").count()
+    if ids.where("id IS NULL OR count > 1").isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
     ordered = docs.orderBy(
         F.col("doc_id").asc_nulls_last(), F.xxhash64("text", "source", "lang"), F.rand(7)
     )
