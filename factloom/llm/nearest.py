@@ -29,6 +29,8 @@ SEGMENT, QUERY_SEGMENT = 4096, 1024
 #: Queries multiplied by the sample at a time.
 BOUND_QUERIES = 256
 COLUMN_BLOCK = 16
+#: Share of pairs below which single pairs are cheaper than a matrix product.
+SPARSE = 0.05
 #: Pairs whose exact products are taken at a time.
 PAIRS_AT_ONCE = 1 << 18
 #: Width of the test: the larger, the fewer true neighbours are abandoned.
@@ -198,19 +200,25 @@ def adaptive_pairs(
 ) -> tuple[np.ndarray, np.ndarray]:
     """(queries, rows): the same for many queries at once, each with a known distance.
 
-    The first block of columns is one matrix product; later ones are added up for the pairs
-    that are still alive.
+    A block of columns is one matrix product while many pairs are alive; after that it is added
+    up for the pairs that still are.
     """
     d = x.shape[1]
-    first, own = x[:, :block], q[:, :block]
-    partial = (own**2).sum(axis=1)[:, None] + (first**2).sum(axis=1) - 2 * own @ first.T
 
     def reach(seen: int) -> np.ndarray:
         slack = (1 + width / math.sqrt(seen)) ** 2 if seen < d else 1 + 1e-9
         return within * slack * (seen / d)
 
-    seen = min(block, d)
-    i, j = np.nonzero(partial <= reach(seen)[:, None])
+    partial, alive, seen = np.zeros((len(q), len(x))), np.ones((len(q), len(x)), bool), 0
+    while seen < d and np.count_nonzero(alive) > SPARSE * alive.size:
+        upto = min(seen + block, d)
+        own, theirs = q[:, seen:upto], x[:, seen:upto]
+        partial -= 2 * own @ theirs.T
+        partial += (own**2).sum(axis=1)[:, None]
+        partial += (theirs**2).sum(axis=1)
+        seen = upto
+        alive &= partial <= reach(seen)[:, None]
+    i, j = np.nonzero(alive)
     partial = partial[i, j]
     while seen < d:
         upto = min(seen + block, d)
