@@ -2,10 +2,13 @@
 
 One hash per shingle fills all bins of a signature; an empty bin borrows from the first
 filled bin in an order fixed for that bin, so any number of shingles gives bins that agree
-with the probability of the similarity.  Bins are banded into buckets.  A bucket never emits
-all its pairs: its members are compared with one of them, a star, and only where members
-stay in different components are further members taken as centres: a few of a large bucket,
-four times as many each round.  Every candidate is confirmed on the full shingle sets.
+with the probability of the similarity.  Bins are banded into buckets.  A bucket does not emit
+its pairs: its members are compared with one of them, a star.  The first bands go first, so that
+a large group of copies is one component before the other bands look at it, and buckets whose
+members are one component are left alone.  Where members stay in different components, those
+outside the bucket's largest one are centres in turn, a few of many first, four times as many
+each round: any pair of two components has one of them.  Every candidate is confirmed on the
+full shingle sets.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ BINS = 512
 #: Eight bins a band: two sets of similarity 0.8 share none of 64 bands with probability 8e-6,
 #: two of similarity 0.4 share one with probability 0.04.
 BAND_WIDTH = 8
-#: A bucket of at most SMALL members gets them all as centres in its second round; a larger one
-#: gets CENTRES, and so many times more in each round after.
-SMALL, CENTRES = 16, 4
+#: Bands of the first stars; copies of similarity 0.9 share one of them in 99 of 100 cases.
+FIRST_BANDS = 8
+#: Up to SMALL centres are taken at once; of more, about SMALL, then four times as many each round.
+SMALL, GROWTH = 16, 4
 #: Bits of the filter that tells which texts may be candidates; full or not, it loses none.
 FILTER_BITS = 1 << 24
 _ORDERS = np.stack([np.random.default_rng(j).permutation(BINS) for j in range(BINS)])
@@ -157,33 +161,48 @@ def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return written(both.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "near-links")
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their components, of the buckets that still hold several components."""
-    labelled = members.join(
-        labels.select(F.col("node").alias("set_id"), F.col("component").alias("label")),
-        "set_id", "left",
-    ).select("bucket", "set_id", "n", F.coalesce("label", "set_id").alias("component"))
-    several = (
-        labelled.groupBy("bucket")
-        .agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.count(F.lit(1)).alias("size"),
-        )
-        .where("low < high")
-        .select("bucket", "size")
-    )
-    return written(labelled.join(several, "bucket"), "near-open")
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows with the component of their set."""
+    if labels is None:
+        return rows.withColumn("component", F.col("set_id"))
+    known = labels.select(F.col("node").alias("set_id"), F.col("component").alias("label"))
+    return rows.join(known, "set_id", "left").withColumn(
+        "component", F.coalesce("label", "set_id")
+    ).drop("label")
 
 
-def _centres(alive: DataFrame, *by: str | Column) -> DataFrame:
-    """The smallest set of each group, with its size, component and the group's members."""
-    return alive.groupBy("bucket", *by).agg(
+def _stars(sets: DataFrame, labels: DataFrame | None, from_: int, count: int) -> DataFrame:
+    """Members of the buckets of some bands that hold several components, with the smallest set of each."""
+    members = _labelled(sets.select("set_id", "n", F.slice("keys", from_ + 1, count).alias("keys")), labels)
+    members = members.select(F.explode("keys").alias("bucket"), "set_id", "n", "component")
+    centres = members.groupBy("bucket").agg(
         F.min("set_id").alias("centre"),
         F.min_by("n", "set_id").alias("centre_n"),
         F.min_by("component", "set_id").alias("centre_component"),
-        F.count(F.lit(1)).alias("members"),
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
     )
+    several = centres.where("low < high").drop("low", "high")
+    return written(members.join(several, "bucket"), "near-stars")
+
+
+def _open_buckets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the buckets that still hold several components, with the largest component.
+
+    ``outside`` counts the members that are not in it.
+    """
+    labelled = _labelled(members, labels)
+    several = (
+        labelled.groupBy("bucket", "component")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .groupBy("bucket")
+        .agg(
+            F.max_by("component", F.struct("size", "component")).alias("largest"),
+            (F.sum("size") - F.max("size")).alias("outside"),
+        )
+        .where("outside > 0")
+    )
+    return written(labelled.join(several, "bucket"), "near-open")
 
 
 def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -196,36 +215,48 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: in
             F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")
         ).distinct()
 
-    alive = sets.select(
-        F.explode("keys").alias("bucket"), "set_id", "n", F.col("set_id").alias("component")
-    )
-    # First round: a star in each bucket around its smallest set.
-    stars = alive.join(_centres(alive).where("members > 1").drop("members"), "bucket")
-    stars = written(stars.where("set_id <> centre"), "near-stars")
-    ids = stars.select(F.col("set_id").alias("doc_id")).union(stars.select("centre")).distinct()
-    hashes = _candidate_sets(rows, ids, size)
-    links = _links(hashes, pairs_of(stars), percent)
-    labels = connected_components(links)
-    alive = _open_buckets(stars, labels)
-    step = 0
-    while not alive.isEmpty():
-        # A share of each bucket's members, picked by a hash so that buckets agree.
-        wanted = F.when(F.col("size") <= SMALL, 256).otherwise(CENTRES ** (step + 1))
-        share = F.pmod(F.xxhash64("set_id"), wanted).alias("share")
-        centres = written(_centres(alive, share), "near-centres")
-        met = alive.join(
-            centres.select("bucket", "centre", "centre_n", "centre_component"), "bucket"
-        ).where("set_id <> centre")
-        found = _links(hashes, pairs_of(met), percent)
-        if not found.isEmpty():
-            links = links.unionByName(found)
+    labels = links = hashes = members = None
+
+    def linked(found: DataFrame) -> None:
+        nonlocal labels, links
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
             labels = connected_components(links)
-        rest = alive.join(
-            centres.select("bucket", F.col("centre").alias("set_id")), ["bucket", "set_id"], "left_anti"
+
+    bands = BINS // BAND_WIDTH
+    for from_, count in ((0, FIRST_BANDS), (FIRST_BANDS, bands - FIRST_BANDS)):
+        stars = _stars(sets, labels, from_, count)
+        ids = stars.select(F.col("set_id").alias("doc_id")).distinct()
+        if hashes is None:
+            hashes, members = _candidate_sets(rows, ids, size), stars
+        else:
+            fresh = ids.join(hashes.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+            hashes = hashes.unionByName(_candidate_sets(rows, fresh, size))
+            members = members.unionByName(stars)
+        linked(_links(hashes, pairs_of(stars), percent))
+
+    members = members.select("bucket", "set_id", "n")
+    step = 0
+    while True:
+        alive = _open_buckets(members, labels)
+        if alive.isEmpty():
+            return labels
+        # Of many centres a share, picked by a hash so that buckets agree; each holds the one before.
+        rounds = F.ceil(F.log(float(GROWTH), F.col("outside") / SMALL)) - step
+        share = F.pow(F.lit(GROWTH), F.greatest(rounds, F.lit(0))).cast("long")
+        is_centre = (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("set_id"), share) == 0)
+        alive = alive.withColumn("share", share).withColumn("is_centre", is_centre)
+        centres = alive.where("is_centre").select(
+            "bucket",
+            F.col("set_id").alias("centre"),
+            F.col("n").alias("centre_n"),
+            F.col("component").alias("centre_component"),
         )
-        alive = _open_buckets(rest, labels)
+        # Two centres meet once.
+        met = alive.join(centres, "bucket").where(apart & similar & (~F.col("is_centre") | F.expr("set_id < centre")))
+        linked(_links(hashes, pairs_of(met), percent))
+        members = alive.where("share > 1").select("bucket", "set_id", "n")
         step += 1
-    return labels
 
 
 def near_duplicates(

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from factloom.llm import near_dup
 from factloom.llm.near_dup import band_keys, near_duplicates, shingles, signature
 from tests.llm.common import SMALL, documents, near_groups, plain, table
 
@@ -52,3 +53,20 @@ def test_bins_agree_like_sets():
         assert abs(np.mean(agree)) < 0.05
     assert len(band_keys(signature(np.array([7], np.uint64)))) == 64
     assert len(shingles(np.array([3, 4], np.uint64), 5)) == 1
+
+
+def test_many_near_copies_and_texts_that_share_a_passage(spark, monkeypatch):
+    """Large buckets: a chain of copies, and texts that share most words without being similar enough."""
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, texts = new(60), []
+    for i in range(150):  # drifts away, a word at a time
+        base[rng.randrange(60)] = f"d{i}"
+        texts.append(list(base))
+    passage = new(40)
+    texts += [passage + new(8 + i % 9) for i in range(60)]
+    near = new(80)
+    texts += [[*near[:i], f"n{i}", *near[i + 1 :]] for i in range(80)]
+    rng.shuffle(texts)
+    check(spark, list(enumerate(map(" ".join, texts))), 2)
