@@ -31,6 +31,10 @@ BAND_WIDTH = 8
 FIRST_BANDS = 8
 #: Up to SMALL centres are taken at once; of more, about SMALL, then four times as many each round.
 SMALL, GROWTH = 16, 4
+#: The sketch of a set: a bit of each bin, in words of 64.  Two sets of similarity s agree in a
+#: share of (1 + s) / 2; a pair is dropped unread only beyond DEVIATIONS standard deviations
+#: from that, which loses a similar pair in 2e-8 cases.
+WORDS, DEVIATIONS = BINS // 64, 5.5
 #: Bits of the filter that tells which texts may be candidates; full or not, it loses none.
 FILTER_BITS = 1 << 24
 _ORDERS = np.stack([np.random.default_rng(j).permutation(BINS) for j in range(BINS)])
@@ -75,6 +79,12 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bit_sketch(values: np.ndarray) -> np.ndarray:
+    """One bit of every bin, as WORDS integers of 64 bits."""
+    bits = (values & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
     for a, b in slices(texts):
         words, counts = word_hashes(texts[a:b])
@@ -85,15 +95,18 @@ def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, keys = [], [], []
+            counts, digests, keys, sketches = [], [], [], []
             for found in shingle_sets(batch.column("text").to_pylist(), size):
                 counts.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                keys.append(band_keys(signature(found)) if len(found) else None)
+                values = signature(found) if len(found) else None
+                keys.append(band_keys(values) if len(found) else None)
+                sketches.append(bit_sketch(values) if len(found) else None)
+            many = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()),
-                 pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "keys"],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+                 pa.array(keys, many), pa.array(sketches, many)],
+                ["doc_id", "n_shingles", "digest", "keys", "sketch"],
             )
 
     return run
@@ -136,29 +149,25 @@ def _candidate_sets(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return written(sets.join(ids, F.col("id") == F.col("doc_id"), "left_semi"), "near-sets")
 
 
-def _confirmed(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left"), batch.column("right")):
-                a = left.values.to_numpy().view(np.uint64)
-                b = right.values.to_numpy().view(np.uint64)
-                at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-                common = int((a[at] == b).sum())
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    both = (
-        pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b")
-        .join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a")
-        .select("a", "b", "left", "right")
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b").join(
+        sets.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a"
     )
-    return written(both.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "near-links")
+    common = F.size(F.array_intersect("left", "right"))
+    union = F.size("left") + F.size("right") - common
+    return written(both.where(100 * common >= percent * union).select("a", "b"), "near-links")
+
+
+def _may_be_similar(percent: int) -> Column:
+    """By the numbers of shingles and the sketches of set and centre."""
+    fewer, more = F.least("n", "centre_n"), F.greatest("n", "centre_n")
+    differ = sum((F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(WORDS)), F.lit(0))
+    # Bins that a small set leaves empty repeat others and say nothing new.
+    filled = BINS * (1 - F.exp(-fewer / BINS))
+    share = (1 + percent / 100) / 2
+    least = BINS * (share - DEVIATIONS * (share * (1 - share)) ** 0.5 / F.sqrt(filled))
+    return (100 * fewer >= percent * more) & (BINS - differ >= least)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -173,19 +182,28 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _stars(sets: DataFrame, labels: DataFrame | None, from_: int, count: int) -> DataFrame:
     """Members of the buckets of some bands that hold several components, with the smallest set of each."""
-    members = _labelled(sets.select("set_id", "n", F.slice("keys", from_ + 1, count).alias("keys")), labels)
-    members = members.select(F.explode("keys").alias("bucket"), "set_id", "n", "component")
+    members = _labelled(sets.withColumn("keys", F.slice("keys", from_ + 1, count)).drop("digest"), labels)
+    members = members.withColumn("bucket", F.explode("keys")).drop("keys")
     centres = members.groupBy("bucket").agg(
         F.min("set_id").alias("centre"),
-        F.min_by("n", "set_id").alias("centre_n"),
-        F.min_by("component", "set_id").alias("centre_component"),
+        F.min_by(F.struct("n", "component", *_sketch("k")), "set_id").alias("own"),
         F.min("component").alias("low"),
         F.max("component").alias("high"),
     )
-    several = centres.where("low < high").drop("low", "high")
+    several = centres.where("low < high").select(
+        "bucket",
+        "centre",
+        F.col("own.n").alias("centre_n"),
+        F.col("own.component").alias("centre_component"),
+        *[F.col(f"own.k{i}").alias(f"c{i}") for i in range(WORDS)],
+    )
     return written(members.join(several, "bucket"), "near-stars")
 
 
+def _sketch(name: str) -> list[str]:
+    return [f"{name}{i}" for i in range(WORDS)]
+
+
 def _open_buckets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members of the buckets that still hold several components, with the largest component.
 
@@ -207,7 +225,7 @@ def _open_buckets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) of all shingle sets that are linked with another one."""
-    similar = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
+    similar = _may_be_similar(percent)
     apart = F.col("component") != F.col("centre_component")
 
     def pairs_of(met: DataFrame) -> DataFrame:
@@ -235,7 +253,8 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: in
             members = members.unionByName(stars)
         linked(_links(hashes, pairs_of(stars), percent))
 
-    members = members.select("bucket", "set_id", "n")
+    kept = ["bucket", "set_id", "n", *_sketch("k")]
+    members = members.select(*kept)
     step = 0
     while True:
         alive = _open_buckets(members, labels)
@@ -251,11 +270,12 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: in
             F.col("set_id").alias("centre"),
             F.col("n").alias("centre_n"),
             F.col("component").alias("centre_component"),
+            *[F.col(f"k{i}").alias(f"c{i}") for i in range(WORDS)],
         )
         # Two centres meet once.
         met = alive.join(centres, "bucket").where(apart & similar & (~F.col("is_centre") | F.expr("set_id < centre")))
         linked(_links(hashes, pairs_of(met), percent))
-        members = alive.where("share > 1").select("bucket", "set_id", "n")
+        members = alive.where("share > 1").select(*kept)
         step += 1
 
 
@@ -283,7 +303,7 @@ def near_duplicates(
     rows = id_and_text(docs, id_col, text_col)
     signed = written(
         rows.mapInArrow(
-            _signatures(size), "doc_id long, n_shingles long, digest binary, keys array<long>"
+            _signatures(size), "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>"
         ),
         "signatures",
     )
@@ -294,6 +314,7 @@ def near_duplicates(
             F.min("doc_id").alias("set_id"),
             F.first("n_shingles").alias("n"),
             F.first("keys").alias("keys"),
+            *[F.first("sketch")[i].alias(f"k{i}") for i in range(WORDS)],
         )
     )
     sets = written(sets, "shingle-sets")
@@ -302,7 +323,7 @@ def near_duplicates(
         labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left"
     ).select("digest", F.coalesce("component", "set_id").alias("component"))
     return (
-        signed.drop("keys")
+        signed.drop("keys", "sketch")
         .join(named, "digest", "left")
         .select(
             "doc_id",
