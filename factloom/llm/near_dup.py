@@ -182,21 +182,16 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _stars(sets: DataFrame, labels: DataFrame | None, from_: int, count: int) -> DataFrame:
     """Members of the buckets of some bands that hold several components, with the smallest set of each."""
-    members = _labelled(sets.withColumn("keys", F.slice("keys", from_ + 1, count)).drop("digest"), labels)
-    members = members.withColumn("bucket", F.explode("keys")).drop("keys")
+    members = _labelled(sets.select("set_id", "n", F.slice("keys", from_ + 1, count).alias("keys")), labels)
+    members = members.select(F.explode("keys").alias("bucket"), "set_id", "n", "component")
     centres = members.groupBy("bucket").agg(
         F.min("set_id").alias("centre"),
-        F.min_by(F.struct("n", "component", *_sketch("k")), "set_id").alias("own"),
+        F.min_by("n", "set_id").alias("centre_n"),
+        F.min_by("component", "set_id").alias("centre_component"),
         F.min("component").alias("low"),
         F.max("component").alias("high"),
     )
-    several = centres.where("low < high").select(
-        "bucket",
-        "centre",
-        F.col("own.n").alias("centre_n"),
-        F.col("own.component").alias("centre_component"),
-        *[F.col(f"own.k{i}").alias(f"c{i}") for i in range(WORDS)],
-    )
+    several = centres.where("low < high").drop("low", "high")
     return written(members.join(several, "bucket"), "near-stars")
 
 
@@ -204,10 +199,10 @@ def _sketch(name: str) -> list[str]:
     return [f"{name}{i}" for i in range(WORDS)]
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open_buckets(members: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members of the buckets that still hold several components, with the largest component.
 
-    ``outside`` counts the members that are not in it.
+    ``outside`` counts the members that are not in it.  Only these members carry sketches.
     """
     labelled = _labelled(members, labels)
     several = (
@@ -220,7 +215,8 @@ def _open_buckets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         )
         .where("outside > 0")
     )
-    return written(labelled.join(several, "bucket"), "near-open")
+    sketches = sets.select("set_id", *_sketch("k"))
+    return written(labelled.join(several, "bucket").join(sketches, "set_id"), "near-open")
 
 
 def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -228,8 +224,8 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: in
     similar = _may_be_similar(percent)
     apart = F.col("component") != F.col("centre_component")
 
-    def pairs_of(met: DataFrame) -> DataFrame:
-        return met.where(apart & similar).select(
+    def as_pairs(met: DataFrame) -> DataFrame:
+        return met.select(
             F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")
         ).distinct()
 
@@ -251,13 +247,17 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: in
             fresh = ids.join(hashes.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
             hashes = hashes.unionByName(_candidate_sets(rows, fresh, size))
             members = members.unionByName(stars)
-        linked(_links(hashes, pairs_of(stars), percent))
+        sized = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
+        pairs = stars.where(apart & sized).select("set_id", "n", "centre", "centre_n").distinct()
+        own = sets.select("set_id", *_sketch("k"))
+        theirs = sets.select(F.col("set_id").alias("centre"), *[F.col(f"k{i}").alias(f"c{i}") for i in range(WORDS)])
+        linked(_links(hashes, as_pairs(pairs.join(own, "set_id").join(theirs, "centre").where(similar)), percent))
 
-    kept = ["bucket", "set_id", "n", *_sketch("k")]
+    kept = ["bucket", "set_id", "n"]
     members = members.select(*kept)
     step = 0
     while True:
-        alive = _open_buckets(members, labels)
+        alive = _open_buckets(members, sets, labels)
         if alive.isEmpty():
             return labels
         # Of many centres a share, picked by a hash so that buckets agree; each holds the one before.
@@ -274,7 +274,7 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: in
         )
         # Two centres meet once.
         met = alive.join(centres, "bucket").where(apart & similar & (~F.col("is_centre") | F.expr("set_id < centre")))
-        linked(_links(hashes, pairs_of(met), percent))
+        linked(_links(hashes, as_pairs(met), percent))
         members = alive.where("share > 1").select(*kept)
         step += 1
 
