@@ -71,20 +71,3 @@ def test_many_near_copies_and_texts_that_share_a_passage(spark, monkeypatch):
     rng.shuffle(texts)
     check(spark, list(enumerate(map(" ".join, texts))), 2)
 
-
-def test_sketches_drop_no_similar_pair(spark):
-    rng = np.random.default_rng(1)
-    rows = []
-    for n in (1, 3, 9, 30, 100, 400, 3000):
-        for _ in range(40):
-            pool = rng.integers(0, 1 << 63, n + n // 4 + 1, dtype=np.uint64) * np.uint64(2)
-            a, b = np.unique(pool[: n + n // 4]), np.unique(pool[: max(1, n)])  # b in a: similarity 0.8 and more
-            other = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-            for right, similar in ((b, True), (other, False)):
-                words = [near_dup.bit_sketch(signature(s)).tolist() for s in (a, right)]
-                rows.append((n, similar, len(a), len(right), *words[0], *words[1]))
-    columns = ["size", "similar", "n", "centre_n", *(f"k{i}" for i in range(8)), *(f"c{i}" for i in range(8))]
-    kept = spark.createDataFrame(rows, columns).where(near_dup._may_be_similar(80)).groupBy("size", "similar").count()
-    counts = {(r["size"], r["similar"]): r["count"] for r in kept.collect()}
-    assert all(counts[n, True] == 40 for n in (1, 3, 9, 30, 100, 400, 3000))
-    assert not any(counts.get((n, False)) for n in (400, 3000))
