@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.llm.common import chained, id_and_text, slices, word_hashes, written
 from factloom.llm.components import connected_components
@@ -31,6 +31,10 @@ BAND_WIDTH = 8
 FIRST_BANDS = 8
 #: Up to SMALL centres are taken at once; of more, about SMALL, then four times as many each round.
 SMALL, GROWTH = 16, 4
+#: The sketch of a set: a bit of each bin, in words of 64.  Two sets of similarity s agree in a
+#: share of (1 + s) / 2; a pair is dropped unread only beyond DEVIATIONS standard deviations
+#: from that, which loses a similar pair in 2e-8 cases.
+WORDS, DEVIATIONS = BINS // 64, 5.5
 #: Bits of the filter that tells which texts may be candidates; full or not, it loses none.
 FILTER_BITS = 1 << 24
 _ORDERS = np.stack([np.random.default_rng(j).permutation(BINS) for j in range(BINS)])
@@ -75,6 +79,12 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bit_sketch(values: np.ndarray) -> np.ndarray:
+    """One bit of every bin, as WORDS integers of 64 bits."""
+    bits = (values & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
     for a, b in slices(texts):
         words, counts = word_hashes(texts[a:b])
@@ -85,15 +95,18 @@ def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, keys = [], [], []
+            counts, digests, keys, sketches = [], [], [], []
             for found in shingle_sets(batch.column("text").to_pylist(), size):
                 counts.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                keys.append(band_keys(signature(found)) if len(found) else None)
+                values = signature(found) if len(found) else None
+                keys.append(band_keys(values) if len(found) else None)
+                sketches.append(bit_sketch(values) if len(found) else None)
+            many = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()),
-                 pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "keys"],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+                 pa.array(keys, many), pa.array(sketches, many)],
+                ["doc_id", "n_shingles", "digest", "keys", "sketch"],
             )
 
     return run
@@ -146,6 +159,17 @@ def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return written(both.where(100 * common >= percent * union).select("a", "b"), "near-links")
 
 
+def _may_be_similar(percent: int) -> Column:
+    """By the numbers of shingles and the sketches of set and centre."""
+    fewer, more = F.least("n", "centre_n"), F.greatest("n", "centre_n")
+    differ = sum((F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(WORDS)), F.lit(0))
+    # Bins that a small set leaves empty repeat others and say nothing new.
+    filled = BINS * (1 - F.exp(-fewer / BINS))
+    share = (1 + percent / 100) / 2
+    least = BINS * (share - DEVIATIONS * (share * (1 - share)) ** 0.5 / F.sqrt(filled))
+    return (100 * fewer >= percent * more) & (BINS - differ >= least)
+
+
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The rows with the component of their set."""
     if labels is None:
@@ -171,11 +195,11 @@ def _stars(sets: DataFrame, labels: DataFrame | None, from_: int, count: int) ->
     return written(members.join(several, "bucket"), "near-stars")
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open_buckets(members: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members of the buckets that still hold several components, with the largest component.
 
     ``outside`` counts the members that are not in it; ``buckets`` are all open ones of a set,
-    as many as there are bands at most.
+    as many as there are bands at most.  Only these sets carry their sketches.
     """
     labelled = _labelled(members, labels)
     several = (
@@ -188,8 +212,19 @@ def _open_buckets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         )
         .where("outside > 0")
     )
-    everywhere = F.collect_list("bucket").over(Window.partitionBy("set_id"))
-    return written(labelled.join(several, "bucket").withColumn("buckets", everywhere), "near-open")
+    by_set = (
+        labelled.join(several, "bucket")
+        .groupBy("set_id", "n", "component")
+        .agg(F.collect_list(F.struct("bucket", "largest", "outside")).alias("open"))
+        .join(sets.select("set_id", *_sketch("k")), "set_id")
+    )
+    return written(
+        by_set.select("*", F.col("open.bucket").alias("buckets"), F.inline("open")).drop("open"), "near-open"
+    )
+
+
+def _sketch(name: str) -> list[str]:
+    return [f"{name}{i}" for i in range(WORDS)]
 
 
 def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -226,7 +261,7 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: in
     members = members.select(*kept)
     step = 0
     while True:
-        alive = _open_buckets(members, labels)
+        alive = _open_buckets(members, sets, labels)
         if alive.isEmpty():
             return labels
         # Of many centres a share, picked by a hash so that buckets agree; each holds the one before.
@@ -240,11 +275,12 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: in
             F.col("n").alias("centre_n"),
             F.col("component").alias("centre_component"),
             F.col("buckets").alias("centre_buckets"),
+            *[F.col(f"k{i}").alias(f"c{i}") for i in range(WORDS)],
         )
         # A pair meets in the first bucket that both are in, and two centres once there.
         first = F.array_min(F.array_intersect("buckets", "centre_buckets")) == F.col("bucket")
         once = ~F.col("is_centre") | F.expr("set_id < centre")
-        met = alive.join(centres, "bucket").where(apart & similar & once & first)
+        met = alive.join(centres, "bucket").where(apart & similar & _may_be_similar(percent) & once & first)
         linked(_links(hashes, as_pairs(met), percent))
         members = alive.where("share > 1").select(*kept)
         step += 1
@@ -274,7 +310,7 @@ def near_duplicates(
     rows = id_and_text(docs, id_col, text_col)
     signed = written(
         rows.mapInArrow(
-            _signatures(size), "doc_id long, n_shingles long, digest binary, keys array<long>"
+            _signatures(size), "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>"
         ),
         "signatures",
     )
@@ -285,6 +321,7 @@ def near_duplicates(
             F.min("doc_id").alias("set_id"),
             F.first("n_shingles").alias("n"),
             F.first("keys").alias("keys"),
+            *[F.first("sketch")[i].alias(f"k{i}") for i in range(WORDS)],
         )
     )
     sets = written(sets, "shingle-sets")
@@ -293,7 +330,7 @@ def near_duplicates(
         labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left"
     ).select("digest", F.coalesce("component", "set_id").alias("component"))
     return (
-        signed.drop("keys")
+        signed.drop("keys", "sketch")
         .join(named, "digest", "left")
         .select(
             "doc_id",

@@ -28,7 +28,7 @@ def test_registered():
     names = set(__spark_entry__.queries())
     assert {*queries.queries(), "pipeline"} <= names
     assert [n for n in sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [
-        n for i in range(1, 11) for n in queries.queries() if n.startswith(f"op{i}_")
+        n for i in range(1, 14) for n in queries.queries() if n.startswith(f"op{i}_")
     ]
 
 
