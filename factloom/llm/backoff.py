@@ -11,8 +11,8 @@ K / (c(h) + K); probabilities of all words and the unknown one add up to 1 in ev
 A text is scored in one pass from left to right that carries the state.
 
 The automaton grows with the corpus and is never held whole.  Texts are worked on in blocks
-of rows.  A block names its distinct n-grams once and gets back their counts in all training
-documents: the part of the automaton that its texts can reach.
+of bounded length.  A block names its distinct n-grams once and gets back their counts in all
+training documents: the part of the automaton that its texts can reach.
 """
 
 from __future__ import annotations
@@ -28,8 +28,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom.llm.common import chained, word_hashes, written
 
-#: Rows of one file split that are scored together.
+#: At most so many neighbouring rows of a file split are scored together, ...
 BLOCK_ROWS = 4096
+#: ... and fewer where their texts could have more code points than this, down to one text.
+BLOCK_CHARS = 1 << 24
+#: Tokens that one lane of the traversal walks; long texts take several lanes.
+LANE = 256
 #: Code points of text whose n-gram counts one group adds up, on average.
 CHARS_PER_GROUP = 24_000_000
 #: K above: how many tokens of evidence the shorter context counts for.
@@ -45,14 +49,14 @@ class BlockGrams:
         words, counts = word_hashes(texts)
         # Each text becomes: start, its words, end.
         self.n_tokens = counts + 1
-        lengths = counts + 2
-        self.first = np.cumsum(lengths) - lengths
-        total = int(lengths.sum())
+        self.lengths = counts + 2
+        self.first = np.cumsum(self.lengths) - self.lengths
+        total = int(self.lengths.sum())
         tokens = np.empty(total, np.uint64)
-        self.owner = np.repeat(np.arange(len(texts)), lengths)
-        self.place = np.arange(total) - self.first[self.owner]
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.lengths)
+        self.place = (np.arange(total) - self.first[self.owner]).astype(np.int32)
         is_start = self.place == 0
-        is_end = self.place == lengths[self.owner] - 1
+        is_end = self.place == self.lengths[self.owner] - 1
         tokens[is_start], tokens[is_end] = START, END
         tokens[~is_start & ~is_end] = words
         self.scored = ~is_start
@@ -64,7 +68,7 @@ class BlockGrams:
                 h = chained(np.concatenate([h[:1], h[:-1]]), tokens)
             whole = self.place >= k - 1
             distinct, back = np.unique(h[whole], return_inverse=True)
-            at = np.full(total, -1)
+            at = np.full(total, -1, np.int32)
             at[whole] = back
             self.grams.append(distinct)
             self.at.append(at)
@@ -73,27 +77,105 @@ class BlockGrams:
         for distinct, at in zip(self.grams, self.at):
             yield np.bincount(at[(at >= 0) & training[self.owner]], minlength=len(distinct))
 
-    def log_probabilities(
-        self, totals: list[np.ndarray], tokens: int, vocabulary: int, strength: float
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """(base, smoothed): log10 of each token's probability.
-
-        The state before a token is its longest context with a count; a context without one
-        has c(h) = 0, which passes the whole weight on along its failure arc.
-        """
-        p = (totals[0][self.at[0]] + 1.0) / (tokens + vocabulary + 1.0)
-        base = np.log10(p)
-        for k in range(2, len(totals) + 1):
-            at, context = self.at[k - 1], np.roll(self.at[k - 2], 1)
-            whole = at >= 0
-            found, seen = totals[k - 1][at[whole]], totals[k - 2][context[whole]]
-            p[whole] = (found + strength * p[whole]) / (seen + strength)
-        return base, np.log10(p)
-
     def per_text(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner[self.scored], values[self.scored], len(self.n_tokens))
 
 
+class Automaton:
+    """The part of the automaton that a block's texts can reach.
+
+    A state is (k, i): the i-th of the block's k-grams, if the training documents hold it, and
+    (0, 0) is the root.  The arc of a state for a word leads over the (k+1)-gram that both make.
+    """
+
+    def __init__(
+        self, texts: BlockGrams, totals: list[np.ndarray], tokens: int, vocabulary: int, strength: float
+    ):
+        self.texts, self.order = texts, len(totals)
+        p = (totals[0] + 1.0) / (tokens + vocabulary + 1.0)
+        #: log10 weight of each gram's arc, by order; the root has one for every word.
+        self.arcs = [np.log10(p)]
+        #: log10 weight of each state's failure arc, by number of its words.
+        self.failures = [np.zeros(1)]
+        self.known = [t > 0 for t in totals]
+        for k in range(2, self.order + 1):
+            where = np.flatnonzero(texts.at[k - 1] >= 0)
+            sample = np.zeros(len(texts.grams[k - 1]), np.int64)
+            sample[texts.at[k - 1][where]] = where  # one place of each gram
+            shorter, context = texts.at[k - 2][sample], texts.at[k - 2][sample - 1]
+            seen = totals[k - 2][context]
+            p = (totals[k - 1] + strength * p[shorter]) / (seen + strength)
+            self.arcs.append(np.log10(p))
+            self.failures.append(np.log10(strength / (totals[k - 2] + strength)))
+
+    def _lanes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first token, skipped, tokens) of each lane, those with most tokens first.
+
+        A lane inside a text begins order - 1 tokens early, at the root: a state has no more
+        words than that, so its first own token is met in the state of the whole text.
+        """
+        lengths = self.texts.lengths - 1
+        cuts = -(-lengths // LANE)
+        text = np.repeat(np.arange(len(lengths)), cuts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        begin = nth * LANE
+        early = np.minimum(begin, self.order - 1)
+        size = np.minimum(lengths[text] - begin, LANE) + early
+        by_size = np.argsort(-size, kind="stable")
+        first = self.texts.first[text] + 1 + begin - early
+        return text[by_size], first[by_size], early[by_size], size[by_size]
+
+    def scores(self) -> np.ndarray:
+        """log10 probability of each text: all lanes go one token to the right at a time."""
+        text, first, early, size = self._lanes()
+        total = np.zeros(len(text))
+        # The number of words and the gram of each lane's state.
+        words = np.zeros(len(text), np.int64)
+        state = np.zeros(len(text), np.int64)
+        if self.order > 1:
+            start = self.texts.at[0][first - 1]
+            begins = (self.texts.place[first - 1] == 0) & self.known[0][start]
+            words[begins], state[begins] = 1, start[begins]
+        for step in range(int(size[0]) if len(size) else 0):
+            walking = int(np.searchsorted(-size, -step, side="left"))
+            self._step(first[:walking] + step, words[:walking], state[:walking], total[:walking])
+            total[:walking][early[:walking] > step] = 0.0
+        return np.bincount(text, total, len(self.texts.n_tokens))
+
+    def _step(self, at: np.ndarray, words: np.ndarray, state: np.ndarray, total: np.ndarray) -> None:
+        """Reads the token at each place of `at`: failure arcs until the state has an arc for it."""
+        left = np.arange(len(at))
+        for k in range(self.order - 1, -1, -1):
+            here = left[words[left] == k]
+            gram = self.texts.at[k][at[here]]
+            known = self.known[k][gram]
+            if k:
+                lost = here[~known]
+                total[lost] += self.failures[k][state[lost]]
+                words[lost] = k - 1
+                state[lost] = self.texts.at[k - 2][at[lost] - 1] if k > 1 else 0
+                here, gram = here[known], gram[known]
+                known = known[known]
+            total[here] += self.arcs[k][gram]
+            # Into the state of the words read, without the oldest if they are too many.
+            longest = min(k + 1, self.order - 1)
+            target = gram if longest == k + 1 else self.texts.at[longest - 1][at[here]] if longest else 0
+            state[here] = np.where(known, target, 0)
+            words[here] = np.where(known, longest, 0) - self.order  # done with this token
+        words += self.order
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte from the lowest: high bytes are zeros and compress."""
+    steps = np.diff(grams, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _requests(order: int, groups: int):
     """Rows (part, block, gram_order, first, grams, counts): a block's n-grams, cut by hash range."""
 
@@ -107,7 +189,7 @@ def _requests(order: int, groups: int):
             for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a:
                     out.append(
-                        (part, *block, k, a, grams[a:b].tobytes(), counts[a:b].astype("<u4").tobytes())
+                        (part, *block, k, a, _packed(grams[a:b]), counts[a:b].astype("<u4").tobytes())
                     )
         columns = list(zip(*out))
         types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(),
@@ -118,25 +200,26 @@ def _requests(order: int, groups: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, texts, training = None, [], []
+        # The open block of each kind of length; rows of one kind come in the order of their blocks.
+        held: dict[int, tuple[tuple, list[str], list[bool]]] = {}
         for batch in batches:
             names = ["file", "split", "block", "text", "training"]
             for *block, text, trains in zip(*(batch.column(n).to_pylist() for n in names)):
-                if block != current and texts:
-                    yield rows(tuple(current), texts, training)
-                    texts, training = [], []
-                current = block
+                kind = block[2] % BLOCK_ROWS.bit_length()
+                if kind in held and held[kind][0] != tuple(block):
+                    yield rows(*held.pop(kind))
+                _, texts, training = held.setdefault(kind, (tuple(block), [], []))
                 texts.append(text)
                 training.append(trains)
-        if texts:
-            yield rows(tuple(current), texts, training)
+        while held:
+            yield rows(*held.popitem()[1])
 
     return run
 
 
 def _added_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Counts over all blocks for the n-grams of one order in one hash range."""
-    grams = [np.frombuffer(g.as_py(), np.uint64) for g in table["grams"]]
+    grams = [_unpacked(g.as_py()) for g in table["grams"]]
     counts = [np.frombuffer(c.as_py(), "<u4") for c in table["counts"]]
     distinct, back = np.unique(np.concatenate(grams), return_inverse=True)
     totals = np.bincount(back, np.concatenate(counts), len(distinct))
@@ -165,8 +248,8 @@ def _scored(order: int, tokens: int, vocabulary: int, strength: float):
         for k, first, data in zip(answers["gram_order"], answers["first"], answers["totals"]):
             part = np.frombuffer(data, "<u4")
             totals[k - 1][first : first + len(part)] = part
-        base, smoothed = texts.log_probabilities(totals, tokens, vocabulary, strength)
-        known = (totals[0][texts.at[0]] > 0).astype(float)
+        automaton = Automaton(texts, totals, tokens, vocabulary, strength)
+        known = automaton.known[0][texts.at[0]].astype(float)
         return pd.DataFrame(
             {
                 "doc_id": docs["doc_id"].astype("Int64"),
@@ -174,8 +257,8 @@ def _scored(order: int, tokens: int, vocabulary: int, strength: float):
                 "n_tokens": texts.n_tokens,
                 "n_known": texts.per_text(known).astype(np.int64),
                 "train_tokens": tokens,
-                "base_score": texts.per_text(base),
-                "score": texts.per_text(smoothed),
+                "base_score": texts.per_text(automaton.arcs[0][texts.at[0]]),
+                "score": automaton.scores(),
             }
         )
 
@@ -185,16 +268,21 @@ def _scored(order: int, tokens: int, vocabulary: int, strength: float):
 def _in_blocks(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int) -> DataFrame:
     """Rows with the file, split and run of rows they are stored in, the same on every read."""
     number = F.col(id_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
     remainder = F.crc32(F.coalesce(number.cast("string"), F.lit(""))) % folds
     columns = [
         number.cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        text.alias("text"),
         (remainder != fold).alias("training"),
     ]
+    # Texts of a block differ in length by less than a factor of two, or all are short.
+    doublings = F.ceil(F.log2(F.greatest(F.length(text), F.lit(1)) * (BLOCK_ROWS / BLOCK_CHARS)))
+    doublings = F.least(F.greatest(doublings, F.lit(0)), F.lit(BLOCK_ROWS.bit_length() - 1)).cast("int")
+    run_of_rows = F.floor(F.col("_metadata.row_index") * F.pow(F.lit(2.0), doublings) / BLOCK_ROWS)
     place = [
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
-        F.floor(F.col("_metadata.row_index") / BLOCK_ROWS).alias("block"),
+        (run_of_rows * BLOCK_ROWS.bit_length() + doublings).cast("long").alias("block"),
     ]
     try:
         return docs.select(*columns, *place)
@@ -205,7 +293,7 @@ def _in_blocks(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: in
 
 def scores(
     docs: DataFrame,
-    order: int = 2,
+    order: int = 3,
     strength: float = STRENGTH,
     folds: int = 7,
     fold: int = 2,
@@ -219,7 +307,8 @@ def scores(
     and score are log10 probabilities of the text under single words and under the automaton.
 
     Null text counts as empty: one token, the end.  A null doc_id hashes as empty text and
-    trains.  Repeated rows train and are scored each.  Without training documents every
+    trains.  Repeated rows train and are scored each.  A very long text is a block of its own and
+    is walked in lanes; a task holds about 20 bytes for each of its code points.  Without training documents every
     probability is 1.  Empty input gives no rows; other columns are ignored.
     """
     rows = _in_blocks(docs, id_col, text_col, folds, fold)

@@ -2,9 +2,10 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from factloom.llm.backoff import STRENGTH, scores
+from factloom.llm.backoff import Automaton as WeightedAutomaton, BlockGrams, STRENGTH, _packed, _unpacked, scores
 from tests.llm.common import SMALL, documents, plain, table, words
 
 
@@ -32,12 +33,12 @@ class Automaton:
     def score(self, text):
         total, state = 0.0, ("<s>",)
         for word in [*words(text), "</s>"]:
-            total += math.log10(self.probability(state[-(self.order - 1):], word))
+            total += math.log10(self.probability(state[-(self.order - 1):] if self.order > 1 else (), word))
             state = (*state, word)
         return total
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_against_a_plain_automaton(spark, order):
     docs = [*documents(SMALL)[:80], (1000, None), (1001, ""), (None, "The end"), (1002, "The the THE")]
     df = table(spark, [t for _, t in docs], [i for i, _ in docs], block="b", split="s")
@@ -53,6 +54,33 @@ def test_against_a_plain_automaton(spark, order):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(model.score(text))
 
 
+def test_long_texts_are_walked_in_lanes_and_blocks(spark, monkeypatch):
+    own = [t for _, t in documents(SMALL)[:40]]
+    texts = [" ".join(own), own[0], "", " ".join(own[::-1]) + " zzz", *own, None, "x" * 70_000]
+    whole = plain(scores(table(spark, texts)), "doc_id", "score")
+    model = Automaton(list(enumerate(texts)), 3)
+    assert [s for _, s in sorted(whole)] == pytest.approx([model.score(t) for t in texts])
+    monkeypatch.setattr("factloom.llm.backoff.BLOCK_CHARS", 1 << 14)
+    parts = plain(scores(table(spark, texts)), "doc_id", "score")
+    assert [s for _, s in sorted(parts)] == pytest.approx([s for _, s in sorted(whole)])
+
+
+@pytest.mark.parametrize("lane", [1, 2, 256])
+def test_the_walk_meets_states_arcs_and_failures(monkeypatch, lane):
+    monkeypatch.setattr("factloom.llm.backoff.LANE", lane)
+    texts = BlockGrams(["a b a c", "q a b a z"], 3)
+    totals = [c.astype(float) for c in texts.counts(np.array([True, False]))]
+    walk = WeightedAutomaton(texts, totals, 5, 4, STRENGTH)
+    model = Automaton([(0, "a b a c")], 3)
+    assert walk.scores() == pytest.approx([model.score("a b a c"), model.score("q a b a z")])
+
+
+def test_hashes_packed_and_unpacked():
+    grams = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 1000, np.uint64))
+    for part in (grams, grams[:1], grams[:0], np.array([0, (1 << 64) - 1], np.uint64)):
+        assert (_unpacked(_packed(part)) == part).all()
+
+
 def test_probabilities_add_up():
     model = Automaton([(0, "a b a c"), (1, "b b a")], 3)
     for state in [("a",), ("<s>", "a"), ("b", "b"), ("zzz", "b")]:
