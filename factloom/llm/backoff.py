@@ -22,16 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.llm.common import chained, word_hashes, written
 
-#: At most so many neighbouring rows of a file split are scored together, ...
-BLOCK_ROWS = 4096
-#: ... and fewer where their texts could have more code points than this, down to one text.
-BLOCK_CHARS = 1 << 24
+#: Neighbouring rows of a file split are scored together until they hold so many code points.
+BLOCK_CHARS = 1 << 23
 #: Tokens that one lane of the traversal walks; long texts take several lanes.
 LANE = 256
 #: Code points of text whose n-gram counts one group adds up, on average.
@@ -176,7 +175,30 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _requests(order: int, groups: int):
+def _numbered(block_chars: int):
+    """Adds block: consecutive rows of a file split, closed by the text that fills it.
+
+    Every read of a split gives its rows in the same order, so the numbers are the same too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, block, held = None, 0, 0
+        for batch in batches:
+            sizes = pc.utf8_length(batch.column("text")).to_pylist()
+            found = []
+            for *split, size in zip(*(batch.column(n).to_pylist() for n in ("file", "split")), sizes):
+                if split != current:
+                    current, block, held = split, 0, 0
+                elif held >= block_chars:
+                    block, held = block + 1, 0
+                held += size + 2
+                found.append(block)
+            yield batch.append_column("block", pa.array(found, pa.int64()))
+
+    return run
+
+
+def _requests(order: int, groups: int, block_chars: int):
     """Rows (part, block, gram_order, first, grams, counts): a block's n-grams, cut by hash range."""
 
     def rows(block: tuple, texts: list[str], training: list[bool]) -> pa.RecordBatch:
@@ -200,19 +222,18 @@ def _requests(order: int, groups: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The open block of each kind of length; rows of one kind come in the order of their blocks.
-        held: dict[int, tuple[tuple, list[str], list[bool]]] = {}
-        for batch in batches:
+        current, texts, training = None, [], []
+        for batch in _numbered(block_chars)(batches):
             names = ["file", "split", "block", "text", "training"]
             for *block, text, trains in zip(*(batch.column(n).to_pylist() for n in names)):
-                kind = block[2] % BLOCK_ROWS.bit_length()
-                if kind in held and held[kind][0] != tuple(block):
-                    yield rows(*held.pop(kind))
-                _, texts, training = held.setdefault(kind, (tuple(block), [], []))
+                if block != current and texts:
+                    yield rows(tuple(current), texts, training)
+                    texts, training = [], []
+                current = block
                 texts.append(text)
                 training.append(trains)
-        while held:
-            yield rows(*held.popitem()[1])
+        if texts:
+            yield rows(tuple(current), texts, training)
 
     return run
 
@@ -265,8 +286,8 @@ def _scored(order: int, tokens: int, vocabulary: int, strength: float):
     return run
 
 
-def _in_blocks(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int) -> DataFrame:
-    """Rows with the file, split and run of rows they are stored in, the same on every read."""
+def _in_splits(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int) -> DataFrame:
+    """Rows with the file and split they are stored in, the same on every read."""
     number = F.col(id_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     remainder = F.crc32(F.coalesce(number.cast("string"), F.lit(""))) % folds
@@ -275,14 +296,9 @@ def _in_blocks(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: in
         text.alias("text"),
         (remainder != fold).alias("training"),
     ]
-    # Texts of a block differ in length by less than a factor of two, or all are short.
-    doublings = F.ceil(F.log2(F.greatest(F.length(text), F.lit(1)) * (BLOCK_ROWS / BLOCK_CHARS)))
-    doublings = F.least(F.greatest(doublings, F.lit(0)), F.lit(BLOCK_ROWS.bit_length() - 1)).cast("int")
-    run_of_rows = F.floor(F.col("_metadata.row_index") * F.pow(F.lit(2.0), doublings) / BLOCK_ROWS)
     place = [
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
-        (run_of_rows * BLOCK_ROWS.bit_length() + doublings).cast("long").alias("block"),
     ]
     try:
         return docs.select(*columns, *place)
@@ -307,15 +323,15 @@ def scores(
     and score are log10 probabilities of the text under single words and under the automaton.
 
     Null text counts as empty: one token, the end.  A null doc_id hashes as empty text and
-    trains.  Repeated rows train and are scored each.  A very long text is a block of its own and
-    is walked in lanes; a task holds about 20 bytes for each of its code points.  Without training documents every
+    trains.  Repeated rows train and are scored each.  A very long text closes its block
+    and is walked in lanes; a task holds about 20 bytes for each code point of a block.  Without training documents every
     probability is 1.  Empty input gives no rows; other columns are ignored.
     """
-    rows = _in_blocks(docs, id_col, text_col, folds, fold)
+    rows = _in_splits(docs, id_col, text_col, folds, fold)
     size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     groups = size // CHARS_PER_GROUP + 1
     asked = rows.mapInArrow(
-        _requests(order, groups),
+        _requests(order, groups, BLOCK_CHARS),
         "part int, file string, split long, block long, gram_order int, first long, "
         "grams binary, counts binary",
     )
@@ -331,7 +347,11 @@ def scores(
         F.sum("n_known").alias("v"), F.sum("n_tokens").alias("n")
     ).first()
     by = ["file", "split", "block"]
-    return rows.groupBy(*by).cogroup(answers.groupBy(*by)).applyInPandas(
+    numbered = rows.mapInArrow(
+        _numbered(BLOCK_CHARS),
+        "doc_id long, text string, training boolean, file string, split long, block long",
+    )
+    return numbered.groupBy(*by).cogroup(answers.groupBy(*by)).applyInPandas(
         _scored(order, known["n"] or 0, known["v"] or 0, strength),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double",
