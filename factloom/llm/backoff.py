@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
@@ -164,15 +165,26 @@ class Automaton:
         words += self.order
 
 
-def _packed(grams: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte by byte from the lowest: high bytes are zeros and compress."""
-    steps = np.diff(grams, prepend=np.uint64(0)).astype("<u8")
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """Integers byte by byte from the lowest, compressed: high bytes are mostly zeros."""
+    width = values.dtype.itemsize
+    planes = values.view(np.uint8).reshape(-1, width).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    planes = planes.reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _packed_grams(grams: np.ndarray) -> bytes:
+    """Sorted hashes, as their differences."""
+    return _packed(np.diff(grams, prepend=np.uint64(0)).astype("<u8"))
+
+
+def _unpacked_grams(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
 
 
 def _numbered(block_chars: int):
@@ -211,7 +223,7 @@ def _requests(order: int, groups: int, block_chars: int):
             for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a:
                     out.append(
-                        (part, *block, k, a, _packed(grams[a:b]), counts[a:b].astype("<u4").tobytes())
+                        (part, *block, k, a, _packed_grams(grams[a:b]), _packed(counts[a:b].astype("<u4")))
                     )
         columns = list(zip(*out))
         types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(),
@@ -240,8 +252,8 @@ def _requests(order: int, groups: int, block_chars: int):
 
 def _added_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Counts over all blocks for the n-grams of one order in one hash range."""
-    grams = [_unpacked(g.as_py()) for g in table["grams"]]
-    counts = [np.frombuffer(c.as_py(), "<u4") for c in table["counts"]]
+    grams = [_unpacked_grams(g.as_py()) for g in table["grams"]]
+    counts = [_unpacked(c.as_py(), "<u4") for c in table["counts"]]
     distinct, back = np.unique(np.concatenate(grams), return_inverse=True)
     totals = np.bincount(back, np.concatenate(counts), len(distinct))
     own = np.split(totals[back], np.cumsum([len(g) for g in grams])[:-1])
@@ -255,7 +267,7 @@ def _added_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             "block": table["block"],
             "gram_order": table["gram_order"],
             "first": table["first"],
-            "totals": pa.array([t.astype("<u4").tobytes() for t in own], pa.binary()),
+            "totals": pa.array([_packed(t.astype("<u4")) for t in own], pa.binary()),
             "n_known": pa.array(np.where(first, known.sum(), 0), pa.int64()),
             "n_tokens": pa.array(np.where(first, int(totals[known].sum()), 0), pa.int64()),
         }
@@ -267,7 +279,7 @@ def _scored(order: int, tokens: int, vocabulary: int, strength: float):
         texts = BlockGrams(docs["text"].tolist(), order)
         totals = [np.zeros(len(g)) for g in texts.grams]
         for k, first, data in zip(answers["gram_order"], answers["first"], answers["totals"]):
-            part = np.frombuffer(data, "<u4")
+            part = _unpacked(data, "<u4")
             totals[k - 1][first : first + len(part)] = part
         automaton = Automaton(texts, totals, tokens, vocabulary, strength)
         known = automaton.known[0][texts.at[0]].astype(float)

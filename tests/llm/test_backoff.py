@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from factloom.llm.backoff import Automaton as WeightedAutomaton, BlockGrams, STRENGTH, _packed, _unpacked, scores
+from factloom.llm.backoff import Automaton as WeightedAutomaton, BlockGrams, STRENGTH, _packed_grams, _unpacked_grams, scores
 from tests.llm.common import SMALL, documents, plain, table, words
 
 
@@ -78,7 +78,7 @@ def test_the_walk_meets_states_arcs_and_failures(monkeypatch, lane):
 def test_hashes_packed_and_unpacked():
     grams = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 1000, np.uint64))
     for part in (grams, grams[:1], grams[:0], np.array([0, (1 << 64) - 1], np.uint64)):
-        assert (_unpacked(_packed(part)) == part).all()
+        assert (_unpacked_grams(_packed_grams(part)) == part).all()
 
 
 def test_probabilities_add_up():
