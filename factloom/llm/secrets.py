@@ -1,10 +1,10 @@
 """Secret findings, with false positives removed by a random forest.
 
 Candidates are long runs of key characters, values assigned to a secret's name whatever their
-length, and dotted tokens; the name in name=value is no part of one.  A forest trained on labelled findings judges
-it by its length, the transitions between its characters, how much of it dictionary words
-cover, the path it stands in and the words around it.  DataFrame functions only; the forest is
-pyspark.ml's.
+length, passwords in addresses and dotted tokens; the name in name=value (up to 64 characters)
+is no part of one.  A forest trained on labelled findings judges a candidate by its length, the
+transitions between its characters, how much of it dictionary words cover, the path it stands in
+and the words around it.  The forest alone decides.  DataFrame functions only; it is pyspark.ml's.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from factloom.llm.common import written
 
@@ -36,19 +36,25 @@ _RUN = "[A-Za-z0-9+/_=-]"
 #: token, the value of an unspaced name=value, any other run of key characters.  What costs one
 #: character to rule out comes first, as every place of a text is tried.
 CANDIDATE = "(?:" + "|".join((
-    rf"""(?<=["'`])(?<=[:=][ \t]{{0,3}}["'`])(?<={_NAME}{_ASSIGNED}["'`])(?:[^"'`\r\n]{{4,128}}(?=["'`])|[^"'`\s]{{4,}})""",
+    rf"""(?<=["'`])(?<=[:=][ \t]{{0,3}}["'`])(?<={_NAME}{_ASSIGNED}["'`])(?:[^"'`\r\n]{{4,}}+(?=["'`])|[^"'`\s]{{4,}}+)""",
     rf"""(?<=[:=])(?<={_NAME}["'`]?[:=])(?![=:])[^\s"'`,;&<>(){{}}\[\]]{{4,}}""",
     rf"""(?<=[ \t])(?<=[:=][ \t]{{1,3}})(?<={_NAME}{_ASSIGNED})(?=[^\s"'`,;&<>(){{}}\[\]]*[^\sA-Za-z"'`,;&<>(){{}}\[\].:?])[^\s"'`,;&<>(){{}}\[\]]{{4,}}""",
-    r"(?<![A-Za-z0-9+/_.@\\-])[A-Za-z0-9_-]{2,}+(?:\.[A-Za-z0-9_-]{5,}+){1,4}(?<=\.[A-Za-z0-9_-]{16,2048})",
+    r"""(?<=:)(?<=://[^\s/:@"'`]{0,64}:)[^\s/@"'`]{4,}+(?=@\w)""",
+    r"(?<![A-Za-z0-9+/_.@\\-])[A-Za-z0-9_-]{2,}+(?:\.[A-Za-z0-9_-]{5,}+(?=\.[A-Za-z0-9_-]{5}))*+\.[A-Za-z0-9_-]{16,}+",
     rf"(?<==)(?<=(?<!{_RUN})[A-Za-z0-9+/_-]{{1,64}}=)(?!=){_RUN}{{16,}}",
     rf"(?<!{_RUN})(?={_RUN}{{16}})(?![A-Za-z0-9+/_-]{{1,64}}=(?!=){_RUN}{{16}})(?![A-Za-z0-9+/_-]{{0,64}}{_NAME}=[^=\s]){_RUN}{{16,}}",
 )) + ")"
+#: What a text needs to hold a candidate at all, cheaper to look for.
+_HOPE = rf"(?<!{_RUN}){_RUN}{{16}}|(?i:" + "|".join(SECRET_WORDS) + rf"){_ASSIGNED}|://"
 #: Header and payload of a signed JSON token, whose braces are encoded.
 JSON_TOKEN = r"^eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\."
+#: Words before a digest or an identifier, which are random but no secrets.
+DIGEST_WORDS = ["checksum", "commit", "digest", "etag", "hash", "id", "md5", "revision", "sha1", "sha256", "uuid"]
 EXAMPLE_PATHS = ["doc", "example", "fixture", "mock", "sample", "test"]
 FEATURES = [
     "n", "runs", "digits", "capitals", "marks", "entropy", "pairs", "coverage", "named", "assigned",
-    "quoted", "in_path", "slashes", "example_path",
+    "quoted", "in_path", "slashes", "example_path", "digest_word",
+    "in_address",
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DIGITS, _MARKS = "0123456789", "+/_=-"
@@ -56,8 +62,70 @@ _DIGITS, _MARKS = "0123456789", "+/_=-"
 _SYMBOLS = 28
 
 
-def _hits_and_gaps(text: Column) -> tuple[Column, Column]:
-    return F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), 1), F.split(text, CANDIDATE, -1)
+#: Each known finding, as SQL over hex, mix and word: its label and the text it stands in.
+KNOWN_FINDINGS = [
+    (1, "'use the api key sk-' || left(mix, 32) || ' here'"),
+    (1, "'api_key = \"' || left(mix, 24) || '\"'"),
+    (1, "'Authorization: Bearer ' || left(mix, 40)"),
+    (1, "'password: \"' || left(mix, 8) || '!\"'"),
+    (1, "'pwd=' || initcap(word) || left(hex, 2) || '!x'"),
+    (1, "'password = \"' || repeat(word || ' ', 6) || left(hex, 4) || '\"'"),
+    (1, "'token ' || left(hex, 40)"),
+    (1, "'our token is ' || left(mix, 36) || '.'"),
+    (1, "'deployed with AKIA' || upper(left(hex, 16)) || ' now'"),
+    (1, "'postgres://admin:' || left(mix, 10) || '!x@host/base'"),
+    (1, "'GITHUB_TOKEN=ghp_' || left(mix, 36)"),
+    (1, "'log in with ' || left(mix, 38) || ' first'"),
+    (1, "'sent eyJhbGciOiJIUzI1NiJ9.eyJ' || left(mix, 30) || '.' || right(mix, 38)"),
+    (1, "left(mix, 40)"),
+    (0, "'commit ' || left(hex, 40) || ' mends it'"),
+    (0, "'sha256: ' || hex"),
+    (0, "'md5 checksum ' || left(hex, 32)"),
+    (0, "'revision ' || left(hex, 40)"),
+    (0, "'uuid ' || regexp_replace(left(hex, 32), '^(.{8})(.{4})(.{4})(.{4})', '$1-$2-$3-$4-')"),
+    (0, "'see folder/' || word || '/name' || left(hex, 4) || '/filename'"),
+    (0, "'import company.package.' || word || '.' || initcap(word) || 'Configuration'"),
+    (0, "'order number ' || left(translate(hex, 'abcdef', '012345'), 16)"),
+    (0, "'token = \"' || word || '_' || word || '_value\"'"),
+    (0, "'password: \"' || word || '\"'"),
+    (0, "'api key YOUR_' || upper(word) || '_KEY_GOES_HERE'"),
+    (0, "'the ' || word || word || word || word || ' ends'"),
+    (0, "'then get' || initcap(word) || 'Configuration' || initcap(word) || ' runs'"),
+    (0, "repeat(element_at(array('-', '=', '_'), 1 + nth % 3), 20 + nth)"),
+]
+#: Texts made of each known finding, and how many found ones each weighs in the fit.
+KNOWN_TEXTS, KNOWN_WEIGHT = 16, 8.0
+_WORDS = ["window", "customer", "garden", "invoice", "number", "station", "letter", "market"]
+
+
+def known_findings(spark: SparkSession) -> DataFrame:
+    """(doc_id, text, label): texts with one finding each whose label its form settles.
+
+    Digits and letters come from SHA-256, so the rows are the same on every run.
+    """
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    rows = spark.range(len(KNOWN_FINDINGS) * KNOWN_TEXTS).select(
+        F.col("id").alias("doc_id"),
+        (F.col("id") % len(KNOWN_FINDINGS)).alias("form"),
+        F.floor(F.col("id") / len(KNOWN_FINDINGS)).cast("int").alias("nth"),
+        digest.alias("hex"),
+        F.translate(F.base64(F.unhex(F.concat(digest, F.sha2(digest, 256)))), "+/=", "").alias("mix"),
+        F.get(F.array(*map(F.lit, _WORDS)), (F.col("id") * 5 % len(_WORDS)).cast("int")).alias("word"),
+    )
+    text, label = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for i, (known, made) in enumerate(KNOWN_FINDINGS):
+        here = F.col("form") == i
+        text, label = F.when(here, F.expr(made)).otherwise(text), F.when(here, float(known)).otherwise(label)
+    return rows.select("doc_id", text.alias("text"), label.alias("label"))
+
+
+def _hits(text: Column) -> Column:
+    found = F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), 1)
+    return F.when(text.rlike(_HOPE), found).otherwise(F.array().cast("array<string>"))
+
+
+def _gaps(text: Column) -> Column:
+    return F.split(text, CANDIDATE, -1)
 
 
 def candidates(
@@ -72,16 +140,17 @@ def candidates(
     past the candidate before it, after to the next one, at most 48 and 24 characters.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hits, gaps = _hits_and_gaps(text)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(text).alias("text_hash"),
         (F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")).alias("path"),
         F.monotonically_increasing_id().alias("row"),
-        hits.alias("hits"),
-        gaps.alias("gaps"),
+        _hits(text).alias("hits"),
+        text.alias("text"),
     )
-    found = rows.where(F.size("hits") > 0).select(
+    # The row number keeps the filter above the hits, so that they are looked for once.
+    rows = rows.where(F.size("hits") > 0).withColumn("gaps", _gaps(F.col("text"))).drop("text")
+    found = rows.select(
         "doc_id", "text_hash", "path", "row",
         F.explode(
             F.transform(
@@ -165,9 +234,9 @@ def _coverage(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
 
 
-def with_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
+def with_features(found: DataFrame, dictionary: DataFrame, transitions: list[float]) -> DataFrame:
     """Candidates with the columns of FEATURES."""
-    table = F.array(*(F.lit(v) for v in _transitions(dictionary)))
+    table = F.array(*(F.lit(v) for v in transitions))
     kinds = F.translate(
         "value", _UPPER + _LOWER + _DIGITS + _MARKS, "u" * 26 + "l" * 26 + "d" * 10 + "s" * 5
     )
@@ -194,12 +263,15 @@ def with_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         + F.get(table, (_symbol(F.get("chars", i)) * _SYMBOLS + _symbol(F.get("chars", i + 1))).cast("int")),
     )
     before = F.lower("before")
+    address = before.rlike(r"//[^\s/:@]*:$") & F.col("after").rlike(r"^@\w")
     flags = {
         "named": F.col("before").rlike(_NAME + "[^A-Za-z]*$"),
         "assigned": before.rlike(r"""[=:]\s*["'`]?\s*$"""),
         "quoted": before.rlike(r"""["'`]$""") & F.col("after").rlike(r"""^["'`]"""),
-        "in_path": before.rlike(r"[./\\@]$") | F.col("after").rlike(r"^[./\\@]\w"),
+        "in_path": ~address & (before.rlike(r"[./\\@]$") | F.col("after").rlike(r"^[./\\@]\w")),
+        "in_address": address,
         "dotted": before.rlike(r"[A-Za-z0-9_-]\.$") | F.col("after").rlike(r"^\.[A-Za-z0-9_-]"),
+        "digest_word": before.rlike(r"(?<![a-z0-9])(" + "|".join(DIGEST_WORDS) + r")[^a-z0-9]*$"),
         "example_path": F.lower("path").rlike("|".join(EXAMPLE_PATHS)),
     }
     return rows.select(
@@ -243,12 +315,19 @@ def _training_rows(labelled: DataFrame) -> DataFrame:
         DataFrame.unionByName,
         (
             labelled.where(F.col("label") == label).orderBy(*order).limit(FIT_ROWS)
-            .select("label", *FEATURES)
+            .select("label", *FEATURES, F.lit(1.0).alias("weight"), "value")
             for label in (0.0, 1.0)
         ),
     )
 
 
+def _cues_hidden(training: DataFrame) -> DataFrame:
+    """Half of the values lose the words and signs around them, so that their form has to tell."""
+    hidden = F.xxhash64("value") % 2 == 0
+    cues = ("named", "assigned", "quoted")
+    return training.withColumns({c: F.when(hidden, 0.0).otherwise(F.col(c)) for c in cues})
+
+
 def secret_findings(
     docs: DataFrame,
     labels: DataFrame | None = None,
@@ -260,43 +339,45 @@ def secret_findings(
     """One row per candidate: doc_id, text_hash, nth, start, end, value, probability, is_secret.
 
     `labels` may give reviewed findings as (value, label); otherwise the candidates whose label
-    is beyond doubt train the forest.  start and end are code points, end exclusive.
+    is beyond doubt train the forest, half of them without the cues around them.  Known findings,
+    texts made of common forms, train it in both cases.  No rule overrules the forest.  start and
+    end are code points, end exclusive.
 
     Null and empty texts have no candidates; null doc_ids stay null; repeated rows give their
-    findings each.  A null path is no example path.  Without training rows of both classes the
-    probability is 1 for secrets beyond doubt and 0 for the rest.  Other columns are ignored; empty input gives no
-    rows.
+    findings each; very long texts are searched whole.  A null path is no example path.  Other
+    columns are ignored; empty input gives no rows.
     """
+    spark = docs.sparkSession
     found = written(candidates(docs, id_col, text_col, path_col), "secret-candidates")
     dictionary = written(_dictionary(docs, text_col), "secret-words")
-    features = written(with_features(found, dictionary), "secret-features")
+    transitions = _transitions(dictionary)
+    features = written(with_features(found, dictionary, transitions), "secret-features")
     if labels is None:
-        labelled = certain_labels(features)
+        training = _cues_hidden(_training_rows(certain_labels(features)))
     else:
         reviewed = labels.where("value IS NOT NULL AND label IS NOT NULL").groupBy("value").agg(
             F.max(F.col("label").cast("double")).alias("label")
         )
-        labelled = features.join(reviewed, "value")
-    training = written(_training_rows(labelled), "secret-training")
-    # The forest never loses a finding that is beyond doubt.
-    sure = F.coalesce(_certain(), F.lit(0.0)) if labels is None else F.lit(0.0)
-    features = features.withColumn("sure", sure)
-    columns = [
-        "doc_id", "text_hash", "nth", "start",
-        (F.col("start") + F.length("value")).alias("end"), "value",
-        "probability", (F.col("probability") >= threshold).alias("is_secret"),
-    ]
-    if training.select("label").distinct().count() < 2:
-        return features.withColumn("probability", F.col("sure")).select(*columns)
+        training = _training_rows(features.join(reviewed, "value"))
+    known = known_findings(spark)
+    forms = with_features(candidates(known, path_col=None), dictionary, transitions)
+    forms = forms.join(known.select("doc_id", "label"), "doc_id")
+    forms = forms.select("label", *FEATURES, F.lit(KNOWN_WEIGHT).alias("weight"), "value")
+    training = written(training.unionByName(forms), "secret-training")
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="vector")
     forest = RandomForestClassifier(
-        featuresCol="vector", labelCol="label", numTrees=24, maxDepth=6, maxBins=64, seed=7,
-        probabilityCol="odds", rawPredictionCol="votes", predictionCol="verdict",
-        featureSubsetStrategy="onethird",
+        featuresCol="vector", labelCol="label", weightCol="weight", numTrees=32, maxDepth=8,
+        maxBins=64, seed=7, probabilityCol="odds", rawPredictionCol="votes",
+        predictionCol="verdict", featureSubsetStrategy="onethird",
     )
     model = forest.fit(assembler.transform(training))
     judged = model.transform(assembler.transform(features))
-    return judged.withColumn("probability", F.greatest(vector_to_array("odds")[1], "sure")).select(*columns)
+    return judged.select(
+        "doc_id", "text_hash", "nth", "start",
+        (F.col("start") + F.length("value")).alias("end"), "value",
+        vector_to_array("odds")[1].alias("probability"),
+        (vector_to_array("odds")[1] >= threshold).alias("is_secret"),
+    )
 
 
 def redacted(
@@ -313,7 +394,6 @@ def redacted(
         .agg(F.collect_set("nth").alias("__nth"))
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hits, gaps = _hits_and_gaps(F.col(text_col))
     kept = F.transform(
         "__hits", lambda h, i: F.when(F.array_contains("__nth", i), F.lit(mark)).otherwise(h)
     )
@@ -326,7 +406,7 @@ def redacted(
     )
     changed = (
         joined.where("__nth IS NOT NULL")
-        .withColumns({"__hits": hits, "__gaps": gaps})
+        .withColumns({"__hits": _hits(F.col(text_col)), "__gaps": _gaps(F.col(text_col))})
         .select(*columns)
     )
     return joined.where("__nth IS NULL").select(*docs.columns).unionByName(changed)

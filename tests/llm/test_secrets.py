@@ -1,6 +1,6 @@
 import re
 
-from factloom.llm.secrets import candidates, redacted, secret_findings
+from factloom.llm.secrets import candidates, known_findings, redacted, secret_findings
 from tests.llm.common import MEDIUM, documents, plain, table
 
 PATTERN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
@@ -59,6 +59,39 @@ def test_short_unspaced_compound_and_dotted_secrets_go(spark):
     assert [clean[i] for i in range(len(lines))] == list(lines.values())
 
 
+def test_planted_findings_that_no_rule_labels(spark):
+    """Contexts the table never shows: the forest decides, alone and among other texts."""
+    token = "9fK2mQ7xW2pL5vT8nB3cR6yH1jD4"
+    mark = "[secret]"
+    phrase = "correct horse battery staple " * 6 + "7"
+    long = "eyJhbGciOiJIUzI1NiJ9.eyJ" + "aB3" * 500 + "." + "zX9w" * 700
+    secret = {
+        f"api key sk-{token}": f"api key {mark}",
+        f"the token is {token} today": f"the token is {mark} today",
+        "postgres://admin:S3cr3tPw!x@host": f"postgres://admin:{mark}@host",
+        f'password = "{phrase}"': f'password = "{mark}"',
+        f"got {long} back": f"got {mark} back",
+    }
+    clean = ["commit 3f786850e387550fdab836ed7e6dc881de23001b landed",
+             "md5 checksum d41d8cd98f00b204e9800998ecf8427e", "order number 4994226020900891 came",
+             "see folder/subfolder/name0001/filename", "thethorouinhndontiinndonthbletiing is a word"]
+    lines = [*secret, *clean]
+    want = [*secret.values(), *clean]
+    docs = table(spark, lines)
+    found = dict(plain(redacted(docs, secret_findings(docs)), "doc_id", "text"))
+    assert [found[i] for i in range(len(lines))] == want
+    stored = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    more = stored.unionByName(table(spark, lines, [1_000_000 + i for i in range(len(lines))]).select(stored.columns))
+    found = dict(plain(redacted(more, secret_findings(more)).where("doc_id >= 1000000"), "doc_id", "text"))
+    assert [found[1_000_000 + i] for i in range(len(lines))] == want
+
+
+def test_known_findings_have_one_candidate_each(spark):
+    known = known_findings(spark)
+    found = [i for i, in plain(candidates(known, path_col=None), "doc_id")]
+    assert found == [i for i, in plain(known, "doc_id")]
+
+
 def test_nothing_to_find(spark):
     for texts in ([], [None, "", "short words"]):
         docs = table(spark, texts)
