@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from factloom import Snapshot, Workspace
 from factloom.operators import catalog
 from factloom.operators.derived import derived_columns
+from factloom.plans.workspace import ROW_GROUP_BYTES
 from factloom.sources.tables import scratch_dir
 from workloads import views
 
@@ -26,7 +27,7 @@ class Prepared:
     @cached_property
     def sales_path(self) -> str:
         path = scratch_dir(self.spark, "sales")
-        views.sales(self.spark, self.sf_dir).hint("rebalance").write.parquet(path)
+        views.sales(self.spark, self.sf_dir).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         return path
 
     @property

@@ -15,17 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One denormalised row per order line, with gaps injected in two columns."""
+    """One denormalised row per order line, with gaps injected in two columns.
+
+    Everything an order brings with it is joined before its lines are, and lines meet the two
+    columns of their part first, so no shuffle moves the wide rows.
+    """
     line = table(spark, sf_dir, "lineitem")
     orders, customer, nation, region, part = (
         table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region", "part")
     )
+    buyer = customer.join(nation, customer.c_nationkey == nation.n_nationkey).join(
+        region, nation.n_regionkey == region.r_regionkey
+    )
+    ordered = orders.join(buyer, orders.o_custkey == customer.c_custkey)
     return (
-        line.join(orders, line.l_orderkey == orders.o_orderkey)
-        .join(customer, orders.o_custkey == customer.c_custkey)
-        .join(nation, customer.c_nationkey == nation.n_nationkey)
-        .join(region, nation.n_regionkey == region.r_regionkey)
-        .join(part, line.l_partkey == part.p_partkey)
+        line.join(part, line.l_partkey == part.p_partkey)
+        .join(ordered, line.l_orderkey == orders.o_orderkey)
         .select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("line_number"),
