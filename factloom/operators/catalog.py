@@ -1,14 +1,16 @@
 """Column discovery and business semantics.
 
-One pass over the data yields everything the naming and cardinality rules need: the
-table is unpivoted to (column, value) pairs, equal pairs are counted, and the counts
-are folded to one row per column.  Equal values collapse on the map side first, so a
-value that fills a third of the table is a single row by the time it is shuffled.
+The counts of equal values yield everything the naming and cardinality rules need: every
+column of a stored table is read and counted by itself, any other table is unpivoted to
+(column, value) pairs in one pass, and the counts are folded to one row per column.  Equal
+values collapse on the map side first, so a value that fills a third of the table is a
+single row by the time it is shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -21,6 +23,7 @@ from factloom.functions.columns import (
     is_text,
     nan_to_null,
 )
+from factloom.sources.tables import is_scan
 
 # The vocabulary of the naming rules.
 IDENTIFIER_TOKENS = ["id", "key", "code", "number"]
@@ -36,6 +39,9 @@ CATEGORY_MAX_RATIO = 0.2
 # from any text that is short enough to be counted as it is.
 SHORT_TEXT_BYTES = 63
 
+#: The most parts that the columns of one table are read in; each is a plan of its own.
+SCANS = 32
+
 
 @dataclass(frozen=True)
 class ColumnRole:
@@ -93,7 +99,8 @@ _SLOT_TYPES = {
 def value_counts(df: DataFrame) -> DataFrame:
     """Distinct values of every flat column with their row counts, NULL included.
 
-    Columns: ordinal, one typed slot per kind of value present, n.
+    Columns: ordinal, one typed slot per kind of value present, n.  A scan of files is read column
+    by column: a task then keeps the values of one column only, under a key no wider than those.
     """
     per_column: list[tuple[int, dict[str, Column]]] = [
         (i, _typed_slots(col(f.name), f.dataType))
@@ -101,19 +108,33 @@ def value_counts(df: DataFrame) -> DataFrame:
         if is_profiled(f.dataType)
     ]
     slots = [s for s in _SLOT_TYPES if any(s in used for _, used in per_column)] or ["as_long"]
+    rows = nan_to_null(df)
+    if len(per_column) < 2 or not is_scan(df):
+        return _counted(rows, per_column, slots)
+    parts = min(len(per_column), SCANS)
+    return reduce(DataFrame.unionByName, [_counted(rows, per_column[k::parts], slots) for k in range(parts)])
+
+
+def _counted(rows: DataFrame, columns: list[tuple[int, dict[str, Column]]], slots: list[str]) -> DataFrame:
+    """The value counts of some columns, in one pass."""
+    n = F.count(F.lit(1)).alias("n")
+    if len(columns) == 1:
+        ordinal, used = columns[0]
+        counted = rows.select(*[c.cast(_SLOT_TYPES[s]).alias(s) for s, c in used.items()]).groupBy(*used).agg(n)
+        empty = F.lit(None)
+        return counted.select(
+            F.lit(ordinal).alias("ordinal"),
+            *[(F.col(s) if s in used else empty).cast(_SLOT_TYPES[s]).alias(s) for s in slots],
+            "n",
+        )
     entries = [
         F.struct(
             F.lit(i).alias("ordinal"),
             *[used.get(s, F.lit(None)).cast(_SLOT_TYPES[s]).alias(s) for s in slots],
         )
-        for i, used in per_column
+        for i, used in columns
     ] or [F.struct(F.lit(-1).alias("ordinal"), F.lit(None).cast("bigint").alias("as_long"))]
-    return (
-        nan_to_null(df)
-        .select(F.inline(F.array(*entries)))
-        .groupBy("ordinal", *slots)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return rows.select(F.inline(F.array(*entries))).groupBy("ordinal", *slots).agg(n)
 
 
 def column_catalog(df: DataFrame) -> DataFrame:

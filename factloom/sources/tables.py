@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.sources.csv import scan_csv
@@ -16,6 +17,15 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options)
     return spark.read.format(fmt).options(**options).load(path)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """True if the rows are read from one stored table, so that columns can be read by themselves."""
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return False
+    return True
+
+
 def scratch_dir(spark: SparkSession, purpose: str, base: str | None = None) -> str:
     """A fresh folder below a shared one: ``base``, or what the session calls spark.checkpoint.dir."""
     base = base or spark.conf.get("spark.checkpoint.dir", None)

@@ -3,6 +3,9 @@
 import io
 from contextlib import redirect_stdout
 
+from pyspark.sql import functions as F
+
+from factloom.operators import catalog
 from workloads import views
 
 
@@ -69,3 +72,35 @@ def test_sales_keep_repeated_keys_and_drop_missing_ones(spark, tmp_path):
         + [(2, c, b, None) for c in ("two", "again") for b in ("B2", "B3")],
         key=str,
     )
+
+
+SEVERAL = """
+    id % 3 as whole, case when id % 4 = 0 then double('nan') when id % 4 = 1 then -0.0D else id / 2 end as number,
+    cast(id % 5 as decimal(9, 2)) as exact, if(id % 2 = 0, null, repeat('long text ', cast(id % 3 as int) * 10)) as words,
+    timestamp_ntz'2020-01-01 00:00:00' as moment, id % 2 = 0 as flag, array(id) as list
+"""
+
+
+def test_stored_columns_are_counted_one_by_one(spark, tmp_path):
+    rows = spark.sql(f"select {SEVERAL} from range(50)")
+    rows.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    plan = plan_of(catalog.value_counts(stored))
+    # No row is multiplied by its columns, and a task's keys are those of one column.
+    assert not any("Generate" in line for line in plan)
+    counted = catalog.value_counts(stored)
+    unpivoted = catalog.value_counts(rows)
+    assert counted.schema.simpleString() == unpivoted.schema.simpleString()
+    assert sorted(map(str, counted.collect())) == sorted(map(str, unpivoted.collect()))
+
+
+def test_wide_tables_are_read_in_a_bounded_number_of_parts(spark, tmp_path):
+    names = [f"c{i}" for i in range(catalog.SCANS + 8)]
+    spark.range(9).select(*[(F.col("id") % (i % 4 + 1)).alias(n) for i, n in enumerate(names)]).write.parquet(
+        str(tmp_path / "wide")
+    )
+    stored = spark.read.parquet(str(tmp_path / "wide"))
+    counted = catalog.value_counts(stored)
+    assert sum("FileScan" in line for line in plan_of(counted)) <= catalog.SCANS
+    per_column = {r["ordinal"]: r["values"] for r in counted.groupBy("ordinal").agg(F.count("*").alias("values")).collect()}
+    assert per_column == {i: i % 4 + 1 for i in range(len(names))}
