@@ -14,12 +14,14 @@ from itertools import combinations
 from operator import and_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from factloom.functions.columns import col, is_text
 
 SAMPLE_ROWS = 20
 PREFIX_ROWS = 1000
+#: Types whose values come back from the driver as they were.
+_COMPARED = (T.IntegralType, T.StringType, T.DateType)
 
 
 def stored_order(df: DataFrame) -> list[Column]:
@@ -60,7 +62,7 @@ def derived_columns(
         judged = _judge(text, every, sample=False)
         derived = {t for (t, _, _), (_, both) in judged.items() if both}
         return [n for i, n in enumerate(names) if i in derived]
-    found = _from_prefix(text, len(names))
+    found = _from_prefix(text, len(names), _leading(df, order_by))
     return found.names(names)
 
 
@@ -81,7 +83,7 @@ class Derived:
 def derived_state(df: DataFrame, order_by: Sequence[str | Column] | None = None) -> Derived:
     """The same as `derived_columns` in a form that goes on with later rows."""
     names, text = _texts(df, order_by)
-    return _from_prefix(text, len(names)) if len(names) >= 3 else Derived(set(), {})
+    return _from_prefix(text, len(names), _leading(df, order_by)) if len(names) >= 3 else Derived(set(), {})
 
 
 def with_later_rows(state: Derived, df: DataFrame, order_by: Sequence[str | Column] | None = None) -> Derived:
@@ -106,8 +108,23 @@ def _texts(df: DataFrame, order_by: Sequence[str | Column] | None) -> tuple[list
     )
 
 
-def _from_prefix(text: DataFrame, width: int) -> Derived:
-    prefix = text.orderBy("position").limit(PREFIX_ROWS).persist()
+def _leading(df: DataFrame, order_by: Sequence[str | Column] | None) -> Column | None:
+    """A condition on ``position`` that the first rows meet and few others, from the first key alone.
+
+    That column is read by itself, and most stored rows are then passed over by its statistics.
+    """
+    key = (order_by or [None])[0]
+    if not isinstance(key, str) or not isinstance(df.schema[key].dataType, _COMPARED):
+        return None
+    first = df.select(col(key).alias("k0")).orderBy("k0").limit(PREFIX_ROWS)
+    last = first.agg(F.max("k0").alias("last")).first()["last"]
+    k0 = F.col("position.k0")
+    return k0.isNull() if last is None else k0.isNull() | (k0 <= F.lit(last).cast(df.schema[key].dataType))
+
+
+def _from_prefix(text: DataFrame, width: int, leading: Column | None = None) -> Derived:
+    ahead = text if leading is None else text.where(leading)
+    prefix = ahead.orderBy("position").limit(PREFIX_ROWS).persist()
     try:
         triples = _possible_triples(prefix, width)
         judged = _judge(prefix, triples)

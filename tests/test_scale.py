@@ -5,7 +5,7 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
-from factloom.operators import catalog
+from factloom.operators import catalog, derived
 from workloads import views
 
 
@@ -104,3 +104,23 @@ def test_wide_tables_are_read_in_a_bounded_number_of_parts(spark, tmp_path):
     assert sum("FileScan" in line for line in plan_of(counted)) <= catalog.SCANS
     per_column = {r["ordinal"]: r["values"] for r in counted.groupBy("ordinal").agg(F.count("*").alias("values")).collect()}
     assert per_column == {i: i % 4 + 1 for i in range(len(names))}
+
+
+def test_rows_past_the_first_key_are_not_ordered(spark, monkeypatch):
+    """Rows whose first key comes after the first thousand are left out before the others are put in order."""
+    seen = {}
+    prefix = derived._from_prefix
+
+    def spied(text, width, leading=None):
+        seen["kept"] = text.where(leading).count()
+        return prefix(text, width, leading)
+
+    monkeypatch.setattr(derived, "_from_prefix", spied)
+    row = "concat('x', id % 3) as a, concat('y', id % 2) as b, concat('x', id % 3, '-', 'y', id % 2) as joined"
+    rows = spark.sql(f"select if(id < 10, null, cast(id div 7 as int)) as k, id as line, {row} from range(50000)")
+    assert derived.derived_columns(rows, ["k", "line"]) == ["joined"]
+    assert 1000 <= seen["kept"] < 1010
+    # All first rows without a first key.
+    gaps = rows.withColumn("k", F.when(F.col("line") >= 2000, F.col("k")))
+    assert derived.derived_columns(gaps, ["k", "line"]) == ["joined"]
+    assert seen["kept"] == 2000
