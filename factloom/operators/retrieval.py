@@ -110,7 +110,8 @@ def ranked_observations(structured: DataFrame, stored: DataFrame, evidence: Data
     general = (
         chosen.where(F.col("named_value").isNull())
         .drop("named_value")
-        .join(best_facts(stored, evidence), PAIR)
+        # Ten rows per pair of columns; by pair, most questions would meet in a few tasks.
+        .join(F.broadcast(best_facts(stored, evidence)), PAIR)
     )
     named = (
         chosen.where(F.col("named_value").isNotNull())

@@ -1,11 +1,12 @@
 """How the shared steps read and move rows, on rows of the tests' own."""
 
 import io
+import re
 from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
-from factloom.operators import catalog, derived
+from factloom.operators import catalog, derived, retrieval
 from workloads import views
 
 
@@ -124,3 +125,35 @@ def test_rows_past_the_first_key_are_not_ordered(spark, monkeypatch):
     gaps = rows.withColumn("k", F.when(F.col("line") >= 2000, F.col("k")))
     assert derived.derived_columns(gaps, ["k", "line"]) == ["joined"]
     assert seen["kept"] == 2000
+
+
+def test_questions_are_not_gathered_by_pair_of_columns(spark, tmp_path):
+    """All questions about a pair of columns would otherwise be the work of one task."""
+    tables = {
+        "structured": "select 'q' || id as question_id, 'm' as target_metric, cast(array() as array<string>) as dimensions,"
+        " if(id % 2 = 0, map('d', 'V1'), cast(map() as map<string, string>)) as filters from range(6)",
+        "stored": "select 'd' as dimension, 'm' as metric, 'f' || id as fact_id, 'v' || id as dimension_value,"
+        " false as is_null, double(id) as sum, double(id) as mean, id as count from range(30)",
+        "evidence": "select 'd' as column_a, 'm' as column_b, 'cat_num' as rel_type, 0.5D as strength_score,"
+        " 7L as relationship_id",
+    }
+    read = {}
+    for name, rows in tables.items():
+        spark.sql(rows).write.parquet(f"{tmp_path}/{name}")
+        read[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = retrieval.observations(read["structured"], read["stored"], read["evidence"])
+        plan = plan_of(found)
+        rows = [(r["question_id"], r["position"], r["fact_id"]) for r in found.collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for i, line in enumerate(plan):
+        if re.search(r"hashpartitioning\(dimension#\d+, metric#\d+, \d+\)", line):
+            below = plan[i + 1 :]
+            inside = below[: next((k for k, b in enumerate(below) if depth(b) <= depth(line)), len(below))]
+            assert not any("Scan" in b and "question_id" in b for b in inside)
+    best = [(p + 1, f"f{29 - p}") for p in range(10)]
+    assert sorted(rows) == sorted(
+        [(f"q{i}", *b) for i in (1, 3, 5) for b in best] + [(f"q{i}", 1, "f1") for i in (0, 2, 4)]
+    )
