@@ -92,36 +92,35 @@ def merged_cubes(earlier: DataFrame, later: DataFrame) -> DataFrame:
     """
     key = ["dimension_ordinal", "dimension", "value", "metric_ordinal", "metric"]
     squares = F.coalesce(F.col("variance"), F.lit(0.0)) * F.greatest(F.col("count") - 1, F.lit(0))
-    parts = (F.struct("count", "mean", squares.alias("squares")))
-    empty = F.struct(
-        F.lit(0).cast("bigint").alias("count"), F.lit(None).cast("double").alias("mean"), F.lit(0.0).alias("squares")
+    sides = [
+        part.select(*key, "sum", "mean", "count", squares.alias("squares"), F.lit(side).alias("side"))
+        for side, part in enumerate((earlier, later))
+    ]
+
+    def of_side(side: int, column: str) -> Column:
+        # A group has one row at most in each cube.
+        return F.max(F.when(F.col("side") == side, F.col(column)))
+
+    # Numbers only, so that no group needs an object of its own while it is put together.
+    merged = sides[0].unionByName(sides[1]).groupBy(*key).agg(
+        F.sum("sum").alias("sum"),
+        F.sum("count").alias("count"),
+        *[
+            F.coalesce(of_side(i, c), F.lit(0)).alias(f"{c}{i}")
+            for i in (0, 1)
+            for c in ("mean", "count", "squares")
+        ],
     )
-
-    def joined(a: Column, b: Column) -> Column:
-        n = a["count"] + b["count"]
-        apart = b["mean"] - a["mean"]
-        both = F.struct(
-            n.alias("count"),
-            (a["mean"] + F.try_divide(apart * b["count"], n)).alias("mean"),
-            (a["squares"] + b["squares"] + F.try_divide(apart * apart * a["count"] * b["count"], n)).alias("squares"),
-        )
-        return F.when(a["count"] == 0, b).when(b["count"] == 0, a).otherwise(both)
-
-    n = F.col("state.count")
-    return (
-        earlier.select(*key, "sum", "mean", "count", "variance")
-        .unionByName(later.select(*key, "sum", "mean", "count", "variance"))
-        .groupBy(*key)
-        # Two entries at most: a group has one row in each cube.
-        .agg(F.sum("sum").alias("sum"), F.collect_list(parts).alias("parts"))
-        .withColumn("state", F.aggregate("parts", empty, joined))
-        .select(
-            *key,
-            "sum",
-            F.try_divide("sum", n).alias("mean"),
-            n.alias("count"),
-            F.when(n > 1, F.try_divide("state.squares", n - 1)).alias("variance"),
-        )
+    n, a, b = F.col("count"), F.col("count0"), F.col("count1")
+    apart = F.col("mean1") - F.col("mean0")
+    both = F.col("squares0") + F.col("squares1") + F.try_divide(apart * apart * a * b, n)
+    joined = F.when(a == 0, F.col("squares1")).when(b == 0, F.col("squares0")).otherwise(both)
+    return merged.select(
+        *key,
+        "sum",
+        F.try_divide("sum", n).alias("mean"),
+        n,
+        F.when(n > 1, F.try_divide(joined, n - 1)).alias("variance"),
     )
 
 

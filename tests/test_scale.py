@@ -6,7 +6,7 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
-from factloom.operators import catalog, derived, retrieval
+from factloom.operators import catalog, cube, derived, retrieval
 from workloads import views
 
 
@@ -157,3 +157,13 @@ def test_questions_are_not_gathered_by_pair_of_columns(spark, tmp_path):
     assert sorted(rows) == sorted(
         [(f"q{i}", *b) for i in (1, 3, 5) for b in best] + [(f"q{i}", 1, "f1") for i in (0, 2, 4)]
     )
+
+
+def test_merging_cubes_keeps_numbers_only(spark):
+    one = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, float("inf"))], "d string, m double")
+    two = spark.createDataFrame([("a", 8.0), ("b", None), (None, 2.0)], "d string, m double")
+    merged = cube.merged_cubes(cube.cube(one, ["d"], ["m"]), cube.cube(two, ["d"], ["m"]))
+    assert not [line for line in plan_of(merged) if "collect_list" in line or "ObjectHashAggregate" in line]
+    found = {r["value"]: (r["sum"], r["mean"], r["count"], r["variance"]) for r in merged.collect()}
+    assert found["a"] == (12.0, 4.0, 3, 13.0) and found["b"] == (None, None, 0, None)
+    assert found[None] == (float("inf"), float("inf"), 2, float("inf"))
