@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from factloom.llm import packing
 from factloom.llm.packing import best_fit, pack
 from factloom.llm.queries import op4_best_fit_packing, vocabulary
 from tests.llm.common import SMALL, documents, table
@@ -72,3 +73,17 @@ def test_every_constraint_holds(rule):
 def test_impossible_limit(spark):
     with pytest.raises(ValueError):
         pack(table(spark, ["a"]), PATH, capacity=64, max_attention=10.0)
+
+
+def test_plain_letters_need_the_model_only(monkeypatch):
+    words = packing.WordTokens(PATH)
+    texts = ["the Straße für naïve Ünder", "été Été ÿes, it's x1!? İstanbul ǆ aµ", "a" * 500, "", "<unk> 中文"]
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in words.encode(texts)] == want
+    assert not packing.WordTokens._split(b"Plain9")[1] and words.parts[b"the"] == words.words[b"the"]
+    # No plain part reaches the tokenizer again, and what comes again is not learned anew.
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 2)
+    learned = []
+    monkeypatch.setattr(words, "_learn", learned.extend)
+    assert [np.frombuffer(b, "<u4").tolist() for b in words.encode(texts)] == want
+    assert not learned
