@@ -7,8 +7,10 @@ its pairs: its members are compared with one of them, a star.  The first bands g
 a large group of copies is one component before the other bands look at it, and buckets whose
 members are one component are left alone.  Where members stay in different components, those
 outside the bucket's largest one are centres in turn, a few of many first, four times as many
-each round: any pair of two components has one of them.  Every candidate is confirmed on the
-full shingle sets.
+each round: any pair of two components has one of them.  Such a pair is looked at only if the
+sets share one of their rarest shingles, as many as they may differ in (a prefix filter): texts
+that have a passage in common but too much of their own besides never meet.  Every candidate is
+confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ SMALL, GROWTH = 16, 4
 WORDS, DEVIATIONS = BINS // 64, 5.5
 #: Bits of the filter that tells which texts may be candidates; full or not, it loses none.
 FILTER_BITS = 1 << 24
+#: Sets whose shingles are counted and frequent shingles that are told apart, to put the rare ones
+#: first.  Any order gives the same links; a better one has fewer pairs to look at.
+COUNTED_SETS, FREQUENT = 4096, 1 << 16
 _ORDERS = np.stack([np.random.default_rng(j).permutation(BINS) for j in range(BINS)])
 
 
@@ -120,15 +125,19 @@ def _bits(ids: DataFrame) -> bytes:
         .groupBy((F.col("slot") / 64).cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
     )
+    found = words.toArrow()  # FILTER_BITS / 64 rows at most
     table = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.collect():  # FILTER_BITS / 64 rows at most
-        table[r["word"]] = r["bits"]
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return table.tobytes()
 
 
+def _maybe(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+
+
 def _shingle_sets(size: int, packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+        maybe = _maybe(packed)
         for batch in batches:
             batch = batch.filter(pa.array(maybe[batch.column("slot").to_numpy()]))
             found = shingle_sets(batch.column("text").to_pylist(), size)
@@ -151,6 +160,9 @@ def _candidate_sets(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
+    pairs = written(pairs, "near-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = sets.join(ids, "id", "left_semi")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a"
     )
@@ -182,8 +194,11 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _stars(sets: DataFrame, labels: DataFrame | None, from_: int, count: int) -> DataFrame:
     """Members of the buckets of some bands that hold several components, with the smallest set of each."""
-    members = _labelled(sets.select("set_id", "n", F.slice("keys", from_ + 1, count).alias("keys")), labels)
-    members = members.select(F.explode("keys").alias("bucket"), "set_id", "n", "component")
+    # Most buckets hold one set: what is dealt by bucket, once for both sides, is ids alone.
+    keyed = sets.select(F.explode(F.slice("keys", from_ + 1, count)).alias("bucket"), "set_id").repartition("bucket")
+    ends = keyed.groupBy("bucket").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"))
+    members = keyed.join(ends, "bucket").where("low < high").drop("low", "high")
+    members = _labelled(members.join(sets.select("set_id", "n"), "set_id"), labels)
     centres = members.groupBy("bucket").agg(
         F.min("set_id").alias("centre"),
         F.min_by("n", "set_id").alias("centre_n"),
@@ -195,11 +210,11 @@ def _stars(sets: DataFrame, labels: DataFrame | None, from_: int, count: int) ->
     return written(members.join(several, "bucket"), "near-stars")
 
 
-def _open_buckets(members: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of the buckets that still hold several components, with the largest component.
+def _open_sets(members: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Sets in buckets that still hold several components, with these buckets, as many as there are bands at most.
 
-    ``outside`` counts the members that are not in it; ``buckets`` are all open ones of a set,
-    as many as there are bands at most.  Only these sets carry their sketches.
+    Each bucket comes with its largest component, and ``outside`` counts the members that are
+    not in it.  Only these sets carry their sketches.
     """
     labelled = _labelled(members, labels)
     several = (
@@ -216,11 +231,81 @@ def _open_buckets(members: DataFrame, sets: DataFrame, labels: DataFrame | None)
         labelled.join(several, "bucket")
         .groupBy("set_id", "n", "component")
         .agg(F.collect_list(F.struct("bucket", "largest", "outside")).alias("open"))
-        .join(sets.select("set_id", *_sketch("k")), "set_id")
     )
-    return written(
-        by_set.select("*", F.col("open.bucket").alias("buckets"), F.inline("open")).drop("open"), "near-open"
+    return written(by_set.join(sets.select("set_id", *_sketch("k")), "set_id"), "near-open")
+
+
+def _rarest_first(packed: bytes, frequent: np.ndarray, counts: np.ndarray, percent: int):
+    """The first shingles of each set, rare ones first: two similar sets have one of them in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = _maybe(packed)
+        for batch in batches:
+            batch = batch.filter(pa.array(maybe[batch.column("slot").to_numpy()]))
+            sizes, firsts = [], []
+            for own in batch.column("hashes"):
+                own = own.values.to_numpy()
+                at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+                seen = np.where(frequent[at] == own, counts[at], 0)
+                n = len(own)
+                sizes.append(n)
+                firsts.append(own[np.lexsort((own, seen))[: n - -(-percent * n // 100) + 1]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
+                ["set_id", "size", "shingles"],
+            )
+
+    return run
+
+
+def _prefixes(hashes: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """(set_id, size, shingles) of the sets in `ids`: as many of the rarest shingles as a similar set may lack, and one."""
+    rows = hashes.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)))
+    every = -(-ids.count() // COUNTED_SETS)
+    counted = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(every)) == 0
+    frequent = (
+        hashes.join(ids.where(counted), F.col("id") == F.col("doc_id"), "left_semi")
+        .select(F.explode("hashes").alias("shingle"))
+        .groupBy("shingle")
+        .count()
+        .where("count > 1")
+        .orderBy(F.desc("count"), "shingle")
+        .limit(FREQUENT)
+        .orderBy("shingle")
+        .toArrow()
+    )
+    known = frequent.column("shingle").to_numpy(), frequent.column("count").to_numpy()
+    if not len(known[0]):
+        known = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    firsts = rows.mapInArrow(
+        _rarest_first(_bits(ids), *known, percent), "set_id long, size long, shingles array<long>"
     )
+    return written(firsts, "near-prefixes")
+
+
+def _meeting(alive: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (set_id, centre) of two components that share a shingle where similar sets have their first common one.
+
+    Sets of sizes x and y with a union of u have at least `common` shingles in common, so no
+    more than x - common and y - common come before the first of them.
+    """
+    rows = alive.select("set_id", "component", (F.size("centre_in") > 0).alias("is_centre"))
+    rows = rows.join(prefixes, "set_id").select(
+        "set_id", "component", "is_centre", "size", F.posexplode("shingles").alias("place", "shingle")
+    )
+    rows = rows.repartition("shingle")
+    centres = rows.select(
+        "shingle",
+        *[F.col(c).alias(f"centre_{c}") for c in ("component", "is_centre", "size", "place")],
+        F.col("set_id").alias("centre"),
+    ).where("centre_is_centre")
+    both = F.col("size") + F.col("centre_size")
+    common = F.ceil(percent * both / (100 + percent) - 1e-9)
+    similar = 100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size")
+    early = (F.col("place") + common <= F.col("size")) & (F.col("centre_place") + common <= F.col("centre_size"))
+    once = ~F.col("is_centre") | F.expr("set_id < centre")
+    apart = F.col("component") != F.col("centre_component")
+    return rows.join(centres, "shingle").where(apart & similar & early & once).select("set_id", "centre").distinct()
 
 
 def _sketch(name: str) -> list[str]:
@@ -257,32 +342,41 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, size: int, percent: in
             members = members.unionByName(stars)
         linked(_links(hashes, as_pairs(stars.where(apart & similar)), percent))
 
-    kept = ["bucket", "set_id", "n"]
-    members = members.select(*kept)
-    step = 0
+    members = members.select("bucket", "set_id", "n")
+    prefixes, step = None, 0
     while True:
-        alive = _open_buckets(members, sets, labels)
+        alive = _open_sets(members, sets, labels)
         if alive.isEmpty():
             return labels
+        if prefixes is None:
+            prefixes = _prefixes(hashes, alive.select(F.col("set_id").alias("doc_id")).distinct(), percent)
+
         # Of many centres a share, picked by a hash so that buckets agree; each holds the one before.
-        rounds = F.ceil(F.log(float(GROWTH), F.col("outside") / SMALL)) - step
-        share = F.pow(F.lit(GROWTH), F.greatest(rounds, F.lit(0))).cast("long")
-        is_centre = (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("set_id"), share) == 0)
-        alive = alive.withColumn("share", share).withColumn("is_centre", is_centre)
-        centres = alive.where("is_centre").select(
-            "bucket",
+        def share(bucket: Column, step: int = step) -> Column:
+            rounds = F.ceil(F.log(float(GROWTH), bucket["outside"] / SMALL)) - step
+            return F.pow(F.lit(GROWTH), F.greatest(rounds, F.lit(0))).cast("long")
+
+        def is_centre(bucket: Column) -> Column:
+            return (F.col("component") != bucket["largest"]) & (F.pmod(F.xxhash64("set_id"), share(bucket)) == 0)
+
+        alive = alive.select(
+            "*", F.col("open.bucket").alias("buckets"), F.filter("open", is_centre)["bucket"].alias("centre_in")
+        )
+        centres = alive.select(
             F.col("set_id").alias("centre"),
             F.col("n").alias("centre_n"),
-            F.col("component").alias("centre_component"),
             F.col("buckets").alias("centre_buckets"),
+            F.col("centre_in").alias("centre_centre_in"),
             *[F.col(f"k{i}").alias(f"c{i}") for i in range(WORDS)],
         )
-        # A pair meets in the first bucket that both are in, and two centres once there.
-        first = F.array_min(F.array_intersect("buckets", "centre_buckets")) == F.col("bucket")
-        once = ~F.col("is_centre") | F.expr("set_id < centre")
-        met = alive.join(centres, "bucket").where(apart & similar & _may_be_similar(percent) & once & first)
+        # A pair counts if one of the two is a centre of a bucket that both are in.
+        meet = F.arrays_overlap("buckets", "centre_centre_in") | F.arrays_overlap("centre_in", "centre_buckets")
+        met = written(_meeting(alive, prefixes, percent), "near-meeting")
+        met = met.join(alive, "set_id").join(centres, "centre").where(meet & _may_be_similar(percent))
         linked(_links(hashes, as_pairs(met), percent))
-        members = alive.where("share > 1").select(*kept)
+        members = alive.select(
+            F.explode(F.filter("open", lambda bucket: share(bucket) > 1)["bucket"]).alias("bucket"), "set_id", "n"
+        )
         step += 1
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from factloom.llm import near_dup
 from factloom.llm.near_dup import band_keys, near_duplicates, shingles, signature
@@ -88,3 +89,40 @@ def test_sketches_drop_no_similar_pair(spark):
     counts = {(r["size"], r["similar"]): r["count"] for r in kept.collect()}
     assert all(counts[n, True] == 40 for n in (1, 3, 9, 30, 100, 400, 3000))
     assert not any(counts.get((n, False)) for n in (400, 3000))
+
+
+def test_texts_that_share_a_passage_do_not_meet_pair_by_pair(spark, monkeypatch):
+    """Similarity 0.6 to 0.75 by one passage: the pairs that are compared in full stay few."""
+    met, links = [], near_dup._links
+
+    def counted(sets, pairs, percent):
+        met.append(pairs.count())
+        return links(sets, pairs, percent)
+
+    monkeypatch.setattr(near_dup, "_links", counted)
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = new(40)
+    check(spark, [(i, " ".join(passage + new(8 + i % 5))) for i in range(120)], 2)
+    # The first two are stars; of 7,140 pairs nearly all share a band.
+    assert sum(met[2:]) < 120
+
+
+def test_rarest_shingles_of_similar_sets_meet():
+    """Sets at the limit have one of their first shingles in common, at a place that lets them meet."""
+    rng = np.random.default_rng(2)
+    for n in (1, 4, 5, 9, 45, 200):
+        pool = np.unique(rng.integers(-(1 << 62), 1 << 62, 2 * n + 2))
+        seen = rng.integers(0, 3, len(pool)) * 5
+        common = -(-80 * 2 * n // 180)
+        own = n - common
+        for left, right in ((pool[:n], pool[own : own + n]), (pool[:n], pool[: -(-80 * n // 100)])):
+            slots = pa.array([0, 0], pa.int64())
+            batch = pa.RecordBatch.from_arrays(
+                [slots, pa.array([left, right], pa.list_(pa.int64())), slots], ["id", "hashes", "slot"]
+            )
+            run = near_dup._rarest_first(b"\1", pool, seen, 80)
+            a, b = next(run([batch])).column("shingles").to_pylist()
+            first = sorted(set(left) & set(right), key=lambda s: (seen[np.searchsorted(pool, s)], s))[0]
+            need = -(-80 * (len(left) + len(right)) // 180)
+            assert a.index(first) + need <= len(left) and b.index(first) + need <= len(right)
