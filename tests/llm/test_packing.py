@@ -87,3 +87,20 @@ def test_plain_letters_need_the_model_only(monkeypatch):
     monkeypatch.setattr(words, "_learn", learned.extend)
     assert [np.frombuffer(b, "<u4").tolist() for b in words.encode(texts)] == want
     assert not learned
+
+
+def test_both_cases_of_a_word_are_learned_once(monkeypatch):
+    words = packing.WordTokens(PATH)
+    learned, learn = [], words._learn
+    monkeypatch.setattr(words, "_learn", lambda parts: (learned.extend(parts), learn(parts)))
+    texts = [" Été été, ÉTÉ!\x0bÜber\x0c\rüber  über.", "", "\n", "é.É á! Á! Ａ｡ x<b>. 9.!", "ÉTÉ"]
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in words.encode(texts)] == want
+    assert [learned.count(w.encode()) for w in ("été", "Été", "ÉTÉ", "über", "Über")] == [1, 0, 0, 1, 0]
+
+
+def test_many_new_words_at_once(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", 3)
+    words = packing.WordTokens(PATH)
+    text = " ".join(f"{a}{b}ö{c}" for a in "abxé" for b in ("schl", "zq", "") for c in ("ñandú", "y"))
+    assert np.frombuffer(next(words.encode([text])), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
