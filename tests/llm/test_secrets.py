@@ -1,5 +1,6 @@
 import re
 
+from factloom.llm import secrets
 from factloom.llm.secrets import candidates, known_findings, redacted, secret_findings
 from tests.llm.common import MEDIUM, documents, plain, table
 
@@ -97,3 +98,16 @@ def test_nothing_to_find(spark):
         docs = table(spark, texts)
         assert secret_findings(docs).collect() == []
         assert plain(redacted(docs, secret_findings(docs)), "text") == sorted([(t,) for t in texts], key=lambda r: (r[0] is not None, r[0]))
+
+
+def test_plans_stay_small(spark):
+    def plan(df):
+        return df._jdf.queryExecution().analyzed().toString()
+
+    # Known findings are cases of one expression each for text and label, not one within another.
+    known = secrets.known_findings(spark)
+    assert plan(known).count("CASE WHEN") == 2
+    # The transition table is one literal, not an expression for each of its numbers.
+    words = spark.createDataFrame([("window", 3)], "word string, n long")
+    features = secrets.with_features(secrets.candidates(known, path_col=None), words, [-4.5] * 784)
+    assert "array(-4.5" not in plan(features)
