@@ -23,7 +23,7 @@ from factloom.functions.columns import (
     is_text,
     nan_to_null,
 )
-from factloom.sources.tables import is_scan
+from factloom.sources.tables import is_scan, scan_bytes
 
 # The vocabulary of the naming rules.
 IDENTIFIER_TOKENS = ["id", "key", "code", "number"]
@@ -41,6 +41,8 @@ SHORT_TEXT_BYTES = 63
 
 #: The most parts that the columns of one table are read in; each is a plan of its own.
 SCANS = 32
+#: Files up to this size are read at once for a catalog: a plan per column would cost more than it saves.
+ONE_PASS_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -96,12 +98,18 @@ _SLOT_TYPES = {
 }
 
 
-def value_counts(df: DataFrame) -> DataFrame:
+def value_counts(df: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Distinct values of every flat column with their row counts, NULL included.
 
     Columns: ordinal, one typed slot per kind of value present, n.  A scan of files is read column
     by column: a task then keeps the values of one column only, under a key no wider than those.
+    ``earlier`` are the stored counts of other rows of the same table, which are added: they meet
+    the rows before these are counted, so all pass one shuffle.
     """
+    return _value_counts(df, earlier, is_scan(df))
+
+
+def _value_counts(df: DataFrame, earlier: DataFrame | None, apart: bool) -> DataFrame:
     per_column: list[tuple[int, dict[str, Column]]] = [
         (i, _typed_slots(col(f.name), f.dataType))
         for i, f in enumerate(df.schema.fields)
@@ -109,20 +117,31 @@ def value_counts(df: DataFrame) -> DataFrame:
     ]
     slots = [s for s in _SLOT_TYPES if any(s in used for _, used in per_column)] or ["as_long"]
     rows = nan_to_null(df)
-    if len(per_column) < 2 or not is_scan(df):
-        return _counted(rows, per_column, slots)
+    if len(per_column) < 2 or not apart:
+        return _counted(rows, per_column, slots, earlier)
     parts = min(len(per_column), SCANS)
-    return reduce(DataFrame.unionByName, [_counted(rows, per_column[k::parts], slots) for k in range(parts)])
+    return reduce(
+        DataFrame.unionByName, [_counted(rows, per_column[k::parts], slots, earlier) for k in range(parts)]
+    )
 
 
-def _counted(rows: DataFrame, columns: list[tuple[int, dict[str, Column]]], slots: list[str]) -> DataFrame:
+def _counted(
+    rows: DataFrame, columns: list[tuple[int, dict[str, Column]]], slots: list[str], earlier: DataFrame | None
+) -> DataFrame:
     """The value counts of some columns, in one pass."""
-    n = F.count(F.lit(1)).alias("n")
+
+    def counted(keyed: DataFrame) -> DataFrame:
+        keys = keyed.columns
+        if earlier is None:
+            return keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        known = earlier.where(F.col("ordinal").isin([i for i, _ in columns] or [-1])).select(*keys, "n")
+        return known.unionAll(keyed.select("*", F.lit(1).cast("bigint"))).groupBy(*keys).agg(F.sum("n").alias("n"))
+
     if len(columns) == 1:
         ordinal, used = columns[0]
-        counted = rows.select(*[c.cast(_SLOT_TYPES[s]).alias(s) for s, c in used.items()]).groupBy(*used).agg(n)
+        found = counted(rows.select(*[c.cast(_SLOT_TYPES[s]).alias(s) for s, c in used.items()]))
         empty = F.lit(None)
-        return counted.select(
+        return found.select(
             F.lit(ordinal).alias("ordinal"),
             *[(F.col(s) if s in used else empty).cast(_SLOT_TYPES[s]).alias(s) for s in slots],
             "n",
@@ -134,12 +153,13 @@ def _counted(rows: DataFrame, columns: list[tuple[int, dict[str, Column]]], slot
         )
         for i, used in columns
     ] or [F.struct(F.lit(-1).alias("ordinal"), F.lit(None).cast("bigint").alias("as_long"))]
-    return rows.select(F.inline(F.array(*entries))).groupBy("ordinal", *slots).agg(n)
+    return counted(rows.select(F.inline(F.array(*entries))))
 
 
 def column_catalog(df: DataFrame) -> DataFrame:
-    """Technical facts of every column, one row each, in a single pass."""
-    return catalog_of_counts(value_counts(df), df.schema)
+    """Technical facts of every column, one row each; a small table is read in a single pass."""
+    apart = is_scan(df) and scan_bytes(df) > ONE_PASS_BYTES
+    return catalog_of_counts(_value_counts(df, None, apart), df.schema)
 
 
 def stored_counts(counted: DataFrame) -> DataFrame:
@@ -154,11 +174,6 @@ def stored_counts(counted: DataFrame) -> DataFrame:
     )
 
 
-def merged_counts(parts: DataFrame) -> DataFrame:
-    """Value counts of several sets of rows as those of all of them."""
-    return parts.groupBy("ordinal", *_SLOT_TYPES).agg(F.sum("n").alias("n"))
-
-
 def numeric_counts(counted: DataFrame, ordinals: list[int]) -> DataFrame:
     """(slot, v, n): the numbers of the given columns with their counts; slot is the place in the list."""
     return (

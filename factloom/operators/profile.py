@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from factloom.functions.columns import col, is_finite, measure
 from factloom.operators.catalog import SHORT_TEXT_BYTES, ColumnRole, numeric_counts
@@ -35,13 +35,6 @@ class Bins:
         # Fixed value: how a bin is labelled.
         return [f"{a:.1f}-{b:.1f}" for a, b in zip(self.edges, self.edges[1:])]
 
-    def index(self, value):
-        """Bin of a value: the number of inner edges it reaches."""
-        reached = F.lit(0)
-        for edge in self.edges[1:-1]:
-            reached = reached + (value >= edge).cast("int")
-        return reached
-
 
 @dataclass(frozen=True)
 class Summary:
@@ -173,27 +166,39 @@ def distribution_counts(df: DataFrame, summaries: list[Summary]) -> DataFrame:
 
 def _distribution(values: DataFrame, columns: list[tuple[int, Summary]]) -> DataFrame:
     """Outliers and histogram counts of rows (slot, v, n); columns as (slot, summary)."""
-    v, n = F.col("v"), F.col("n")
-    ordinal, name, is_outlier, bin_ = (F.lit(None),) * 4
-    for slot, s in columns:
-        here = F.col("slot") == slot
-        reach = FENCE * (s.q3 - s.q1)
-        ordinal = F.when(here, s.ordinal).otherwise(ordinal)
-        name = F.when(here, s.name).otherwise(name)
-        is_outlier = F.when(here, (v < s.q1 - reach) | (v > s.q3 + reach)).otherwise(is_outlier)
-        if s.bins:
-            bin_ = F.when(here, F.when(is_finite(v), s.bins.index(v))).otherwise(bin_)
+    v, n, slot = F.col("v"), F.col("n"), F.col("slot")
+    known = dict(columns)
+    listed = [known.get(i) for i in range(1 + max(known))]
+
+    def of_slot(value: Callable[[Summary], object], type_: str) -> Column:
+        return F.get(F.lit([s and value(s) for s in listed]).cast(f"array<{type_}>"), slot)
+
+    # Fences and edges are looked up in lists, so that the code for a row does not grow with the
+    # columns: Java leaves long methods uncompiled.
+    is_outlier = (v < of_slot(lambda s: s.q1 - FENCE * (s.q3 - s.q1), "double")) | (
+        v > of_slot(lambda s: s.q3 + FENCE * (s.q3 - s.q1), "double")
+    )
+    inner = [e for s in listed for e in (s.bins.edges[1:-1] if s and s.bins else [None] * (BINS - 1))]
+    inner = F.lit(inner).cast("array<double>")
+    # The bin of a value is the number of inner edges it reaches; without edges there is none.
+    reached = sum(((v >= F.get(inner, slot * (BINS - 1) + k)).cast("int") for k in range(BINS - 1)), F.lit(0))
     total = lambda which: F.coalesce(F.sum(F.when(which, n)), F.lit(0)).cast("bigint")
     return (
-        values.select(
-            ordinal.cast("int").alias("ordinal"), name.cast("string").alias("name"), "n",
-            is_outlier.cast("boolean").alias("is_outlier"), bin_.cast("int").alias("bin"),
-        )
-        .groupBy("ordinal", "name")
+        values.select("slot", is_outlier.alias("is_outlier"), F.when(is_finite(v), reached).alias("bin"), "n")
+        .groupBy("slot", "is_outlier", "bin")
+        .agg(F.sum("n").alias("n"))
+        # At most 2 * (BINS + 1) rows per column from here on.
+        .groupBy("slot")
         .agg(
             total(F.col("is_outlier")).alias("outlier_count"),
             F.array(*[total(F.col("bin") == b) for b in range(BINS)]).alias("bin_counts"),
         )
+        .select(
+            of_slot(lambda s: s.ordinal, "int").alias("ordinal"),
+            of_slot(lambda s: s.name, "string").alias("name"),
+            "outlier_count",
+            "bin_counts",
+        )
     )
 
 

@@ -33,24 +33,12 @@ class _Range:
     below: int
     ranks: set[int] = field(default_factory=set)
 
-    def bucket(self) -> str:
-        """SQL text of the bucket of a value in this range.
-
-        Any rising function of the value will do.  A range of many magnitudes is cut by the
-        binary logarithm, about one magnitude to a bucket; inside a magnitude equal widths
-        resolve twelve of a double's 52 bits a pass.  So six passes suffice for any data.
-        """
-        if self.low <= 0 <= self.high or max(abs(self.low), abs(self.high)) > SPREAD * min(abs(self.low), abs(self.high)):
-            magnitude = "coalesce(signum(v) * (log2(abs(v)) + 1075D) / 2100D, 0D)"
-            return f"least(cast(floor(({magnitude} + 1D) * {BUCKETS // 2}D) as int), {BUCKETS - 1})"
+    def entry(self, range_id: int) -> Column:
+        """What `_bucket` has to know of this range."""
+        wide = self.low <= 0 <= self.high or max(abs(self.low), abs(self.high)) > SPREAD * min(abs(self.low), abs(self.high))
         # Halving first keeps the width finite for values near the double limits.
         half = 0.5 if max(abs(self.low), abs(self.high)) > 1e300 else 1.0
-        start, width = self.low * half, self.high * half - self.low * half
-        position = f"(v * {half}D - {_number(start)}) / {_number(width)} * {BUCKETS}D"
-        return f"least(cast(floor({position}) as int), {BUCKETS - 1})"
-
-    def holds(self) -> str:
-        return f"v between {_number(self.low)} and {_number(self.high)}"
+        return _entry(range_id, self.low, wide, half, self.low * half, self.high * half - self.low * half)
 
     def holds_rank(self) -> str:
         """SQL text: one of the wanted ranks falls into the bucket of the row."""
@@ -58,8 +46,26 @@ class _Range:
         return " or ".join(f"(before <= {k} and before + n > {k})" for k in local)
 
 
-def _number(value: float) -> str:
-    return f"({value!r}D)"
+def _entry(range_id: int, low: float, wide: bool, half: float, start: float, width: float) -> Column:
+    values = {"id": range_id, "low": low, "wide": wide, "half": half, "start": start, "width": width}
+    return F.struct(*[F.lit(x).alias(name) for name, x in values.items()])
+
+
+#: Stands behind the last range of a column and holds nothing.
+_NO_RANGE = (-1, math.inf, False, 1.0, 0.0, 1.0)
+
+
+def _bucket(v: Column, r: Column) -> Column:
+    """The bucket of a value in its range.
+
+    Any rising function of the value will do.  A range of many magnitudes is cut by the
+    binary logarithm, about one magnitude to a bucket; inside a magnitude equal widths
+    resolve twelve of a double's 52 bits a pass.  So six passes suffice for any data.
+    """
+    magnitude = F.coalesce(F.signum(v) * (F.log2(F.abs(v)) + 1075.0) / 2100.0, F.lit(0.0))
+    position = (v * r["half"] - r["start"]) / r["width"] * float(BUCKETS)
+    place = F.when(r["wide"], (magnitude + 1.0) * (BUCKETS / 2)).otherwise(position)
+    return F.least(F.floor(place).cast("int"), F.lit(BUCKETS - 1))
 
 
 def bounds(value: Column, n: Column | None = None) -> Column:
@@ -147,23 +153,34 @@ def _settle(candidate: _Range, found, open_ranges: list[_Range]) -> None:
         open_ranges.append(candidate)
 
 
+def _bucketed(values: DataFrame, ranges: list[_Range]) -> DataFrame:
+    """(range_id, bucket, v, n): the values that lie in a range, with their buckets."""
+    # Ranges of a column do not overlap.  They are looked up in one list, so that the code for a row
+    # does not grow with columns and ranges: Java leaves long methods uncompiled.
+    here = {c: [] for c in range(1 + max(r.column for r in ranges))}
+    for i, r in sorted(enumerate(ranges), key=lambda x: x[1].low):
+        here[r.column].append((i, r))
+    most = max(len(h) for h in here.values())
+    highs, entries = [], []
+    for h in here.values():
+        rest = most - len(h)
+        highs += [r.high for _, r in h] + [math.inf] * rest
+        entries += [r.entry(i) for i, r in h] + [_entry(*_NO_RANGE)] * (rest + 1)
+    v, slot, highs = F.col("v"), F.col("slot"), F.lit(highs)
+    passed = sum(((v > F.get(highs, slot * most + k)).cast("int") for k in range(most)), F.lit(0))
+    return (
+        values.where(v.isNotNull())
+        .select("v", "n", F.get(F.array(*entries), slot * (most + 1) + passed).alias("r"))
+        .where((F.col("r.id") >= 0) & (v >= F.col("r.low")))
+        .select(F.col("r.id").alias("range_id"), _bucket(v, F.col("r")).alias("bucket"), "v", "n")
+    )
+
+
 def _narrow(values: DataFrame, ranges: list[_Range], found) -> list[_Range]:
-    # Ranges of a column do not overlap.
-    range_id, bucket = [], []
-    for c in sorted({r.column for r in ranges}):
-        here = [(i, r) for i, r in enumerate(ranges) if r.column == c]
-        ids = " ".join(f"when {r.holds()} then {i}" for i, r in here)
-        buckets = " ".join(f"when {r.holds()} then {r.bucket()}" for _, r in here)
-        range_id.append(f"when {c} then case {ids} end")
-        bucket.append(f"when {c} then case {buckets} end")
     wanted = " or ".join(f"(range_id = {i} and ({r.holds_rank()}))" for i, r in enumerate(ranges))
     in_order = Window.partitionBy("range_id").orderBy("bucket")
     buckets = (
-        values.where(F.col("v").isNotNull())
-        .selectExpr(
-            f"case slot {' '.join(range_id)} end as range_id", f"case slot {' '.join(bucket)} end as bucket", "v", "n"
-        )
-        .where(F.col("range_id").isNotNull())
+        _bucketed(values, ranges)
         .groupBy("range_id", "bucket")
         .agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         # At most BUCKETS rows per range_id from here on.

@@ -141,9 +141,8 @@ def _extend(draft: Draft, new: DataFrame, state: derived.Derived) -> tuple[int,
         raise ValueError(f"the new rows of {draft.dataset_id} have other columns than {layout}")
 
     # What is merged below is as large as the distinct values and groups, not as the rows.
-    counted = catalog.stored_counts(catalog.value_counts(new))
     earlier = {t: base.read(t).drop("dataset_id") for t in ("value_counts", "group_statistics", "pair_sums")}
-    draft.write("value_counts", catalog.merged_counts(earlier["value_counts"].unionByName(counted)))
+    draft.write("value_counts", catalog.stored_counts(catalog.value_counts(new, earlier["value_counts"])))
     counts = draft.read("value_counts").drop("dataset_id")
     roles = _store_catalog(draft, counts, new, state)
     dimensions, measures = catalog.dimension_names(roles), catalog.measure_names(roles, with_rates=True)

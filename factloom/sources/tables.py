@@ -26,6 +26,11 @@ def is_scan(df: DataFrame) -> bool:
     return True
 
 
+def scan_bytes(df: DataFrame) -> int:
+    """The size of what is read, as the planner estimates it: for a scan that of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def scratch_dir(spark: SparkSession, purpose: str, base: str | None = None) -> str:
     """A fresh folder below a shared one: ``base``, or what the session calls spark.checkpoint.dir."""
     base = base or spark.conf.get("spark.checkpoint.dir", None)
