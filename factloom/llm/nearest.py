@@ -24,15 +24,17 @@ from factloom.llm.common import written
 FIT_ROWS = 20_000
 #: At most so many lists; their number and sizes are known to the driver.
 MAX_LISTS = 1024
-#: Vectors and queries of a list that one group holds; larger lists are split.
-SEGMENT, QUERY_SEGMENT = 4096, 1024
-#: Queries multiplied by the sample at a time.
-BOUND_QUERIES = 256
+#: Vectors of a list and queries that one group holds at most, about; more are split.
+SEGMENT, QUERY_SEGMENT = 4096, 8192
+#: Queries multiplied by the sample at a time, and rows by the centroids or a group's vectors.
+BOUND_QUERIES, ROWS_AT_ONCE = 256, 512
+#: Rows with a query and a list that leave a task's Python at a time.
+PROBED_AT_ONCE = 8192
 COLUMN_BLOCK = 16
 #: Share of pairs below which single pairs are cheaper than a matrix product.
 SPARSE = 0.05
-#: Pairs whose exact products are taken at a time.
-PAIRS_AT_ONCE = 1 << 18
+#: Components of the pairs whose exact products are taken at a time.
+COMPONENTS_AT_ONCE = 1 << 20
 #: Width of the test: the larger, the fewer true neighbours are abandoned.
 TEST_WIDTH = 2.1
 
@@ -65,6 +67,10 @@ class Index:
         return (self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T
 
 
+def _slices(n: int, at_once: int) -> Iterator[slice]:
+    return (slice(at, at + at_once) for at in range(0, n, at_once))
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -91,6 +97,16 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     )
 
 
+def _kept_narrow(rows: DataFrame) -> DataFrame:
+    """Components as double, or as float if they are: what is shuffled is half as wide, with the same values."""
+    kind = "float" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    return rows.withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+
+
+def _layout(rows: DataFrame) -> str:
+    return f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}"
+
+
 def _fitted(rows: DataFrame, n_lists: int | None) -> tuple[Index, int] | None:
     """Index, and the number of vectors, of the most frequent dimension."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") ** 2))
@@ -126,7 +142,12 @@ def _assigned(index: Index):
         for f in frames:
             if len(f):
                 original = _matrix(f["embedding"])
-                nearest = np.argmin(index.distances(index.lifted(original)), axis=1)
+                nearest = np.concatenate(
+                    [
+                        np.argmin(index.distances(index.lifted(original[part])), axis=1)
+                        for part in _slices(len(original), ROWS_AT_ONCE)
+                    ]
+                )
                 f["list_id"] = nearest
                 f["away"] = np.sqrt(((original - flat[nearest]) ** 2).sum(axis=1))
                 f["norm"] = np.sqrt((original**2).sum(axis=1))
@@ -139,8 +160,7 @@ def least_products(index: Index, ids: np.ndarray, q: np.ndarray, k: int) -> np.n
     """The k-th largest product of each query over the sample: the table's is no smaller."""
     others = len(index.sample_ids) - np.isin(ids, index.sample_ids)
     out = np.full(len(q), -np.inf)
-    for at in range(0, len(q), BOUND_QUERIES):
-        part = slice(at, at + BOUND_QUERIES)
+    for part in _slices(len(q), BOUND_QUERIES):
         product = q[part] @ index.sample.T
         product[ids[part, None] == index.sample_ids] = -np.inf
         if product.shape[1] >= k:
@@ -152,14 +172,13 @@ def _probed(index: Index, sizes: np.ndarray, radii: np.ndarray, norms: np.ndarra
     """Every list of a query that may hold one of its k largest products.
 
     No product in a list exceeds that with its centroid by more than the query's norm times
-    the list's radius, nor the product of the norms.
+    the list's radius, nor the product of the norms.  A query leaves with a copy of its vector
+    for each list, so few rows leave at a time.
     """
     flat = index.flat_centroids()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
+        for f in (f.iloc[part].copy() for f in frames for part in _slices(len(f), ROWS_AT_ONCE)):
             q = _matrix(f["embedding"])
             length = np.sqrt((q**2).sum(axis=1))[:, None]
             most = np.minimum(q @ flat.T + length * radii, length * norms)
@@ -167,7 +186,9 @@ def _probed(index: Index, sizes: np.ndarray, radii: np.ndarray, norms: np.ndarra
             slack = 1e-9 * length * index.largest_norm
             f["list_id"] = [np.flatnonzero(p) for p in (most >= least - slack) & (sizes > 0)]
             f["least"] = (least - slack)[:, 0]
-            yield f.explode("list_id").dropna(subset="list_id").astype({"list_id": "int32"})
+            f = f.explode("list_id").dropna(subset="list_id").astype({"list_id": "int32"})
+            for part in _slices(len(f), PROBED_AT_ONCE):
+                yield f.iloc[part]
 
     return run
 
@@ -237,40 +258,52 @@ def _best_of_each(group: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int)
     return order[place < k]
 
 
+def _products(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The inner product of row i of `a` and row j of `b` for each pair."""
+    at_once = max(1, COMPONENTS_AT_ONCE // a.shape[1])
+    scores = [(a[i[part]] * b[j[part]]).sum(axis=1) for part in _slices(len(i), at_once)]
+    return np.concatenate(scores) if scores else np.empty(0)
+
+
 def _scanned(index: Index, k: int):
     def run(key, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        found_ids, found_rows, scores = [], [], []
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(queries) and len(vectors):
             vectors = vectors.drop_duplicates("vec_id")
             ids, original = vectors["vec_id"].to_numpy(), _matrix(vectors["embedding"])
             x = index.lifted(original)
-            qs = _matrix(queries["embedding"])
-            # All lifted vectors have the same length, so a least product is a largest distance.
-            within = (qs**2).sum(axis=1) + index.largest_norm**2 - 2 * queries["least"].to_numpy()
-            lifted = index.lifted_query(qs)
-            query_ids = queries["vec_id"].to_numpy()
-            bounded = np.flatnonzero(within < math.inf)
-            i, j = adaptive_pairs(x, lifted[bounded], within[bounded])
-            pairs = [(bounded[i], j)]
-            for at in np.flatnonzero(within == math.inf):
-                # One more than k: the query's own row may be in the list.
-                found = adaptive_scan(x, lifted[at], k + 1)
-                pairs.append((np.full(len(found), at), found))
-            i, j = (np.concatenate(c) for c in zip(*pairs))
-            other = query_ids[i] != ids[j]
-            i, j = i[other], j[other]
-            for at in range(0, len(i), PAIRS_AT_ONCE):
-                part = slice(at, at + PAIRS_AT_ONCE)
-                scores.append((original[j[part]] * qs[i[part]]).sum(axis=1))
-            score = np.concatenate(scores) if scores else np.empty(0)
-            best = _best_of_each(i, ids[j], score, k)
-            found_ids, found_rows, scores = [query_ids[i[best]]], [ids[j[best]]], [score[best]]
-        columns = [np.concatenate(c) if c else np.empty(0) for c in (found_ids, found_rows, scores)]
+            # All pairs of some queries and the vectors are held at once, not those of all queries.
+            for part in _slices(len(queries), ROWS_AT_ONCE):
+                asked = queries.iloc[part]
+                found.append(_found(index, k, asked, ids, original, x))
+        columns = [np.concatenate(c) for c in zip(*found)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
 
     return run
 
 
+def _found(index: Index, k: int, queries: pd.DataFrame, ids: np.ndarray, original: np.ndarray, x: np.ndarray):
+    """(query ids, ids, products) of the k best of each query; `x` are the `original` vectors lifted."""
+    qs = _matrix(queries["embedding"])
+    # All lifted vectors have the same length, so a least product is a largest distance.
+    within = (qs**2).sum(axis=1) + index.largest_norm**2 - 2 * queries["least"].to_numpy()
+    lifted = index.lifted_query(qs)
+    query_ids = queries["vec_id"].to_numpy()
+    bounded = np.flatnonzero(within < math.inf)
+    i, j = adaptive_pairs(x, lifted[bounded], within[bounded])
+    pairs = [(bounded[i], j)]
+    for at in np.flatnonzero(within == math.inf):
+        # One more than k: the query's own row may be in the list.
+        found = adaptive_scan(x, lifted[at], k + 1)
+        pairs.append((np.full(len(found), at), found))
+    i, j = (np.concatenate(c) for c in zip(*pairs))
+    other = query_ids[i] != ids[j]
+    i, j = i[other], j[other]
+    score = _products(original, j, qs, i)
+    best = _best_of_each(i, ids[j], score, k)
+    return query_ids[i[best]], ids[j[best]], score[best]
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -289,14 +322,10 @@ def nearest(
 
     No list is left out that may hold one of the k; only the hypothesis test may lose one.
     The centroids are fitted on FIT_ROWS rows; every row is indexed.  A list larger than
-    SEGMENT is split over groups, as are its queries, so a list that holds a third of all
-    rows is scanned by many tasks.
+    SEGMENT is split over groups, as are the queries, so a list that holds a third of all
+    rows is scanned by many tasks, and a list that all queries probe takes no more memory.
     """
-    schema = "vec_id long, embedding array<double>"
-    rows = usable(vectors, id_col, vector_col)
-    rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    asked = usable(queries, id_col, vector_col)
-    asked = asked.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    rows, asked = (_kept_narrow(usable(t, id_col, vector_col)) for t in (vectors, queries))
     fitted = _fitted(rows, n_lists)
     spark = vectors.sparkSession
     if fitted is None:
@@ -305,7 +334,7 @@ def nearest(
     same = F.size("embedding") == index.dimension
     listed = written(
         rows.where(same).mapInPandas(
-            _assigned(index), schema + ", list_id int, away double, norm double"
+            _assigned(index), _layout(rows) + ", list_id int, away double, norm double"
         ),
         "vector-lists",
     )
@@ -317,21 +346,23 @@ def nearest(
     for r in extent.collect():  # at most MAX_LISTS rows
         sizes[r["list_id"]], radii[r["list_id"]], norms[r["list_id"]] = r["n"], r["away"], r["norm"]
     listed = listed.drop("away", "norm")
-    probed = asked.where(same).mapInPandas(
-        _probed(index, sizes, radii, norms, k), schema + ", list_id int, least double"
+    asked = asked.where(same)
+    probed = asked.mapInPandas(
+        _probed(index, sizes, radii, norms, k), _layout(asked) + ", list_id int, least double"
     )
     parts = F.lit(np.maximum(1, -(-sizes // SEGMENT)).tolist())
-    blocks = F.lit(np.maximum(1, -(-sizes // (QUERY_SEGMENT * 8))).tolist())
+    # Any list may be probed by all queries, however few vectors it holds.
+    blocks = max(1, -(-asked.count() // QUERY_SEGMENT))
     pick = lambda table: F.element_at(table, F.col("list_id") + 1).cast("int")
     left = probed.select(
         "*",
-        F.pmod(F.xxhash64("vec_id"), pick(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), pick(parts) - 1)).alias("part"),
     )
     right = listed.select(
         "*",
         F.pmod(F.xxhash64("vec_id"), pick(parts)).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), pick(blocks) - 1)).alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
     )
     by = ["list_id", "part", "block"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(
